@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import base
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment at most; texts and regions that a fit looks at, at most.
-MAX_TOKENS, SAMPLE_TEXTS, SAMPLE_REGIONS = 20, 4000, 1500
+#: Tokens and characters of a segment at most; texts and regions that a fit looks at, at most.
+MAX_TOKENS, MAX_CHARS, SAMPLE_TEXTS, SAMPLE_REGIONS = 20, 80, 4000, 1500
 #: A span that the field adds must be this likely.
 SURE = 0.9
 _ANY = re.compile("[0-9@]")
@@ -30,7 +30,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_REGION = re.compile(r"(?<!\S)(?=(\S*?[0-9@]))\1\S*(?:[^\S\n]\S*?[0-9@]\S*)*")
+_REGION = re.compile(r"(?<!\S)(?=(\S*?[0-9@]))\1\S*(?:\x20[0-9().+-]*[0-9][0-9().+-]*(?!\S))*")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _DIGITS = re.compile("[0-9]+")
 
@@ -90,7 +90,7 @@ def span_features(text: str, begin: int, end: int) -> list[str]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or an `@`, with their neighbours of that sort."""
+    """Words with a digit or an `@`, with the numbers after them."""
     return [m.span() for m in _REGION.finditer(text)] if _ANY.search(text) else []
 
 
@@ -115,14 +115,25 @@ class Field:
             if not (text[bounds[i]].isalnum() or text[bounds[i]] in "+("):
                 continue
             for j in range(i + 1, min(i + MAX_TOKENS, len(bounds) - 1) + 1):
-                if (text[bounds[j] - 1].isalnum()) and bounds[j] - bounds[i] >= 6 and _ANY.search(text, bounds[i], bounds[j]):
+                if bounds[j] - bounds[i] > MAX_CHARS:
+                    break
+                if text[bounds[j] - 1].isalnum() and bounds[j] - bounds[i] >= 6 and _ANY.search(text, bounds[i], bounds[j]):
                     ends[j].append((i, span_features(text, bounds[i], bounds[j])))
         return bounds, ends
 
     def scores(self, ends):
         """For each end: (first token, type, score, features)."""
-        get = self.weights.get
-        return [[(i, t, sum(get((t, f), 0.0) for f in fs), fs) for i, fs in own for t in range(1, len(KINDS) + 1)] for own in ends]
+        get, known = self.weights.get, {}
+        out = []
+        for own in ends:
+            row = []
+            for i, fs in own:
+                key = tuple(fs)
+                if key not in known:
+                    known[key] = [sum(get((t, f), 0.0) for f in fs) for t in range(1, len(KINDS) + 1)]
+                row += [(i, t, s, fs) for t, s in enumerate(known[key], 1)]
+            out.append(row)
+        return out
 
     def segment(self, text: str, begin: int, end: int) -> list[tuple[int, int, int, float]]:
         """The best segments (start, kind, end, probability) of a region."""
