@@ -24,7 +24,7 @@ def content_hash(text: Column) -> Column:
 
 def heading(text: Column) -> Column:
     """The first markdown heading of the first 50 lines, without links and emphasis marks; null if none."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 50), F.trim)
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 50), lambda x: F.trim(x))
     bare = F.transform(F.filter(lines, lambda x: x.rlike(r"^#{1,6}\s+\S")), lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(x, r"^#{1,6}\s+(.+)$", 1)), r"\[([^\]]+)\]\([^)]+\)", "$1"), "[*_`]", ""))
     return F.try_element_at(F.filter(bare, lambda x: x != ""), F.lit(1))
 
