@@ -12,6 +12,7 @@ drive the risk of the negatives below zero.  Known clean texts are used for the
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -46,6 +47,10 @@ def present(text: str) -> np.ndarray:
     return np.unique(np.array([f for w in words(text) for f in features(w)], np.int32))
 
 
+def _digest(row: np.ndarray) -> bytes:
+    return hashlib.blake2b(row.tobytes(), digest_size=16).digest()
+
+
 class NonNegativePU:
     """Logistic loss, Adam, decoupled weight decay."""
 
@@ -60,19 +65,24 @@ class NonNegativePU:
 
     def screened(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
         n_p, n_u = len(positive), len(unlabelled)
-        in_p, in_u = (np.bincount(np.concatenate(x).astype(np.int64), minlength=1 << BITS) for x in (positive, unlabelled))
-        share_p, share_u, share = in_p / n_p, in_u / n_u, (in_p + in_u) / (n_p + n_u)
+        in_p, in_u = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for counts, rows in ((in_p, positive), (in_u, unlabelled)):
+            for f in rows:
+                counts[f] += 1  # a row has a feature once
+        some = np.flatnonzero(in_p >= max(self.LEAST, n_p / 200))
+        p, u = in_p[some], in_u[some]
+        share_p, share_u, share = p / n_p, u / n_u, (p + u) / (n_p + n_u)
         error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-        return np.flatnonzero((in_p >= max(self.LEAST, n_p / 200)) & (share_p >= self.TIMES * share_u) & (share_p - share_u >= self.ERRORS * error))
+        return some[(share_p >= self.TIMES * share_u) & (share_p - share_u >= self.ERRORS * error)]
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> "NonNegativePU":
         """Rows are arrays of features.  Without a positive or an unlabelled row, or without an input that tells them apart, every score is the prior."""
         # Copies say no more than one text does.
-        positive, unlabelled = (list({x.tobytes(): x for x in rows}.values()) for rows in (positive, unlabelled))
+        positive, unlabelled = (list({_digest(x): x for x in rows}.values()) for rows in (positive, unlabelled))
         kept = self.screened(positive, unlabelled) if positive and unlabelled else []
         if not len(kept):
             return self
-        number = np.full(1 << BITS, -1, np.int64)
+        number = np.full(1 << BITS, -1, np.int32)
         number[kept] = np.arange(len(kept))
         data = [k[k >= 0] for k in (number[f] for f in positive + unlabelled)]
         w, b, rng = np.zeros(len(kept)), self.bias, np.random.default_rng(self.seed)
@@ -153,8 +163,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     chosen = chosen_p.unionByName(chosen_u)  # at most max_positive + max_unlabelled ids: small enough to broadcast
     texts = docs.select("doc_id", base.text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     rows = texts.mapInArrow(_present, base.schema(("toxic", "int"), ("f", "array<int>"))).toArrow()
-    marks, found = rows["toxic"].to_pylist(), [np.asarray(f.values, np.int64) for f in rows["f"]]
-    order = sorted(range(len(marks)), key=lambda i: found[i].tobytes())  # any order of partitions gives one fit
+    marks, found = rows["toxic"].to_pylist(), [f.values.to_numpy() for f in rows["f"]]
+    order = sorted(range(len(marks)), key=lambda i: _digest(found[i]))  # any order of partitions gives one fit
     return NonNegativePU(prior).fit([found[i] for i in order if marks[i] == 1], [found[i] for i in order if marks[i] == 0])
 
 
