@@ -82,7 +82,7 @@ def _signed(batches):
     for batch in batches:
         sets = [shingler(t) for t in batch.column("text").to_pylist()]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"empty" + int(u).to_bytes(8, "big") for s, u in zip(sets, batch.column("uid").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "text", "uid")), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["row", "text", "uid", "set", "low"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("uid"), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["row", "uid", "set", "low"])
 
 
 def _paths(first: int, last: int):
@@ -259,8 +259,9 @@ def _few(df: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """row (the named columns), uid, class_id, n_links, and keep_uid, the uid of the row that stands for the class."""
     base.small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    table, _ = base.written(rows.mapInArrow(_signed, T.StructType([*rows.schema.fields, *base.schema(("set", "binary"), ("low", "binary")).fields])), "join-rows")
+    carried = dict.fromkeys([*columns, "text"])  # the text once, also if it is among the columns
+    rows = docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    table, _ = base.written(rows.mapInArrow(_signed, T.StructType([rows.schema["row"], rows.schema["uid"], *base.schema(("set", "binary"), ("low", "binary")).fields])), "join-rows")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("uid").alias("uid"))).alias("first")
     sets, _ = base.written(table.groupBy("set").agg(first, F.count("*").alias("copies"), F.first("low").alias("low")), "join-sets")
     nodes = sets.where(F.col("low").isNotNull()).select(F.col("first.uid").alias("uid"), "low", "copies")
@@ -279,7 +280,7 @@ def joined(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall
     near = _together(_in_blocks(members.join(nodes.select("uid", "low"), "uid"))).mapInArrow(_candidates, two).distinct()
     near, _ = base.written(near, "join-near")
     ids = near.select("uid").distinct()
-    shingles, _ = base.written(table.select("uid", "text").join(_few(ids), "uid").mapInArrow(_shingled, base.schema(("uid", "bigint"), ("shingles", "binary"))), "join-shingles")
+    shingles, _ = base.written(table.select("uid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")).join(_few(ids), "uid").mapInArrow(_shingled, base.schema(("uid", "bigint"), ("shingles", "binary"))), "join-shingles")
     sizes = near.groupBy("leaf").agg(F.count("*").alias("n"))
     lists = near.groupBy("uid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # a leaf or none for each run
     own = near.join(sizes, "leaf").join(lists, "uid").join(nodes.select("uid", "copies"), "uid").join(shingles, "uid")
@@ -292,7 +293,8 @@ def joined(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall
     heads = linked.join(heads, "root").join(counts, F.col("uid") == F.col("node"), "left").select("set", "head", "links")
     every = sets.select("set", "first", "copies").join(heads, "set", "left")
     every = every.select("set", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return table.select("row", "uid", "set").join(every, "set").select("row", "uid", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.col("head.uid").alias("keep_uid"))
+    own_row = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in columns)).alias("row")
+    return table.select(own_row, "uid", "set").join(every, "set").select("row", "uid", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.col("head.uid").alias("keep_uid"))
 
 
 def similarity_classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
