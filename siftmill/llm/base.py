@@ -48,6 +48,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: A key is hot if it holds more than one in so many of the rows; there can't be more hot keys than this.
+HOT_SHARE = 20_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of a written table with a written table that has one row a key, whose column `size` says how many of `rows` have the key.
+
+    Facts of hot keys are broadcast, at most HOT_SHARE of them whatever the tables' sizes, so their
+    rows stay where they lie; the rows of all other keys are shuffled.
+    """
+    hot = F.col(size) * HOT_SHARE > rows.count()
+    often = F.broadcast(facts.where(hot))
+    rest = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(facts.where(~hot), key))
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

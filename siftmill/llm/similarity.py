@@ -112,8 +112,8 @@ def _leaves(nodes: DataFrame, first: int, last: int) -> tuple[DataFrame, int]:
     left, _ = base.written(nodes.select("uid", "low").mapInArrow(_paths(first, last), base.schema(("uid", "bigint"), *((f"b{k + 1}", "bigint") for k in range(DEPTH)))), "join-paths")
     found, depth = None, 0
     for k in range(1, DEPTH + 1):
-        counts = left.groupBy(f"b{k}").agg(F.count("*").alias("n")).where("n > 1")
-        here, _ = base.written(left.join(counts, f"b{k}"), "join-buckets")
+        counts, _ = base.written(left.groupBy(f"b{k}").agg(F.count("*").alias("n")).where("n > 1"), "join-counts")
+        here, _ = base.written(base.join_counted(left, counts, f"b{k}", "n"), "join-buckets")
         own = here if k == DEPTH else here.where(F.col("n") <= SMALL)
         own = own.select("uid", F.col(f"b{k}").alias("leaf"), "n")
         found = own if found is None else found.unionByName(own)
@@ -256,8 +256,8 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def joined(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """row (the named columns), uid, class_id, n_links, and keep_uid, the uid of the row that stands for the class."""
+def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: the rows (`row` with the named columns and the text, uid, set), and for each set its copies, its n_links and the first row of its class, `head`."""
     base.small_batches(docs.sparkSession)
     carried = dict.fromkeys([*columns, "text"])  # the text once, also if it is among the columns
     rows = docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
@@ -292,9 +292,8 @@ def joined(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall
     counts = links.groupBy("uid").agg(F.sum("links").alias("links")).withColumnRenamed("uid", "node")
     heads = linked.join(heads, "root").join(counts, F.col("uid") == F.col("node"), "left").select("set", "head", "links")
     every = sets.select("set", "first", "copies").join(heads, "set", "left")
-    every = every.select("set", F.coalesce("head", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    own_row = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in columns)).alias("row")
-    return table.select(own_row, "uid", "set").join(every, "set").select("row", "uid", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"), F.col("head.uid").alias("keep_uid"))
+    every = every.select("set", F.coalesce("head", "first").alias("head"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return table, base.written(every, "join-classes")[0]
 
 
 def similarity_classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
@@ -306,9 +305,13 @@ def similarity_classes(docs: DataFrame, similar: float = SIMILAR, recall: float
     empty texts, and texts without a word, have no link and are classes of their own.  Rows with the
     same doc_id are rows of their own.  Other columns are ignored.
     """
-    return joined(docs, ["doc_id"], similar, recall).select(F.col("row.doc_id").alias("doc_id"), "class_id", "n_links")
+    table, sets = classes(docs, ["doc_id"], similar, recall)
+    rows = base.join_counted(table.select(F.col("row.doc_id").alias("doc_id"), "set"), sets, "set", "copies")
+    return rows.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class."""
-    return joined(docs, docs.columns, similar, recall).where(F.col("uid") == F.col("keep_uid")).select("row.*")
+    table, sets = classes(docs, docs.columns, similar, recall)
+    own = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).alias("row")
+    return table.select("uid", own).join(sets.select(F.col("head.uid").alias("uid")), "uid", "left_semi").select("row.*")

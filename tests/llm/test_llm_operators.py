@@ -429,6 +429,16 @@ def test_join_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {c for c, _ in want.values()}
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    keys = [1] * 40 + [2] * 9 + list(range(3, 30))
+    rows, _ = base.written(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long"), "t")
+    facts, _ = base.written(rows.groupBy("k").count().where("count > 1"), "t")
+    for share in (1, 3, 12, 1000):  # none, one, two and all keys are hot
+        monkeypatch.setattr(base, "HOT_SHARE", share)
+        got = base.join_counted(rows, facts, "k", "count").collect()
+        assert Counter(map(tuple, got)) == Counter((k, i, keys.count(k)) for i, k in enumerate(keys) if k < 3)
+
+
 def test_runs_reach_the_target():
     assert [similarity.runs_for(d) for d in (1, 2, 3)] == [5, 7, 10]
 
