@@ -140,7 +140,8 @@ def exact_duplicates(docs: DataFrame, width: int = 16) -> DataFrame:
     row.  An empty table gives an empty result.  Other columns are ignored, whatever their names.
     """
     table = recipe_table(docs, ["doc_id"], width)
-    return table.join(grouped(table), "recipe").select(
+    groups, _ = base.written(grouped(table), "recipe-groups")
+    return base.join_counted(table.select("row", "uid", "recipe", "text_sha256"), groups, "recipe", "group_size").select(
         F.col("row.doc_id").alias("doc_id"), F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256"
     )
 
