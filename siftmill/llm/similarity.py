@@ -277,7 +277,8 @@ def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recal
     kept = mark.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
     members, _ = base.written(leaves.join(kept, "leaf"), "join-members")
     two = base.schema(("uid", "bigint"), ("leaf", "bigint"))
-    near = _together(_in_blocks(members.join(nodes.select("uid", "low"), "uid"))).mapInArrow(_candidates, two).distinct()
+    lows = nodes.select("uid", "low").join(_few(members.select("uid").distinct()), "uid", "left_semi")  # most nodes are in no bucket with another
+    near = _together(_in_blocks(members.join(lows, "uid"))).mapInArrow(_candidates, two).distinct()
     near, _ = base.written(near, "join-near")
     ids = near.select("uid").distinct()
     shingles, _ = base.written(table.select("uid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")).join(_few(ids), "uid").mapInArrow(_shingled, base.schema(("uid", "bigint"), ("shingles", "binary"))), "join-shingles")
