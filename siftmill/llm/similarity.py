@@ -314,5 +314,8 @@ def similarity_classes(docs: DataFrame, similar: float = SIMILAR, recall: float
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class."""
     table, sets = classes(docs, docs.columns, similar, recall)
+    heads = sets.select("set", F.col("head.uid").alias("head"), "copies")
+    others = base.join_counted(table.select("uid", "set"), heads, "set", "copies").where("uid <> head").select("uid")
+    others, _ = base.written(others, "join-others")  # ids of the rows that go: far fewer than those that stay, so that texts seldom need a shuffle
     own = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).alias("row")
-    return table.select("uid", own).join(sets.select(F.col("head.uid").alias("uid")), "uid", "left_semi").select("row.*")
+    return table.select("uid", own).join(_few(others), "uid", "left_anti").select("row.*")
