@@ -484,6 +484,19 @@ def faq_sync_actions(s, d):
     return faqs.sync_plan(gen, rows.select("document_id", "faq_id", "question_hash")).select("document_id", "question_hash", "action")
 
 
+_GENERATED_ALL = "gen as (select document_id, extracted_at as pos, question, answer || case when conv_id % 2 = 1 then ' v2' else '' end as answer, confidence from pairs where conv_id % 5 <> 0)"
+
+
+@query(f"""with {fx.FAQ_ROWS}, {_GENERATED_ALL}, g as (select document_id, md5(lower(trim(question))) as question_hash, arg_max({fx.sql_uuid5("trim(regexp_replace(trim(question), '\\s+', ' ', 'g'))||'|'||trim(regexp_replace(trim(answer), '\\s+', ' ', 'g'))", 'a1b2c3d4e5f67890abcdef1234567890')}, (confidence, pos)) as new_id from gen where trim(question) <> '' and trim(answer) <> '' group by 1, 2),
+ o as (select document_id, question_hash, min(faq_id) as old_id from ids group by 1, 2)
+ select document_id, question_hash, case when new_id is null then 'stale' when old_id is null then 'created' when new_id = old_id then 'refreshed' else 'reassigned' end as action from g full join o using (document_id, question_hash)""")
+def faq_sync_actions_all(s, d):
+    """faq_sync_actions over every conversation; one in five isn't generated again, every other one has new answers."""
+    rows = fx.faq_rows(s, d)
+    gen = rows.where("conv_id % 5 <> 0").select("document_id", F.col("extracted_at").alias("pos"), "question", F.when(F.col("conv_id") % 2 == 1, F.concat("answer", F.lit(" v2"))).otherwise(F.col("answer")).alias("answer"), "confidence")
+    return faqs.sync_plan(gen, rows.select("document_id", "faq_id", "question_hash")).select("document_id", "question_hash", "action")
+
+
 @query(f"with {fx.FAQ_ROWS}, g as (select faq_id, count(*) as k from src group by 1) select count(*) as total_faqs, sum(k)::bigint as total_sources, round(avg(k), 2) as avg_sources, count(*) filter (where k > 1) as multi_source_faqs, round(100.0 * count(*) filter (where k > 1) / count(*), 1) as multi_source_percent from g")
 def faq_source_stats(s, d):
     return faqs.source_statistics(fx.faqs(s, d))

@@ -5,10 +5,12 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from siftmill import catalogue
 from siftmill.functions import ids, text, urls, vectors
 from siftmill.operators import agent, faqs, feedback, graph, ingest, migrate, queues, retention, search
 from siftmill.plans import predicates
 from siftmill.plans.querylang import candidate_limit, parse, scan_batch
+from siftmill.sources import fixtures as fx
 from siftmill.sources.embedding import TooLong, embedded, in_batches
 from siftmill.sources.store import Store, write_jsonl
 
@@ -150,6 +152,13 @@ def test_an_answer_that_changes_is_reassigned(spark):
     assert sorted(r["action"] for r in faqs.sync_plan(new, old).collect()) == ["created", "reassigned", "refreshed", "stale"]
 
 
+def test_sync_plan_covers_every_conversation(spark, sf):
+    questions = {(r["document_id"], r["question_hash"]) for r in fx.faq_rows(spark, sf).select("document_id", "question_hash").collect()}
+    got = catalogue.queries()["faq_sync_actions_all"](spark, sf).collect()
+    assert len(got) == len(questions) and {(r["document_id"], r["question_hash"]) for r in got} == questions
+    assert {"stale", "refreshed", "reassigned"} <= {r["action"] for r in got}
+
+
 def test_ingest_of_hard_rows(spark):
     long = " ".join(f"w{k}" for k in range(40))
     rows = [("u1", long, 1), ("u2", f" {long.upper()}\n", 2), ("u1", long, 3), ("u3", None, 4), ("u4", "few words", 5), ("u5", "few words", 6)]
