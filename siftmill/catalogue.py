@@ -524,6 +524,21 @@ def faq_upsert(s, d):
     return faqs.upserted(old, new).where("action <> 'kept'").select("faq_id", F.concat(F.lit("Q"), F.length("question")).alias("q"), "action")
 
 
+@query(f"""with {fx.FAQ_ROWS}, old as (select * from src where faq_id < '8'),
+ new as (select faq_id, case when faq_id >= '8' or substr(faq_id, 2, 1) < '4' then document_id else 'new-' || document_id end as document_id from (select faq_id, min(document_id) as document_id from ids group by 1) where faq_id >= '8' or substr(faq_id, 2, 1) < '8'),
+ put as (select faq_id, document_id, confidence from old anti join new using (faq_id, document_id) union all select faq_id, document_id, 0.25::double from new)
+ select faq_id, case when faq_id not in (select faq_id from new) then 'kept' when faq_id not in (select faq_id from old) then 'created' when (faq_id, any_value(document_id) filter (where (faq_id, document_id) in (select faq_id, document_id from new))) in (select faq_id, document_id from old) then 'refreshed' else 'merged' end as action,
+ count(*)::bigint as source_count, round(max(confidence), 6) as aggregated_confidence, string_agg(document_id, ',' order by document_id) as documents from put group by 1""")
+def faq_upsert_all(s, d):
+    """Every FAQ: those from '8' on are new; of the others a quarter gets a known source again, a quarter a new one, and half nothing."""
+    rows, sure = fx.faq_rows(s, d), F.lit(0.25)
+    same = (F.col("faq_id") >= "8") | (F.substring("faq_id", 2, 1) < "4")
+    one = rows.groupBy("faq_id").agg(F.min("question").alias("question"), F.min("answer").alias("answer"), F.min("document_id").alias("document_id")).where("faq_id >= '8' or substring(faq_id, 2, 1) < '8'")
+    new = one.withColumn("document_id", F.when(same, F.col("document_id")).otherwise(F.concat(F.lit("new-"), "document_id"))).select("*", F.concat(F.lit("https://docs.example.com/"), "document_id").alias("url"), F.lit("z").alias("extracted_at"), sure.alias("confidence"))
+    got = faqs.upserted(fx.faqs(s, d).where("faq_id < '8'"), new)
+    return got.select("faq_id", "action", F.col("source_count").cast("bigint").alias("source_count"), _r("aggregated_confidence").alias("aggregated_confidence"), F.array_join(F.sort_array("source_documents.document_id"), ",").alias("documents"))
+
+
 @query(f"with {fx.PAIRS}, g as (select *, row_number() over (order by extracted_at, document_id) as pos from pairs) select min(pos) as pos, arg_max(question, pos) as question, arg_max(answer, pos) as answer, round(arg_max(confidence, pos), 6) as confidence from (select pos, trim(question) as question, trim(answer) as answer, confidence from g) where question <> '' and answer <> '' group by lower(question)")
 def faq_normalise_generated(s, d):
     from pyspark.sql import Window

@@ -159,6 +159,13 @@ def test_sync_plan_covers_every_conversation(spark, sf):
     assert {"stale", "refreshed", "reassigned"} <= {r["action"] for r in got}
 
 
+def test_upsert_returns_every_faq(spark, sf):
+    every = {r["faq_id"] for r in fx.faqs(spark, sf).select("faq_id").collect()}
+    got = catalogue.queries()["faq_upsert_all"](spark, sf).collect()
+    assert len(got) == len(every) and {r["faq_id"] for r in got} == every
+    assert {r["action"] for r in got} == {"created", "merged", "refreshed", "kept"}
+
+
 def test_ingest_of_hard_rows(spark):
     long = " ".join(f"w{k}" for k in range(40))
     rows = [("u1", long, 1), ("u2", f" {long.upper()}\n", 2), ("u1", long, 3), ("u3", None, 4), ("u4", "few words", 5), ("u5", "few words", 6)]
