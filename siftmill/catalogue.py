@@ -670,6 +670,12 @@ def highlight_preview(s, d):
     return fx.table(s, d, "documents").select("doc_id", text.highlighted(F.substring("text", 1, 200), ["the", "there"]).alias("marked"), text.preview(F.col("text")).alias("preview"))
 
 
+@query("select doc_id, regexp_replace(text, '(there|the)', '<mark>\\1</mark>', 'gi') as marked, case when length(text) > 300 then substr(text, 1, 300) || '...' else text end as preview from documents")
+def highlight_all(s, d):
+    """highlight_preview with the whole text marked; the preview alone is cut."""
+    return fx.table(s, d, "documents").select("doc_id", text.highlighted(F.col("text"), ["the", "there"]).alias("marked"), text.preview(F.col("text")).alias("preview"))
+
+
 @query(f"select doc_id, case when x < 60 then x || 's ago' when x < 3600 then x // 60 || 'm ago' when x < 86400 then x // 3600 || 'h ago' else x // 86400 || 'd ago' end as said from (select doc_id, doc_id * 977 as x from documents)")
 def relative_times(s, d):
     return fx.table(s, d, "documents").select("doc_id", text.relative_time(F.timestamp_seconds(F.lit(NOW) - F.col("doc_id") * 977), _now()).alias("said"))

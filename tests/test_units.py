@@ -166,6 +166,13 @@ def test_upsert_returns_every_faq(spark, sf):
     assert {r["action"] for r in got} == {"created", "merged", "refreshed", "kept"}
 
 
+def test_highlight_covers_the_whole_text(spark, sf):
+    rows = catalogue.queries()["highlight_all"](spark, sf).join(fx.table(spark, sf, "documents"), "doc_id").collect()
+    late = [r for r in rows if "the" in r["text"][200:].lower()]
+    assert late and all(r["marked"].replace("<mark>", "").replace("</mark>", "") == r["text"] for r in rows)
+    assert all(r["marked"].count("<mark>") == r["text"].lower().count("the") for r in rows)
+
+
 def test_ingest_of_hard_rows(spark):
     long = " ".join(f"w{k}" for k in range(40))
     rows = [("u1", long, 1), ("u2", f" {long.upper()}\n", 2), ("u1", long, 3), ("u3", None, 4), ("u4", "few words", 5), ("u5", "few words", 6)]
