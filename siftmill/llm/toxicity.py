@@ -76,7 +76,7 @@ class NonNegativePU:
         return some[(share_p >= self.TIMES * share_u) & (share_p - share_u >= self.ERRORS * error)]
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> "NonNegativePU":
-        """Rows are arrays of features.  Without a positive or an unlabelled row, or without an input that tells them apart, every score is the prior."""
+        """Rows are arrays of features.  Without a positive or an unlabelled row, or without an input that tells them apart, there is no model: every score is 0."""
         # Copies say no more than one text does.
         positive, unlabelled = (list({_digest(x): x for x in rows}.values()) for rows in (positive, unlabelled))
         kept = self.screened(positive, unlabelled) if positive and unlabelled else []
@@ -122,6 +122,8 @@ class NonNegativePU:
         if len(known) > REMEMBERED:
             known.clear()
         out, weights = [], self.weights
+        if not weights:  # the prior says nothing about a text
+            return [0.0] * len(texts)
         for text in texts:
             found = set()
             for w in words(text):
@@ -188,7 +190,8 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.3, model: NonNegat
     """doc_id, held_out, score, predicted for every row of docs.
 
     A text's score is a function of its words alone; null and empty texts have the score of no word.
-    Without labels the score is the prior for all.  A null doc_id is never held out.
+    If no word tells toxic texts apart (no or few labels, or a third or more toxic among the unlabelled
+    ones), every score is 0, so that no row is predicted, whatever the prior.  A null doc_id is never held out.
     """
     model = model or fitted(docs, labels)
     rows = _with_scores(docs, ["doc_id"], model)
@@ -196,5 +199,5 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.3, model: NonNegat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that score under cut."""
+    """The rows of docs, with all their columns, that score under cut: all of them if no model could be fitted."""
     return _with_scores(docs, docs.columns, fitted(docs, labels)).where(F.col("score") < cut).select("row.*")

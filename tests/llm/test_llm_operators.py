@@ -97,6 +97,15 @@ def test_toxicity_hard_rows(spark, hard, empty):
     assert kept.columns == hard.columns and kept.count() == hard.count()
 
 
+def test_toxicity_without_a_model_keeps_all(spark):
+    docs = spark.createDataFrame([(k, f"word{k} text") for k in range(20)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fitted(docs, labels)
+    assert model.prior >= 0.3 and not model.weights
+    assert {r["predicted"] for r in toxicity.scored(docs, labels).collect()} == {0}
+    assert toxicity.without_toxic(docs, labels).count() == 20
+
+
 # 2
 def plain_spans(text):
     out = []
