@@ -108,16 +108,16 @@ def _paths(first: int, last: int):
 
 
 def _leaves(nodes: DataFrame, first: int, last: int) -> tuple[DataFrame, int]:
-    """(uid, leaf, n) for the runs' buckets of two nodes and more that are small or as deep as they get; and the greatest depth."""
+    """(uid, leaf, n) for the runs' buckets of two nodes and more that are small or as deep as they get; and the depth of the deepest split, whether or not it left two nodes together."""
     left, _ = base.written(nodes.select("uid", "low").mapInArrow(_paths(first, last), base.schema(("uid", "bigint"), *((f"b{k + 1}", "bigint") for k in range(DEPTH)))), "join-paths")
     found, depth = None, 0
     for k in range(1, DEPTH + 1):
+        depth = k  # from the second on, left has rows
         counts, _ = base.written(left.groupBy(f"b{k}").agg(F.count("*").alias("n")).where("n > 1"), "join-counts")
         here, _ = base.written(base.join_counted(left, counts, f"b{k}", "n"), "join-buckets")
         own = here if k == DEPTH else here.where(F.col("n") <= SMALL)
         own = own.select("uid", F.col(f"b{k}").alias("leaf"), "n")
         found = own if found is None else found.unionByName(own)
-        depth = k if not own.isEmpty() else depth
         left = here.where(F.col("n") > SMALL).drop("n")
         if k < DEPTH and left.isEmpty():
             break

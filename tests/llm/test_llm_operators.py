@@ -452,6 +452,15 @@ def test_runs_reach_the_target():
     assert [similarity.runs_for(d) for d in (1, 2, 3)] == [5, 7, 10]
 
 
+def test_depth_counts_splits_without_a_leaf(spark):
+    m = similarity.SMALL + 12
+    low = np.arange(m * similarity.HASHES, dtype=np.uint32).reshape(m, similarity.HASHES)
+    low[:, int(similarity.mixed(np.array([1], np.uint64))[0] % np.uint64(similarity.HASHES))] = 5  # all choose this one first in run 0
+    nodes = spark.createDataFrame([(k, bytearray(low[k].tobytes())) for k in range(m)], "uid long, low binary")
+    found, depth = similarity._leaves(nodes, 0, 1)
+    assert found.count() == 0 and depth == 2
+
+
 # 10
 def test_exact_dedup_equals_sql(spark):
     same(registry.op10_exact_dedup(spark, "/root/testdata/sf0.01"), dedup.ORACLE_SQL, documents="/root/testdata/sf0.01/documents.parquet")
