@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import base
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens and characters of a segment at most; texts and regions that a fit looks at, at most.
-MAX_TOKENS, MAX_CHARS, SAMPLE_TEXTS, SAMPLE_REGIONS = 20, 80, 4000, 1500
+#: Tokens and characters of a segment at most; texts and regions that a fit looks at, at most; characters of such a region at most.
+MAX_TOKENS, MAX_CHARS, SAMPLE_TEXTS, SAMPLE_REGIONS, SAMPLE_CHARS = 20, 80, 4000, 1500, 200
 #: A span that the field adds must be this likely.
 SURE = 0.9
 _ANY = re.compile("[0-9@]")
@@ -244,22 +244,29 @@ class Field:
         return self
 
 
-def _samples(batches):
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            for begin, end in regions(text)[:20]:
-                if end - begin <= 200:
-                    cut = max(0, begin - 20)
-                    out.append((text[cut : end + 20], begin - cut, end - cut))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.int64(), pa.int64()))], names=["text", "begin", "end"])
+def _samples(longest: int):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                for begin, end in regions(text):
+                    if end - begin <= longest:
+                        cut = max(0, begin - 20)
+                        out.append((text[cut : end + 20], begin - cut, end - cut))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.string(), pa.int64(), pa.int64()))], names=["text", "begin", "end"])
+
+    return run
 
 
-def fitted(docs: DataFrame, texts: int = SAMPLE_TEXTS, sample: int = SAMPLE_REGIONS) -> Field:
-    """Fits on a bounded sample: regions of the texts with the smallest hashes of doc_id, of these the ones with the smallest hashes."""
+def fitted(docs: DataFrame, texts: int = SAMPLE_TEXTS, sample: int = SAMPLE_REGIONS, longest: int = SAMPLE_CHARS) -> Field:
+    """Fits on a bounded sample: regions of the texts with the smallest hashes of doc_id, of these the ones with the smallest hashes.
+
+    A text's regions all take part, wherever they are, but those of more than `longest` characters:
+    a step's time and memory grow with them.  They are segmented like others, only not learnt from.
+    """
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts).distinct()
     own = docs.select("doc_id", base.text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id").select("text")
-    found = own.mapInArrow(_samples, base.schema(("text", "string"), ("begin", "bigint"), ("end", "bigint"))).distinct()
+    found = own.mapInArrow(_samples(longest), base.schema(("text", "string"), ("begin", "bigint"), ("end", "bigint"))).distinct()
     rows = found.orderBy(F.xxhash64("text", "begin"), "text", "begin", "end").limit(sample).collect()
     return Field().fit([(r[0], r[1], r[2]) for r in rows])
 

@@ -142,6 +142,14 @@ def test_pii_keeps_base_spans_and_adds_others(docs, hard, empty):
     assert masked.where("text like '%<email> and <ip> or <phone>%'").count() == 1
 
 
+def test_pii_sample_sees_late_and_long_regions(spark, monkeypatch):
+    text = " and ".join([*(f"n{k}" for k in range(40)), "1" * 300])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    monkeypatch.setattr(pii.Field, "fit", lambda self, samples: [t[b:e] for t, b, e in samples])
+    assert sorted(pii.fitted(docs)) == sorted(f"n{k}" for k in range(40))
+    assert "1" * 300 in pii.fitted(docs, longest=300)
+
+
 def test_semi_markov_sums_equal_enumeration():
     field, text = pii.Field(), "x 1.2.3.4 5"
     field.steps = [[0.1 * (a - b) for b in range(5)] for a in range(5)]
