@@ -44,7 +44,10 @@ class FileWriter:
             self.close_frame()
 
     def close_frame(self) -> None:
-        raw = np.concatenate(self.open).astype(self.kind).tobytes() if self.open else b""
+        ids = np.concatenate(self.open) if self.open else np.zeros(0, self.kind)
+        if len(ids) and int(ids.max()) > np.iinfo(self.kind).max:
+            raise ValueError(f"id {ids.max()} does not fit in {self.kind.itemsize} bytes")
+        raw = ids.astype(self.kind).tobytes()
         if raw:
             frame = self.packer.compress(raw)
             self.frames.append(frame)
@@ -104,10 +107,17 @@ class FileReader:
         return [self.document(int(k))[1] for k in np.flatnonzero((self.rows["doc_id"] == doc_id) & (self.rows["known"] == 1))]
 
 
-def _write(folder: str, vocabulary: str, end_id: int, width: int):
+def width_of(vocabulary: str, end_id: int) -> int:
+    """Bytes of an id, 2 or 4, that hold every id of the vocabulary and the end id."""
+    greatest = max(end_id, *library(vocabulary, True).tokenizer.get_vocab(True).values())
+    return 2 if greatest < 1 << 16 else 4
+
+
+def _write(folder: str, vocabulary: str, end_id: int, given: int | None):
     def run(batches):
         gc.disable()  # a table of words makes each collection long
         encoder, files, part, made = library(vocabulary, True), base.Files(folder), TaskContext.get().partitionId(), 0
+        width = given or width_of(vocabulary, end_id)
         out = FileWriter(width)
 
         def flush():
@@ -134,12 +144,13 @@ MANIFEST = base.schema(("part", "bigint"), ("seq", "bigint"), ("name", "string")
 MANIFEST_ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())])
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width: int = 2) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, width: int | None = None) -> DataFrame:
     """Encodes every text, appends end_id, writes files in ascending doc_id order (nulls first, equal ids in any order).
 
     Partitions are ranges of doc_id; a task writes whole files of bounded size under names that its
     partition gives, so a task that runs again replaces its own files.  Returns the manifest (a row
-    for each file), written to the folder's _manifest.  width: bytes of a stored id.
+    for each file), written to the folder's _manifest.  width: bytes of a
+    stored id, by default what the vocabulary needs; an id that doesn't fit is an error.
     """
     base.small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), base.text_of(docs).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -178,11 +189,11 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     return files.repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(_digests(folder), base.schema(("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")))
 
 
-def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
+def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, width: int | None = None) -> DataFrame:
     """Round trip: one row per row of docs with its place in the files, its count and checksum of ids.
 
     Null and empty texts have the end id alone.  An empty table writes no file and gives no row.
-    Other columns are ignored.
+    Other columns are ignored.  width: as in write_token_files.
     """
     folder = base.scratch_path(docs.sparkSession, "token-files")
-    return read_digests(write_token_files(docs, folder, vocabulary, end_id), folder)
+    return read_digests(write_token_files(docs, folder, vocabulary, end_id, width), folder)

@@ -239,6 +239,17 @@ def test_token_files_round_trip(docs, hard, empty):
     assert token_files.token_files(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_wide_ids_are_kept(spark):
+    path, end = P.path("word_bpe_49k.json"), 70_000
+    row = token_files.token_files(spark.createDataFrame([(1, "")], "doc_id long, text string"), path, end).first()
+    assert (row["n_tokens"], row["ids_crc32"]) == (1, crc([end]))
+    assert token_files.width_of(path, 2) == 2 and token_files.width_of(path, end) == 4
+    writer = token_files.FileWriter(2)
+    writer.add(1, np.array([end], np.uint32))
+    with pytest.raises(ValueError, match="does not fit"):
+        writer.finish()
+
+
 def test_token_file_reads_one_frame_for_one_document():
     import io
 
