@@ -38,6 +38,11 @@ def _terms(q: Query, name: str, text: Column) -> list[Column]:
     return out
 
 
+def _some_url(urls: Column, test, values) -> Column:
+    """Whether any url passes the test for any value.  Spark fills every parameter of a lambda, so it has one and no defaults."""
+    return F.exists(urls, lambda u: _any(test(u, v) for v in values))
+
+
 def _times(q: Query, at: Column) -> list[Column]:
     bounds = ([at < F.lit(q.before)] if q.before else []) + ([at > F.lit(q.after)] if q.after else [])
     return [F.coalesce(_all(bounds), F.lit(False))] if bounds else []
@@ -76,10 +81,10 @@ def faq_predicate(q: Query, with_times: bool = True) -> Column:
     own = {"content": text, "title": text, "url": joined, "links": joined}
     parts = [p for f in FIELDS for p in _terms(q, f, own[f])]
     for name, test in (("site", lambda u, v: at_site(host(u), v)), ("filetype", lambda u, v: filetype(u) == v)):
-        for group, keep in ((q.any_of, True), (q.none_of, False)):
-            if group.get(name):
-                hit = F.exists(urls, lambda u, test=test, values=group[name]: _any(test(u, v) for v in values))
-                parts.append(hit if keep else ~hit)
+        if q.any_of.get(name):
+            parts.append(_some_url(urls, test, q.any_of[name]))
+        if q.none_of.get(name):
+            parts.append(~_some_url(urls, test, q.none_of[name]))
     every = F.concat_ws("\n", text, joined)
     parts += [_has(every, t) for t in q.free] + [~_has(every, t) for t in q.unwanted]
     at = F.coalesce(F.try_to_timestamp(c("last_updated").cast("string")), F.try_to_timestamp(c("first_seen").cast("string"))) if with_times else F.lit(None).cast("timestamp")
