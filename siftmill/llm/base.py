@@ -5,14 +5,18 @@ from __future__ import annotations
 import io
 import os
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Rows in an Arrow batch that goes to Python; long texts are bounded by Spark's own limit on the bytes of a batch.
-BATCH_ROWS = 1000
+#: Bytes of text that a Python worker takes at once.
+SLAB_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,9 +47,27 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, s
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slabs(batches: Iterable[pa.RecordBatch], size: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text (a longer text is a batch of its own); Spark's own limit is on rows."""
+    held, bytes_held = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin, total = 0, np.cumsum(lengths)
+        while begin < batch.num_rows:
+            before = int(total[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(total, before + size - bytes_held, "right")))
+            held.append(batch.slice(begin, stop - begin))
+            bytes_held += int(total[stop - 1]) - before
+            begin = stop
+            if bytes_held >= size or begin < batch.num_rows:
+                yield _joined(held)
+                held, bytes_held = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
 #: A key is hot if it holds more than one in so many of the rows; there can't be more hot keys than this.

@@ -7,9 +7,9 @@ checked by its bytes.  Other words are merged from linked bytes, the best pair t
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .tokens import PieceCache
+from .base import slabs
+from .tokens import WordTable
 
 _MULTIPLY, _LOW = 0x9E3779B1, 0xFFFFFFFF
+#: Fixed value: the split pattern whose words tokens.words_of finds from the classes of bytes; any other one is left to the regex library.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class PerfectHash:
@@ -78,7 +81,7 @@ class PerfectHash:
         return k if k >= 0 and self.keys[k] == key else -1
 
 
-class TwoTier(PieceCache):
+class TwoTier(WordTable):
     """Ids by a rank file, without special tokens; pattern splits words."""
 
     def __init__(self, path: str, pattern: str):
@@ -89,10 +92,11 @@ class TwoTier(PieceCache):
         self.ranks = {k: int(r) for k, (_, r) in zip(keys, entries)}
         self.whole = PerfectHash(keys)
         self.numbers = [int(r) for _, r in entries]
-        self.bytes_of = [b""] * (max(self.numbers, default=-1) + 1)
+        bytes_of = [b""] * (max(self.numbers, default=-1) + 1)
         for k, r in zip(keys, self.numbers):
-            self.bytes_of[r] = k
-        self.find = regex.compile(pattern).findall
+            bytes_of[r] = k
+        self.bytes_of = pa.array(bytes_of, pa.binary())
+        self.known, self.find = pattern == KNOWN_PATTERN, regex.compile(pattern).findall
 
     def merge(self, word: bytes) -> list[int]:
         """Merges linked bytes; heap entries whose parts have changed meanwhile are passed over."""
@@ -121,19 +125,25 @@ class TwoTier(PieceCache):
                 heappush(heap, (r, h, len(parts[h]) + len(a)))
         return [ranks[p] for p in parts if p is not None]
 
+    def whole_texts(self, texts):
+        return super().whole_texts(texts) if self.known else np.arange(len(texts))
+
     def encode_words(self, words):
-        out = []
+        found, get, numbers, merge = [], self.whole.get, self.numbers, self.merge
         for word in words:
-            data = word.encode("utf-8", "surrogatepass")
-            k = self.whole.get(data)
-            out.append(np.array([self.numbers[k]] if k >= 0 else self.merge(data), "<u4").tobytes())
-        return out
+            k = get(word)
+            found.append((numbers[k],) if k >= 0 else merge(word))
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode_whole(self, text):
-        return b"".join(self.encode_words(self.find(text)))
+        return self.encode_words([w.encode() for w in self.find(text)])[0]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """The bytes of each text's ids."""
+        chained = self.bytes_of.take(pa.array(ids))
+        at = np.frombuffer(chained.buffers()[1], np.int32, len(ids) + 1)[ends].tolist() if len(ids) else [0] * len(ends)
+        data = memoryview(chained.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip(at, at[1:])]
 
 
 _CODECS: dict = {}
@@ -147,17 +157,13 @@ def codec(path: str, pattern: str) -> TwoTier:
 
 def _digest(path: str, pattern: str):
     def run(batches):
-        gc.disable()
         tiers = codec(path, pattern)
-        for batch in batches:
+        for batch in slabs(batches):
             ids, ends = tiers.encode(batch.column("text"))
-            counts, hashes, back = [], [], []
-            for a, b in zip(ends.tolist(), ends[1:].tolist()):
-                own = ids[a:b]
-                counts.append(b - a)
-                hashes.append(hashlib.sha256(own.tobytes()).hexdigest())
-                back.append(hashlib.sha256(tiers.decode(own)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            hashes = [hashlib.sha256(view[4 * a : 4 * b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            back = [hashlib.sha256(x).hexdigest() for x in tiers.decode(ids, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -165,7 +171,7 @@ def _digest(path: str, pattern: str):
 def _encode(path: str, pattern: str):
     def run(batches):
         tiers = codec(path, pattern)
-        for batch in batches:
+        for batch in slabs(batches):
             ids, ends = tiers.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["row", "ids"])
 
@@ -174,7 +180,6 @@ def _encode(path: str, pattern: str):
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with a column `ids` (replacing one of that name); null and empty texts have an empty list."""
-    base.small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "ids"]
     rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), base.text_of(docs).alias("text"))
     out = base.schema(("ids", "array<int>"))
@@ -188,6 +193,5 @@ def codec_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Maps rows one by one: no shuffle, any order, ties and repeated rows as they come; null and empty
     texts have no id.  Other columns are ignored.
     """
-    base.small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), base.text_of(docs).alias("text"))
     return rows.mapInArrow(_digest(path, pattern), base.schema(("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")))

@@ -113,7 +113,6 @@ def recipe_table(docs: DataFrame, columns: list[str] | None = None, width: int =
     If two different chunks share an identifier, everything is chunked again with another seed and
     identifiers 16 bytes longer; a fourth failure raises.
     """
-    base.small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*(docs[c] for c in columns or docs.columns)).alias("row"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     out = T.StructType([rows.schema["row"], T.StructField("uid", T.LongType()), *base.schema(("recipe", "binary"), ("text_sha256", "string"), ("fresh", "array<struct<id:binary,body:binary>>")).fields])
     for attempt in range(4):

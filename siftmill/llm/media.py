@@ -112,7 +112,6 @@ def _archive(folder: str):
 
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
     """Writes every row's payload as a member of an archive, where its rows are read (no shuffle).  Returns the archives' names, members and bytes."""
-    base.small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), base.text_of(docs).alias("text"))
     rows.mapInArrow(_archive(folder), _WRITTEN).write.parquet(f"{folder}/_archives")
     return docs.sparkSession.read.schema(_WRITTEN).parquet(f"{folder}/_archives")

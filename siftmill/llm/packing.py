@@ -10,8 +10,8 @@ packed across blocks.
 
 from __future__ import annotations
 
-import gc
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .tokens import library
+from .base import slabs
+from .tokens import library, with_end
 
 LIMIT = 2048
 #: Items of a block (an island's whole problem), islands of a block, epochs between which elites migrate, population, children of an epoch.
-BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 16_000, 2, 2, 3, 4
+BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 16_000, 2, 2, 3, 12
+#: How much likelier than half-full bins full ones are injected: the power of their filling.
+KEEN = 8
 #: A bin fuller than this share of the limit stays; the others are packed once more across blocks.
 FULL = 0.995
 
@@ -56,75 +59,85 @@ class Bins:
 
 
 class Island:
-    """Evolves the packing of lengths (each 1 to limit); genomes are lists of bins of item numbers."""
+    """Evolves the packing of lengths (each 1 to limit); genomes are lists of bins, a bin its load and its item numbers."""
 
     def __init__(self, lengths: list[int], limit: int, seed: int):
         self.lengths, self.limit, self.rng = lengths, limit, np.random.default_rng(seed)
-        self.bound = -(-sum(lengths) // limit)
+        self.bound = least_bins(np.asarray(lengths, np.int64), limit)
 
-    def load(self, members: list[int]) -> int:
-        return sum(map(self.lengths.__getitem__, members))
-
-    def fitness(self, genome: list[list[int]]) -> tuple[int, float]:
+    def fitness(self, genome: list[tuple[int, list[int]]]) -> tuple[int, int]:
         """Fewer bins first, then bins of more uneven filling, which leave better room."""
-        return -len(genome), sum((self.load(b) / self.limit) ** 2 for b in genome)
-
-    def filled(self, bins: Bins, items: list[int]) -> list[list[int]]:
-        lengths = self.lengths
+        return -len(genome), sum(load * load for load, _ in genome)
+
+    def filled(self, kept: list[tuple[int, list[int]]], items: list[int]) -> list[tuple[int, list[int]]]:
+        """Bins that stay as they are, with items put in by best fit, longest first."""
+        lengths, limit = self.lengths, self.limit
+        bins = Bins(limit)
+        for load, members in kept:
+            bins.open(members, limit - load)
         for i in sorted(items, key=lengths.__getitem__, reverse=True):
             bins.put(i, lengths[i])
-        return bins.members
+        return [(limit - room, bins.members[b]) for room, own in enumerate(bins.by_room) for b in own]
 
-    def first(self, noise: float) -> list[list[int]]:
+    def first(self, noise: float) -> list[tuple[int, list[int]]]:
         """Best fit in decreasing order, or in an order blurred by noise."""
         order = np.argsort(-np.asarray(self.lengths) * (1 + noise * self.rng.random(len(self.lengths))), kind="stable").tolist()
         bins = Bins(self.limit)
         for i in order:
             bins.put(i, self.lengths[i])
-        return bins.members
-
-    def cross(self, keeper: list[list[int]], giver: list[list[int]]) -> list[list[int]]:
-        full = sorted(range(len(giver)), key=lambda b: -self.load(giver[b]))
-        full = full[: max(1, len(full) // 2)]
-        given = [giver[b] for b in self.rng.permutation(full)[: max(1, len(full) // 4)].tolist()]
-        inside = {i for b in given for i in b}
-        bins, loose = Bins(self.limit), []
-        for b in given:
-            bins.open(list(b), self.limit - self.load(b))
-        for b in keeper:
-            if inside.isdisjoint(b):
-                bins.open(list(b), self.limit - self.load(b))
-            else:
-                loose += [i for i in b if i not in inside]
-        return self.filled(bins, loose)
-
-    def mutated(self, genome: list[list[int]]) -> list[list[int]]:
-        order = sorted(range(len(genome)), key=lambda b: self.load(genome[b]))
-        out = set(order[: max(2, len(order) // 50)])
-        bins, loose = Bins(self.limit), []
-        for k, b in enumerate(genome):
-            if k in out:
-                loose += b
+        return [(self.limit - room, bins.members[b]) for room, own in enumerate(bins.by_room) for b in own]
+
+    def cross(self, keeper: list, giver: list) -> list[tuple[int, list[int]]]:
+        """Whole bins of the giver, those well filled likelier, into the keeper, whose bins with the same items are broken up."""
+        load = np.array([x for x, _ in giver])
+        weight = (load / self.limit) ** KEEN
+        some = max(1, len(giver) * int(self.rng.integers(5, 60)) // 100)
+        chance = self.rng.random(len(giver)) ** (1 / np.maximum(weight, 1e-9))
+        given = [giver[b] for b in np.argpartition(-chance, some - 1)[:some].tolist()]
+        inside = set(chain.from_iterable(members for _, members in given))
+        kept, loose = [(x, list(members)) for x, members in given], []
+        for x, members in keeper:
+            if inside.isdisjoint(members):
+                kept.append((x, list(members)))
             else:
-                bins.open(list(b), self.limit - self.load(b))
-        return self.filled(bins, loose)
+                loose += [i for i in members if i not in inside]
+        return self.filled(kept, loose)
+
+    def mutated(self, genome: list) -> list[tuple[int, list[int]]]:
+        """Breaks up the worst filled bins and some others."""
+        load = np.array([x for x, _ in genome])
+        chance = self.rng.random(len(genome)) * (1 + self.limit - load)
+        out = set(np.argsort(-chance)[: max(2, len(genome) // 25)].tolist())
+        kept = [(x, list(members)) for b, (x, members) in enumerate(genome) if b not in out]
+        return self.filled(kept, [i for b in out for i in genome[b][1]])
 
     def run(self, genomes: list[list[list[int]]], children: int = CHILDREN) -> list[list[int]]:
-        """The best genome after so many children; ends when the lower bound is met."""
-        while len(genomes) < POPULATION:
-            genomes.append(self.first(0.0 if not genomes else 0.2 * len(genomes)))
-        ranked = sorted(((self.fitness(g), g) for g in genomes), key=lambda x: x[0])
+        """The best genome (bins of item numbers) after so many children; ends when the lower bound is met."""
+        known = [[(sum(map(self.lengths.__getitem__, b)), b) for b in g] for g in genomes]
+        ranked = []
+        while len(ranked) < POPULATION:
+            one = known[len(ranked)] if len(ranked) < len(known) else self.first(0.0 if not ranked else 0.1 * len(ranked))
+            ranked.append((self.fitness(one), one))
+            if len(one) <= self.bound:  # nothing can be better
+                return [b for _, b in one]
+        ranked.sort(key=lambda x: x[0])
         for n in range(children):
-            if -ranked[-1][0][0] <= self.bound:
-                break
             a, b = self.rng.choice(len(ranked), 2, replace=False)
-            child = self.cross(ranked[a][1], ranked[b][1])
+            child = self.cross(ranked[max(a, b)][1], ranked[min(a, b)][1])
             if n % 2:
                 child = self.mutated(child)
             fit = self.fitness(child)
             if fit > ranked[0][0]:
                 ranked = sorted([*ranked[1:], (fit, child)], key=lambda x: x[0])
-        return ranked[-1][1]
+            if len(child) <= self.bound:
+                break
+        return [b for _, b in ranked[-1][1]]
+
+
+def least_bins(lengths: np.ndarray, limit: int) -> int:
+    """No packing has fewer bins: by the sum of lengths, and as at most k items longer than limit / (k + 1) share a bin."""
+    counts = [-(-int((lengths * (k + 1) > limit).sum()) // k) for k in range(1, 12)]
+    return max(-(-int(lengths.sum()) // limit), *counts)
 
 
 def _as_bytes(genome: list[list[int]], n: int) -> bytes:
@@ -142,7 +155,6 @@ def _as_genome(data: bytes) -> list[list[int]]:
 
 def _evolve(limit: int, seed: int, epoch: int):
     def run(batches):
-        gc.disable()
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
@@ -173,19 +185,25 @@ def _round(items: DataFrame, n: int, limit: int, seed: int) -> DataFrame:
             start = problems.join(moved, ["block", "island"])
         elites, _ = base.written(start.repartition(tasks, "block", "island").mapInArrow(_evolve(limit, seed, epoch), _EVOLVED), "pack-elites")
     best = elites.groupBy("block").agg(F.min(F.struct("bins", "island", "genome")).alias("best")).select("block", "best.genome")
-    out = base.schema(("uid", "bigint"), ("piece", "int"), ("length", "int"), ("block", "bigint"), ("bin", "int"))
-    return own.join(best, "block").mapInArrow(_spread, out)
+    return own.join(best, "block").mapInArrow(_spread, _PLACED)
+
+
+_PLACED = base.schema(("uid", "bigint"), ("piece", "int"), ("length", "int"), ("block", "bigint"), ("bin", "int"), ("load", "int"), ("offset", "bigint"))
 
 
 def _spread(batches):
+    """Every item with its bin, the bin's load, and its place in it."""
     for batch in batches:
         for row in batch.to_pylist():
-            bins = np.frombuffer(row["genome"], np.int32)
-            items = row["items"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x["uid"] for x in items], pa.int64()), pa.array([x["piece"] for x in items], pa.int32()), pa.array([x["length"] for x in items], pa.int32()), pa.array(np.full(len(items), row["block"]), pa.int64()), pa.array(bins)],
-                names=["uid", "piece", "length", "block", "bin"],
-            )
+            items, bins = row["items"], np.frombuffer(row["genome"], np.int32)
+            length = np.array([x["length"] for x in items], np.int64)
+            load = np.bincount(bins, length).astype(np.int64)
+            order = np.argsort(bins, kind="stable")
+            before = np.cumsum(length[order]) - length[order]
+            offset = np.zeros(len(items), np.int64)
+            offset[order] = before - (np.cumsum(load) - load)[bins[order]]
+            columns = ([x["uid"] for x in items], [x["piece"] for x in items], length, np.full(len(items), row["block"]), bins, load[bins], offset)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=_PLACED.names)
 
 
 def packed(items: DataFrame, limit: int = LIMIT, seed: int = 11) -> DataFrame:
@@ -199,41 +217,32 @@ def packed(items: DataFrame, limit: int = LIMIT, seed: int = 11) -> DataFrame:
     done = alone.select("uid", "piece", (F.monotonically_increasing_id() * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     number = F.col("block") * (1 << 24) + F.col("bin")
     for k in (1, 2):
-        n = rest.count()
-        placed, _ = base.written(_round(rest, n, limit, seed + k), "pack-placed")
-        bins = placed.groupBy("block", "bin").agg(F.sum("length").alias("load"))
+        placed, _ = base.written(_round(rest, rest.count(), limit, seed + k), "pack-placed")
+        kept = placed
         if k == 1:  # bins with room are few: broken up, and packed once more
-            bins, _ = base.written(bins, "pack-bins")
-            kept = placed.join(bins.where(F.col("load") >= FULL * limit), ["block", "bin"], "left_semi")
-            rest = placed.join(bins.where(F.col("load") < FULL * limit), ["block", "bin"], "left_semi").select("uid", "piece", "length")
-        else:
-            kept = placed
-        numbered = kept.withColumn("sequence_id", number * 4 + k)
-        within = F.sort_array(F.collect_list(F.struct("uid", "piece", "length"))).alias("own")
-        lists = numbered.groupBy("sequence_id").agg(within)  # a sequence holds at most `limit` items
-        offset = F.aggregate(F.slice("own", 1, F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x["length"])
-        done = done.unionByName(lists.select("sequence_id", "own", F.posexplode("own").alias("pos", "x")).select("x.uid", "x.piece", "sequence_id", offset.alias("offset")))
+            kept = placed.where(F.col("load") >= FULL * limit)
+            rest = placed.where(F.col("load") < FULL * limit).select("uid", "piece", "length")
+        done = done.unionByName(kept.select("uid", "piece", (number * 4 + k).alias("sequence_id"), "offset"))
     return done
 
 
 def _pieces(vocabulary: str, end_id: int, limit: int):
     def run(batches):
-        gc.disable()
         encoder = library(vocabulary, False)
-        for batch in batches:
-            ids, ends = encoder.encode(batch.column("text"))
-            rows = []
-            for k, (doc_id, uid) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("uid").to_pylist())):
-                own = np.append(ids[ends[k] : ends[k + 1]], np.uint32(end_id)).astype("<u4")
-                begin, piece = 0, 0
-                stop = len(own) % limit or limit  # the first piece may be shorter, the others are full
-                if len(own) <= limit:
-                    stop = len(own)
-                while begin < len(own):
-                    rows.append((doc_id, uid, piece, begin, stop - begin, zlib.crc32(own[begin:stop].tobytes())))
-                    begin, stop, piece = stop, stop + limit, piece + 1
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["doc_id", "uid", "piece", "start", "length", "ids_crc32"])
+        for batch in slabs(batches):
+            ids, ends = with_end(*encoder.encode(batch.column("text")), end_id)
+            view = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            counts = np.diff(ends)
+            pieces = -(-counts // limit)
+            owner = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+            first = counts - (pieces - 1) * limit  # the first piece may be shorter, the others are full
+            start = np.where(piece == 0, 0, first[owner] + (piece - 1) * limit)
+            length = np.where(piece == 0, first[owner], limit)
+            begin = (4 * (ends[:-1][owner] + start)).tolist()
+            sums = [zlib.crc32(view[a : a + 4 * n]) for a, n in zip(begin, length.tolist())]
+            taken = [batch.column(c).take(pa.array(owner)) for c in ("doc_id", "uid")]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], names=["doc_id", "uid", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -246,7 +255,6 @@ def packed_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, limit: i
     their own.  An empty table gives no row; other columns are ignored.  Ids are not moved: only
     lengths and checksums are.
     """
-    base.small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     out = base.schema(("doc_id", "bigint"), ("uid", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"))
     pieces, _ = base.written(rows.mapInArrow(_pieces(vocabulary, end_id, limit), out), "pack-pieces")

@@ -314,7 +314,6 @@ _NAMES = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
 def _with_spans(docs: DataFrame, columns: list[str], field: Field | None) -> DataFrame:
-    base.small_batches(docs.sparkSession)
     field = field or fitted(docs)
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), base.text_of(docs).alias("text"))
     out = base.schema(*((n, "bigint") for n in _NAMES[:4]), *((n, "string") for n in _NAMES[4:]))
@@ -351,7 +350,6 @@ def _masked(field: Field, text_at: str):
 
 def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with every found span replaced by its kind in angle brackets, and n_chars, if there, counted anew; null texts stay null."""
-    base.small_batches(docs.sparkSession)
     field = field or fitted(docs)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), base.text_of(docs).alias("text"))
     out = base.schema(("masked", "string"))

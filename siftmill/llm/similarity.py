@@ -258,7 +258,6 @@ def _few(df: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Two written tables: the rows (`row` with the named columns and the text, uid, set), and for each set its copies, its n_links and the first row of its class, `head`."""
-    base.small_batches(docs.sparkSession)
     carried = dict.fromkeys([*columns, "text"])  # the text once, also if it is among the columns
     rows = docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     table, _ = base.written(rows.mapInArrow(_signed, T.StructType([rows.schema["row"], rows.schema["uid"], *base.schema(("set", "binary"), ("low", "binary")).fields])), "join-rows")

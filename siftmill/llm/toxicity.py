@@ -180,7 +180,6 @@ def _scored(model: NonNegativePU):
 
 
 def _with_scores(docs: DataFrame, columns: list[str], model: NonNegativePU) -> DataFrame:
-    base.small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), base.text_of(docs).alias("text"))
     out = base.schema(("score", "double"))
     return rows.mapInArrow(_scored(model), type(out)([rows.schema["row"], *out.fields]))

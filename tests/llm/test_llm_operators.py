@@ -6,14 +6,16 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftmill.llm import base, bpe, dedup, media, packing, pii, registry, sharding, similarity, token_files, toxicity, urlfilter
+from siftmill.llm import base, bpe, dedup, media, packing, pii, registry, sharding, similarity, token_files, tokens, toxicity, urlfilter
 
 WORDS5 = 5
 HARD = "doc_id long, text string, lang string, source string, n_chars long, uid long, row string, recipe string, low int, block int"
@@ -213,12 +215,53 @@ def test_shard_files(docs, tmp_path, spark):
 
 
 # 4
-def library_ids(name, text):
+ODD = [*"abzSTdmlrvELé ÀŸſĐİıȺȾǅ  \'\'\'’sstdm 0129²½.,-!?\n\t\r\x0b\x1c\x85\xa0\u2009\u3000 日本\u0301👍ɐɏ\x00", "'s", "'ll", "'re", "'ve", " '", "<|endoftext|>", "<|startoftext|>", "J\u030c", "  ", "Ⅷ"]
+
+
+def odd_texts(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(ODD, k=rng.randrange(30))) for _ in range(n)] + ["", "x" * 5000, "1" * 3000, " " * 100]
+
+
+@pytest.mark.parametrize("name, words", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+@pytest.mark.parametrize("literal", [False, True])
+def test_words_of_odd_texts_equal_the_library(name, words, literal):
+    from tokenizers import Tokenizer
+
+    plain, own, texts = Tokenizer.from_file(P.path(name)), tokens.LibraryWords(P.path(name), words, literal), odd_texts(5000, 7)
+    plain.encode_special_tokens = literal
+    for part in (texts[:3000], texts[3000:], texts):  # the table learns between calls
+        ids, ends = own.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(ends.tolist(), ends[1:].tolist())] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_the_word_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 3000)
+    own, rng = tokens.LibraryWords(P.path("byte_bpe_50k.json"), False), random.Random(4)
+    for _ in range(20):
+        own.encode(pa.array([f"word{rng.randrange(10**6)} and word{rng.randrange(10**6)}" for _ in range(rng.randrange(60))], pa.string()))
+        assert own.words.nbytes + own.ids.nbytes <= 3000
+
+
+def test_slabs_keep_every_row():
+    rng = random.Random(6)
+    texts = [None if rng.random() < 0.1 else "x" * rng.choice([0, 1, 10, 400]) for _ in range(500)]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 70], pa.string())}) for k in range(0, 500, 70)]
+    for size in (1, 100, 1000, 10**6):
+        parts = [b.column("text").to_pylist() for b in base.slabs(batches, size)]
+        assert [t for p in parts for t in p] == texts
+        assert all(len(p) == 1 or sum(len(t or "") for t in p[:-1]) <= size for p in parts)
+
+
+@lru_cache
+def library(name):
     from tokenizers import Tokenizer
 
-    t = library_ids.__dict__.setdefault(name, Tokenizer.from_file(P.path(name)))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(P.path(name))
+
+
+def library_ids(name, text):
+    return library(name).encode(text, add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -226,8 +269,11 @@ def crc(ids):
 
 
 def test_token_files_round_trip(docs, hard, empty):
-    for df in (docs, hard):
-        rows = token_files.token_files(df, P.path("word_bpe_49k.json")).collect()
+    alike = hard.sparkSession.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text")).unionByName(docs.select("doc_id", "text"))
+    for df, most in ((docs, 1 << 20), (docs, 20_000), (alike, 20_000), (hard, 1 << 20), (hard, 1000)):
+        folder = base.scratch_path(df.sparkSession, "token-files")
+        manifest = token_files.write_token_files(df, folder, P.path("word_bpe_49k.json"), part_bytes=most)
+        rows = token_files.read_digests(manifest, folder).collect()
         want = sorted(((d is not None, d or 0), len(ids), crc(ids)) for d, ids in ((d, [*library_ids("word_bpe_49k.json", t), 2]) for d, t in text_rows(df)))
         assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["n_tokens"], r["ids_crc32"]) for r in rows) == want
         at = 0
@@ -301,17 +347,47 @@ def test_packing(docs, hard, empty):
 
 
 def test_genetic_packing_keeps_every_item_once_and_helps():
+    """With the settings of production, where best fit misses the bound, the search packs strictly tighter."""
     rng = np.random.default_rng(2)
-    lengths = rng.integers(300, 900, 600).tolist()
-    island = packing.Island(lengths, 2048, 1)
-    first = island.first(0.0)
-    best = island.run([], 40)
-    assert sorted(i for b in best for i in b) == list(range(600))
-    assert max(map(island.load, best)) <= 2048
-    assert island.fitness(best) >= island.fitness(first)
-    assert sorted(map(sorted, packing._as_genome(packing._as_bytes(best, 600)))) == sorted(map(sorted, best))
-    child = island.cross(first, best)
-    assert sorted(i for b in child for i in b) == list(range(600))
+    for low, high in ((300, 900), (400, 1100)):
+        lengths = rng.integers(low, high, packing.BLOCK).tolist()
+        island = packing.Island(lengths, 2048, 1)
+        first = island.first(0.0)
+        best = island.run([])
+        assert sorted(i for b in best for i in b) == list(range(packing.BLOCK))
+        assert max(sum(lengths[i] for i in b) for b in best) <= 2048
+        assert island.bound <= len(best) < len(first)
+        assert len(packing.Island(lengths, 2048, 2).run([best])) <= len(best)  # the next epoch goes on from it
+        assert sorted(map(sorted, packing._as_genome(packing._as_bytes(best, packing.BLOCK)))) == sorted(map(sorted, best))
+        child = island.cross(first, island.first(0.2))
+        assert sorted(i for _, b in child for i in b) == list(range(packing.BLOCK))
+        assert all(load == sum(lengths[i] for i in b) for load, b in child)
+
+
+def test_least_bins_is_a_bound():
+    assert packing.least_bins(np.array([1025] * 10), 2048) == 10
+    assert packing.least_bins(np.array([700] * 10), 2048) == 5
+    assert packing.least_bins(np.array([512] * 10), 2048) == 3
+
+
+def test_islands_migrate_and_pack_tighter_than_best_fit(spark):
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(300, 900, 6000).tolist()
+    items = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "uid long, piece int, length long")
+    got = packing.packed(items).collect()
+    own = defaultdict(list)
+    for r in got:
+        own[r["sequence_id"]].append((r["offset"], lengths[r["uid"]]))
+    assert len(got) == 6000
+    for b in own.values():
+        assert [a for a, _ in sorted(b)] == np.cumsum([0, *(n for _, n in sorted(b))]).tolist()[:-1] and sum(n for _, n in b) <= 2048
+    assert packing.least_bins(np.array(lengths), 2048) <= len(own) < len(packing.Island(lengths, 2048, 1).first(0.0))
+
+
+def test_a_sequence_of_empty_documents(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = packing.packed_documents(docs, P.path("byte_bpe_50k.json")).groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("last")).collect()
+    assert sorted(r["n"] for r in got) == [904, 2048, 2048] and all(r["last"] == r["n"] - 1 for r in got)
 
 
 # 6
@@ -353,6 +429,20 @@ def test_bpe_equals_the_library(docs, hard, empty):
     assert bpe.encoded(hard, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).where("size(ids) = 0").count() == 2
 
 
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"\p{L}{1,3}|\p{N}|\s+|[^\s\p{L}\p{N}]+"])
+def test_bpe_of_odd_texts_and_patterns(pattern):
+    import base64
+
+    import tiktoken
+
+    assert bpe.KNOWN_PATTERN == P.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain, own, texts = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe.TwoTier(P.path("byte_bpe_50k.tiktoken"), pattern), odd_texts(3000, 8)
+    ids, ends = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends.tolist(), ends[1:].tolist())] == [plain.encode_ordinary(t) for t in texts]
+    assert [bytes(x).decode() for x in own.decode(ids, ends)] == texts
+
+
 def test_perfect_hash_is_minimal():
     keys = [f"k{i}".encode() for i in range(5000)]
     table = bpe.PerfectHash(keys)
