@@ -416,7 +416,11 @@ def search_full(s, d):
     return got.documents.select("doc_id", _r("score", 4).alias("score"), "boosted_by_faqs")
 
 
-@query(_SEARCH.format(limit=10, wide=50, where="true") + " select doc_id::varchar as doc_id, round(score, 6) as score, boosted_by_faqs from kept")
+# FAQs are scoped before their top 30 are taken: only those with a source in the allowed domains compete
+_SEARCH_KB = _SEARCH.replace("fp as (select doc_id from dense order by", "fp as (select doc_id from dense where doc_id * 2 in (select doc_id from c) order by")
+
+
+@query(_SEARCH_KB.format(limit=10, wide=50, where="true") + " select doc_id::varchar as doc_id, round(score, 6) as score, boosted_by_faqs from kept")
 def search_kb_full(s, d):
     docs, faq_table = _full(s, d)
     got = search.knowledge_base(docs, faq_table, "anything at all", fx.query_vectors(s, d), 10, allowed=["example.com"], least_faq=0.9)
