@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import ids, text, urls, vectors
-from .operators import agent, faqs, feedback, graph, ingest, migrate, queues, retention, search
+from .operators import agent, faqs, feedback, graph, health, ingest, migrate, queues, retention, search
 from .plans import predicates, querylang
 from .sources import fixtures as fx
 
@@ -230,7 +230,7 @@ def url_variants(s, d):
     return fx.table(s, d, "pages").select("page_id", "url", F.split_part("url", F.lit("#"), F.lit(1)).alias("without_fragment"), low.alias("lowered"))
 
 
-@query(f"with {fx.WEB}, w as (select n, case when n % 3 = 0 then upper(substr(url, 1, 4)) || substr(url, 5) when n % 3 = 1 then url || '#zz' else url end as url from web), hit as (select w.url, web.doc_id, web.url as matched_url from w join web on web.n = w.n where not (w.n % 3 = 1 and web.url like '%#%') and not (w.n % 3 = 0 and web.url like '%#%')) select url, doc_id, matched_url from hit")
+@query(f"with {fx.WEB.replace('web as (', 'web as materialized (', 1)}, w as (select n, case when n % 3 = 0 then upper(substr(url, 1, 4)) || substr(url, 5) when n % 3 = 1 then url || '#zz' else url end as url from web), hit as (select w.url, web.doc_id, web.url as matched_url from w join web on web.n = w.n where not (w.n % 3 = 1 and web.url like '%#%') and not (w.n % 3 = 0 and web.url like '%#%')) select url, doc_id, matched_url from hit")
 def url_variants_resolve(s, d):
     web = fx.web(s, d)
     n = F.col("n")
@@ -263,6 +263,10 @@ DORKS = {
     "dork_intext": ("intext:idiot|stupid", f"contains({_C}, 'idiot') or contains({_C}, 'stupid')"),
     "dork_allintext": ('allintext:"the of"', f"contains({_C}, 'the') and contains({_C}, 'of')"),
     "dork_intitle": ("intitle:the", f"contains({_T}, 'the')"),
+    "dork_allintitle": ('allintitle:"the i"', f"contains({_T}, 'the') and contains({_T}, 'i')"),
+    "dork_allinurl": ("allinurl:(/en/ src1)", f"contains({_U}, '/en/') and contains({_U}, 'src1')"),
+    "dork_dates_in_parentheses": ('after:(2024-01-05) before:"2024-01-20"', f"coalesce(indexed > {fx.EPOCH + 4 * 86400} and indexed < {fx.EPOCH + 19 * 86400}, false)"),
+    "dork_quoted_alternatives": ("intext:('tion'|\"ter\")", f"contains({_C}, 'tion') or contains({_C}, 'ter')"),
     "dork_inurl": ("inurl:/de/", f"contains({_U}, '/de/')"),
     "dork_site": ("site:*3.example.com", f"regexp_matches({_H}, '^.*3\\.example\\.com$')"),
     "dork_filetype": ("filetype:pdf", "ends_with(url, '.pdf')"),
@@ -427,8 +431,54 @@ def search_kb_full(s, d):
     return got.documents.select("doc_id", _r("score").alias("score"), "boosted_by_faqs")
 
 
+def _whole(s, d):
+    """Every document, the n-th with the token vectors of n modulo their number."""
+    t = fx.tokens(s, d)
+    t = t.crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).withColumnRenamed("doc_id", "v")
+    docs = fx.texts(s, d).drop("doc_id").join(t, F.col("n") % F.col("total") == F.col("v")).drop("v", "total")
+    return docs.withColumn("doc_id", F.col("n").cast("string")), _full(s, d)[1]
+
+
+def _over_all(sql):
+    """The SQL of a search over _whole."""
+    was = "select l.doc_id, l.score, d.score as ds, t.* exclude (doc_id) from late l join dense d using (doc_id) join texts t on t.n = l.doc_id"
+    assert was in sql
+    return sql.replace(was, "select t.n as doc_id, l.score, d.score as ds, t.* exclude (doc_id) from late l join dense d using (doc_id) join texts t on t.n % (select count(*) from late) = l.doc_id")
+
+
+@query(_over_all(_SEARCH).format(limit=10, wide=50, where=f"contains({_EVERY}, 'e') and not contains({_U}, '/es/')") + ", r as (select min(score) as lo, max(score) - min(score) as w from kept) select doc_id::varchar as doc_id, round(case when w > 0 then lo + pow((score - lo) / w, 5.0) * w else score end, 4) as score, boosted_by_faqs from kept, r")
+def search_all(s, d):
+    """search_full with every document as a candidate."""
+    docs, faq_table = _whole(s, d)
+    got = search.search(docs, faq_table, "e -inurl:/es/", fx.query_vectors(s, d), 10, now=_now(), least_faq=0.9)
+    return got.documents.select("doc_id", _r("score", 4).alias("score"), "boosted_by_faqs")
+
+
+_KB_SCOPED = _over_all(_SEARCH_KB).replace("% (select count(*) from late) = l.doc_id)", "% (select count(*) from late) = l.doc_id where source = 'src3')")
+
+
+@query(_KB_SCOPED.format(limit=10, wide=50, where="true") + " select doc_id::varchar as doc_id, round(score, 6) as score, boosted_by_faqs from kept")
+def search_kb_scoped(s, d):
+    """search_kb_full with every document, and a domain that leaves most of them out."""
+    docs, faq_table = _whole(s, d)
+    got = search.knowledge_base(docs, faq_table, "anything at all", fx.query_vectors(s, d), 10, allowed=["https://www.src3.example.com/x"], least_faq=0.9)
+    return got.documents.select("doc_id", _r("score").alias("score"), "boosted_by_faqs")
+
+
+_FLAG = f"""{_over_all(_SEARCH).split(' fp as')[0]} pre as (select * from c order by ds desc, doc_id::varchar limit 500),
+ aged as (select * replace (score + pow(0.5, abs({NOW} - coalesce(indexed, 0)) / 86400.0) as score) from pre), top as (select * from aged order by score desc, doc_id::varchar limit 50),
+ kept as (select * from top where contains({_EVERY}, 'the') and coalesce(indexed > {fx.EPOCH + 86400}, false) and {_H} <> 'src3.example.com' order by score desc, doc_id::varchar limit 10),
+ r as (select min(score) as lo, max(score) - min(score) as w from kept)
+ select doc_id::varchar as doc_id, url, round(case when w > 0 then lo + pow((score - lo) / w, 5.0) * w else score end, 4) as score, false as boosted_by_faqs from kept, r"""
+
+
+@query(_FLAG, "flagship")
+def _flagship_row(s, d):
+    return flagship(s, d).withColumn("score", _r("score", 4))
+
+
 def flagship(s, d):
-    docs, faq_table = _full(s, d)
+    docs, faq_table = _whole(s, d)
     got = search.search(docs, faq_table, "the after:2024-01-02 -site:src3.example.com", fx.query_vectors(s, d), 10, now=_now(), least_faq=0.9)
     return got.documents.select("doc_id", "url", "score", "boosted_by_faqs")
 
@@ -716,3 +766,200 @@ def reembed_text(s, d):
     t = fx.table(s, d, "documents").withColumns({"question": F.col("source"), "answer": F.col("lang"), "key": F.col("source"), "value": F.col("lang"), "content": F.col("source")})
     k = F.col("doc_id") % 3
     return t.select("doc_id", F.when(k == 0, migrate.text_to_embed("faq")).when(k == 1, migrate.text_to_embed("kv")).otherwise(migrate.text_to_embed("document")).alias("t"))
+
+
+# operators on their own
+
+
+@query(f"with {_STATUS} select n from st where status = 'stored'")
+def ingest_stored(s, d):
+    return ingest.stored(_statuses(s, d)).select("n")
+
+
+@query("select doc_id, nullif(regexp_replace(regexp_replace(trim(regexp_extract(h, '^#{1,6}\\s+(.+)$', 1)), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`]', '', 'g'), '') as heading from (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', chr(10) || '## '), chr(10))[1:50], lambda x: trim(x)), lambda x: regexp_matches(x, '^#{1,6}\\s+\\S'))[1] as h from documents)")
+def title_of_text(s, d):
+    """Headings of whole texts whose sentences after the first are headings: none for texts of one sentence."""
+    t = fx.table(s, d, "documents")
+    return t.select("doc_id", text.heading(F.replace("text", F.lit(". "), F.lit("\n## "))).alias("heading"))
+
+
+@query("select vec_id as doc_id from embeddings where vec_id % 9 = 0")
+def dimension_mismatch_found(s, d):
+    v = fx.vectors(s, d)
+    return migrate.mismatched(v.withColumn("dense", F.when(F.col("doc_id") % 9 == 0, F.slice("dense", 1, 60)).otherwise(F.col("dense"))), 64).select("doc_id")
+
+
+@query(f"select name, points from ({_COUNTS}) where name in ('documents', 'pages') union all select 'docs_migration_20240101_000000', count(*) from labels")
+def primary_collections_of_kind(s, d):
+    """By alias and kind: a migration that has an alias is one, a collection of another kind isn't."""
+    typed = queues.admin_statistics(_collections(s, d), _aliases(s))
+    odd = s.range(1).select(F.lit("odd").alias("name"), F.lit(3).cast("bigint").alias("points"), F.lit(None).cast("string").alias("alias"), F.lit("faq").alias("kind"))
+    return queues.primary(typed.select("name", "points", "alias", "kind").unionByName(odd)).select("name", "points")
+
+
+@query(f"""with {_EDGES}, r1 as (select dst as n, min([src, k]) as p, arg_min(src, [src, k]) as via from e where src < 3 and dst >= 3 group by dst),
+ r2 as (select e.dst as n, min(list_append(r1.p, k)) as p, arg_min(r1.n, list_append(r1.p, k)) as via from r1 join e on e.src = r1.n where e.dst >= 3 and e.dst not in (select n from r1) group by e.dst)
+ select n, 1 as hop, via, row_number() over (order by p) as place from r1 union all select n, 2, via, (select count(*) from r1) + row_number() over (order by p) from r2""")
+def graph_bfs_order(s, d):
+    """The walk with what led to each page, and the order of discovery."""
+    from pyspark.sql import Window
+
+    web = fx.web(s, d)
+    found = graph.related(web, web.where("n < 3").select("doc_id", F.col("n").alias("pos")), 2, 1_000_000).withColumn("place", F.row_number().over(Window.orderBy("hop", "pos")))
+    n, v = web.select("doc_id", "n"), web.select(F.col("doc_id").alias("via"), F.col("n").alias("v"))
+    return found.join(n, "doc_id").join(v, "via").select("n", "hop", F.col("v").alias("via"), "place")
+
+
+@query(f"""with {fx.FAQ_ROWS}, old as (select * from src where faq_id < '8' and document_id < '5')
+ select faq_id, case when faq_id not in (select faq_id from old) then 'created' when count(*) = count(*) filter (where (faq_id, document_id) in (select faq_id, document_id from old)) then 'refreshed' else 'merged' end as action,
+ count(*)::bigint as source_count, string_agg(document_id, ',' order by document_id) as documents from src group by 1""")
+def faq_upsert_batch(s, d):
+    """All sources of all FAQs in one batch, into FAQs that know some of them."""
+    rows = fx.faq_rows(s, d)
+    got = faqs.upserted(faqs.merged(rows.where("faq_id < '8' and document_id < '5'")), rows)
+    return got.select("faq_id", "action", F.col("source_count").cast("bigint").alias("source_count"), F.array_join(F.sort_array("source_documents.document_id"), ",").alias("documents"))
+
+
+_NEW_ID = fx.sql_uuid5("trim(regexp_replace(trim(question), '\\s+', ' ', 'g'))||'|'||trim(regexp_replace(trim(answer), '\\s+', ' ', 'g'))", "a1b2c3d4e5f67890abcdef1234567890")
+_SYNC = f"""with {fx.FAQ_ROWS}, {_GENERATED_ALL.replace("confidence from", "confidence, url, extracted_at from")},
+ g as (select document_id as d, md5(lower(trim(question))) as h, arg_max({_NEW_ID}, (confidence, pos)) as new_id from gen where trim(question) <> '' and trim(answer) <> '' group by 1, 2),
+ q as (select faq_id, md5(lower(trim(arg_min(question, (extracted_at, question, answer))))) as h from ids group by 1),
+ held as (select src.faq_id, src.document_id as d, q.h from src join q using (faq_id) where src.document_id in (select document_id from gen)),
+ gone as (select held.faq_id, held.d from held left join g on g.d = held.d and g.h = held.h where g.new_id is null or g.new_id <> held.faq_id),
+ put as (select distinct new_id as faq_id, d from g)"""
+
+
+@query(f"""{_SYNC}, every as (select faq_id, document_id as d from src union select * from put), rest as (select * from every anti join gone using (faq_id, d)),
+ act as (select faq_id, case when faq_id not in (select faq_id from put) then 'kept' when faq_id not in (select faq_id from src) then 'created' when exists (select 1 from put p where p.faq_id = x.faq_id and (p.faq_id, p.d) not in (select faq_id, document_id from src)) then 'merged' else 'refreshed' end as a from (select distinct faq_id from every) x)
+ select act.faq_id, case when act.faq_id not in (select faq_id from gone) then a when count(rest.d) = 0 then 'deleted' when a = 'kept' then 'removed_source' else a end as fate, coalesce(string_agg(rest.d, ',' order by rest.d), '') as documents from act left join rest on rest.faq_id = act.faq_id group by act.faq_id, a""")
+def faq_sync_applied(s, d):
+    """The FAQs after a new generation for every document: one conversation in five isn't asked again, every other has new answers."""
+    got = faqs.synced(fx.faqs(s, d), _generated_all(s, d))
+    return got.select("faq_id", "fate", F.array_join(F.sort_array("source_documents.document_id"), ",").alias("documents"))
+
+
+def _generated_all(s, d):
+    return fx.faq_rows(s, d).where("conv_id % 5 <> 0").select("document_id", F.col("extracted_at").alias("pos"), "question", F.when(F.col("conv_id") % 2 == 1, F.concat("answer", F.lit(" v2"))).otherwise(F.col("answer")).alias("answer"), "confidence", "url", "extracted_at")
+
+
+@query(f"""{_SYNC}, o as (select d, h, min(faq_id) as old_id from held group by 1, 2), x as (select coalesce(g.d, o.d) as d, new_id, old_id from g full join o on g.d = o.d and g.h = o.h)
+ select d as document_id, count(*) filter (where new_id is not null and new_id not in (select faq_id from src)) as created,
+ count(*) filter (where new_id in (select faq_id from src) and (new_id, d) not in (select faq_id, document_id from src)) as merged, count(*) filter (where (new_id, d) in (select faq_id, document_id from src)) as refreshed,
+ count(*) filter (where new_id <> old_id) as reassigned, count(*) filter (where new_id is null) as stale from x group by 1""")
+def faq_sync_counters(s, d):
+    return faqs.sync_counters(fx.faqs(s, d), _generated_all(s, d))
+
+
+@query(f"with {fx.FAQ_ROWS}, t as (select min(faq_id) as id from src) select faq_id, case when faq_id <> (select id from t) then 'kept' when bool_or(document_id = 'new') then 'already_exists' else 'added' end as action, (count(*) + (faq_id = (select id from t))::int)::bigint as source_count from src group by 1")
+def faq_add_source(s, d):
+    f = fx.faqs(s, d)
+    target = f.agg(F.min("faq_id")).first()[0]
+    source = F.struct(F.lit("new").alias("document_id"), F.lit("https://docs.example.com/new").alias("url"), F.lit("z").alias("extracted_at"), F.lit(0.5).alias("confidence"))
+    return faqs.source_added(f, target or "", source).select("faq_id", "action", F.col("source_count").cast("bigint").alias("source_count"))
+
+
+@query(f"with {fx.FAQ_ROWS}, t as (select min(faq_id) as id from src where document_id = '7'), g as (select faq_id, count(*) as n, count(*) filter (where document_id = '7') as hit from src group by 1) select faq_id, case when faq_id <> coalesce((select id from t), '') then 'kept' when n = hit then 'deleted' else 'removed' end as action, (n - case when faq_id = coalesce((select id from t), '') then hit else 0 end)::bigint as source_count from g")
+def faq_take_source(s, d):
+    f = fx.faqs(s, d)
+    target = f.where(F.array_contains("source_documents.document_id", "7")).agg(F.min("faq_id")).first()[0]
+    return faqs.source_removed(f, target or "", "7").select("faq_id", "action", F.col("source_count").cast("bigint").alias("source_count"))
+
+
+@query(f"with {fx.FAQ_ROWS} select 'document' as kind, doc_id::varchar as id from documents where doc_id <> 5 union all select distinct 'faq', faq_id from src where url <> 'https://docs.example.com/5'")
+def faq_cascade(s, d):
+    docs = fx.table(s, d, "documents").select("doc_id").withColumn("n", F.col("doc_id").cast("string")).withColumn("doc_id", ids.document_id(F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string"))))
+    left, f = faqs.cascade(docs, fx.faqs(s, d), "https://docs.example.com/5")
+    return left.select(F.lit("document").alias("kind"), F.col("n").alias("id")).unionByName(f.select(F.lit("faq").alias("kind"), F.col("faq_id").alias("id")))
+
+
+@query(f"with {fx.FAQ_ROWS} select faq_id, case when faq_id < '8' then count(*) else 1 end::bigint as source_count, case when faq_id < '8' then round(max(confidence), 6) else 1.0::double end as aggregated_confidence from src group by 1")
+def faq_response(s, d):
+    """FAQs of the old form, without sources, answer with their one document."""
+    f = fx.faqs(s, d).withColumn("source_documents", F.when(F.col("faq_id") < "8", F.col("source_documents")))
+    return faqs.response(f).select("faq_id", F.col("source_count").cast("bigint").alias("source_count"), _r("aggregated_confidence").alias("aggregated_confidence"))
+
+
+@query(f"with {fx.FAQ_ROWS} select distinct faq_id from src where document_id = '4' order by faq_id limit 20")
+def faq_list_of_document(s, d):
+    return faqs.listed(fx.faqs(s, d), "4", limit=20).select("faq_id")
+
+
+@query(f"with {fx.TOKENS}, {_PRE} select doc_id + 1000 as faq_id, round(score, 6) as score from late semi join pre using (doc_id) order by late.score desc, doc_id limit 5")
+def faq_duplicates(s, d):
+    return search.duplicate_faqs(_answers(s, d), fx.query_vectors(s, d)).select("faq_id", _r("score").alias("score"))
+
+
+@query(f"with {fx.TOKENS}, {_PRE} select doc_id + 1000 as faq_id, round(score, 6) as score from (select * from late semi join pre using (doc_id) order by late.score desc, doc_id limit 10) where score >= 1.0")
+def faq_tool(s, d):
+    return search.faq_tool(_full(s, d)[0], _full(s, d)[1], fx.query_vectors(s, d), 10, least=1.0).select("faq_id", _r("score").alias("score"))
+
+
+@query(f"with {fx.TOKENS}, pre as (select doc_id from dense order by dense.score desc, doc_id limit 100) select doc_id, round(score, 6) as score from late semi join pre using (doc_id) order by late.score desc, doc_id limit 7")
+def admin_search(s, d):
+    return search.admin_search(fx.tokens(s, d), fx.query_vectors(s, d), 7).select("doc_id", _r("score").alias("score"))
+
+
+@query(f"with {fx.FAQ_ROWS} select distinct faq_id, 0.0::double as score from src where contains(url, '/1') order by faq_id limit 20")
+def faq_scan(s, d):
+    f = fx.faqs(s, d).withColumn("url", F.lit(""))
+    return search.scanned(f, querylang.parse(""), 20, predicate=predicates.faq_predicate(querylang.parse("site:docs.example.com inurl:/1 -filetype:pdf")), key="faq_id").select("faq_id", "score")
+
+
+@query(f"with {fx.FAQ_ROWS} select faq_id from src group by 1 having not bool_or(url in ('https://docs.example.com/4', 'https://docs.example.com/8'))")
+def faq_exclude_urls(s, d):
+    return search.faqs_without_urls(fx.faqs(s, d), ["https://docs.example.com/4", "https://docs.example.com/8"]).select("faq_id")
+
+
+@query(f"""with {fx.WEB}, {fx.TOKENS}, c as (select web.*, l.score, d.score as ds from web join late l on l.doc_id = web.n % (select count(*) from late) join dense d on d.doc_id = l.doc_id),
+ pre as (select * from c order by ds desc, doc_id limit 500), hits as (select * from pre order by score desc, doc_id limit 3),
+ seeds as (select n, doc_id, row_number() over (order by doc_id) as pos from hits),
+ r as (select t.n, min([s.pos, k]) as p, arg_min(s.n, [s.pos, k]) as via from seeds s join (select n, unnest(hyperlinks) as l, unnest([0, 1, 2]) as k from web) w on w.n = s.n join web t on split_part(w.l, '#', 1) = t.url where t.n not in (select n from seeds) group by t.n)
+ select n, 1 as hop, via from r order by p limit 4""")
+def kb_related(s, d):
+    """The pages that the three best hits link to, in order of discovery."""
+    t = fx.tokens(s, d)
+    t = t.crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).withColumnRenamed("doc_id", "v")
+    web = fx.web(s, d)
+    docs = web.join(t, F.col("n") % F.col("total") == F.col("v")).drop("v", "total")
+    none = _full(s, d)[1].limit(0)
+    got = search.knowledge_base(docs, none, "anything", fx.query_vectors(s, d), 3, follow_links=True, max_hops=1, max_related=4).related
+    n, v = web.select("doc_id", "n"), web.select(F.col("doc_id").alias("via"), F.col("n").alias("v"))
+    return got.join(n, "doc_id").join(v, "via").select("n", "hop", F.col("v").alias("via"))
+
+
+@query(f"with {fx.FEEDBACK} select id, case when id % 7 = 0 then 'user_rating' when id % 5 = 0 then 'ranking_score' when id % 11 = 0 then 'content_type' when id % 13 = 0 then 'query' end as problem from feedback")
+def feedback_problems(s, d):
+    n = F.col("id")
+    rows = fx.feedback(s, d).withColumns({
+        "user_rating": F.when(n % 7 == 0, 5).otherwise(F.col("user_rating")), "ranking_score": F.when(n % 5 == 0, 9).otherwise(F.col("ranking_score")),
+        "content_type": F.when(n % 11 == 0, "x").otherwise(F.col("content_type")), "query": F.when(n % 13 == 0, " ").otherwise(F.col("query")),
+    })
+    return rows.select("id", feedback.problems(rows).alias("problem"))
+
+
+@query("select doc_id as id, 'Key: ' || source || chr(10) || 'Value: ' || lang as text, 'kv' as content_type from documents")
+def feedback_kv_rows(s, d):
+    t = fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("kv_key"), F.col("lang").alias("kv_value"))
+    return feedback.kv_rows(t).select("id", "text", "content_type")
+
+
+@query("select doc_id as run_id from documents order by n_chars desc, doc_id desc limit 25")
+def recent_runs(s, d):
+    return queues.recent_runs(fx.table(s, d, "documents").select(F.col("doc_id").alias("run_id"), F.col("n_chars").alias("started_at"))).select("run_id")
+
+
+@query(f"""with {fx.TEXTS}, p as (select doc_id, 'Document: ' || url || chr(10) || case when length(content) > 5000 then rtrim(substr(content, 1, 5000), ' ') || '...' else content end as body from texts),
+ u as (select b.n // 7 as g, string_agg('Source: ' || url || chr(10) || case when length(content) > 3200 then rtrim(substr(content, 1, 3200), ' ') || '...' else content end, chr(10) || chr(10) order by n) as t from texts b where n % 7 between 1 and 5 group by 1)
+ select p.doc_id, md5(case when u.t is null then body else body || chr(10) || chr(10) || u.t end) as prompt from p left join u on p.doc_id = (u.g * 7)::varchar""")
+def agent_prompt(s, d):
+    """Every seventh document with the five after it."""
+    t = fx.texts(s, d)
+    n = F.col("n")
+    supporting = t.where((n % 7 >= 1) & (n % 7 <= 6)).select((n - n % 7).cast("string").alias("doc_id"), (n % 7).alias("pos"), "url", "content")
+    return agent.prompt(t, supporting).select("doc_id", F.md5(F.encode("prompt", "utf-8")).alias("prompt"))
+
+
+@query("select 'dense_search' as probe, 'ok' as status, 1::bigint as found union all select 'hybrid_search', 'ok', 1 union all select 'faq_search', 'ok', 1 union all select 'count', 'ok', 1 union all select 'scroll', 'ok', 1 union all select 'broken', 'degraded', null")
+def health_probes(s, d):
+    checks = {**health.standard(fx.tokens(s, d), _answers(s, d), fx.query_vectors(s, d)), "broken": lambda: s.table("no_such_table")}
+    return health.probes(s, checks, optional=("broken",)).select("probe", "status", "found")

@@ -49,12 +49,8 @@ def token_vectors(flat: Column, dimension: int = LATE_DIMENSION) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(flat, i * dimension + 1, F.lit(dimension)))).otherwise(F.array())
 
 
-def placeholder_vectors(dimension: int = LATE_DIMENSION) -> Column:
-    return F.array(F.array_repeat(F.lit(0.0).cast("float"), dimension))
-
-
 def retry_limit(message: Column) -> Column:
-    """The next length to try after a model's complaint of `passed N ... limit M`: below N, at most M, at least 512; null for other messages."""
+    """The next length to try after a logged complaint of `passed N ... limit M`: below N, at most M, at least 512; null for other messages.  The embedding hook does the same for a live model."""
     passed = F.regexp_extract(message, r"(?i)passed\s+(\d+)", 1)
     most = F.regexp_extract(message, r"(?i)limit\D{0,40}?(\d+)", 1)
     return F.when((passed != "") & (most != ""), F.greatest(F.lit(512), F.least(passed.cast("int") - 1, most.cast("int"))))

@@ -28,22 +28,28 @@ def identified(pairs: DataFrame) -> DataFrame:
 
 
 def merged(incoming: DataFrame) -> DataFrame:
-    """incoming (faq_id, question, answer, document_id, url, confidence, extracted_at): one FAQ per id, one source per document, the latest extraction of each."""
-    own = incoming.groupBy("faq_id", "document_id").agg(F.max_by(F.struct("url", "extracted_at", "confidence"), "extracted_at").alias("s"), F.min(F.struct("extracted_at", "question", "answer")).alias("q"))
+    """incoming (faq_id, question, answer, document_id, url, confidence, extracted_at): one FAQ per id, one source per document, the latest extraction of each (of equally late ones the greatest url, then confidence)."""
+    own = incoming.groupBy("faq_id", "document_id").agg(F.max_by(F.struct("url", "extracted_at", "confidence"), F.struct("extracted_at", "url", "confidence")).alias("s"), F.min(F.struct("extracted_at", "question", "answer")).alias("q"))
     source = F.struct("document_id", F.col("s.url").alias("url"), F.col("s.extracted_at").alias("extracted_at"), F.col("s.confidence").alias("confidence"))
     out = own.groupBy("faq_id").agg(F.sort_array(F.collect_list(source)).alias("source_documents"), F.min("q").alias("q"), F.max("s.extracted_at").alias("last_updated"))
     return with_totals(out.select("faq_id", F.col("q.question").alias("question"), F.col("q.answer").alias("answer"), "source_documents", F.col("q.extracted_at").alias("first_seen"), "last_updated"))
 
 
 def upserted(faqs: DataFrame, incoming: DataFrame, keep_existing: bool = False) -> DataFrame:
-    """Sources put into FAQs: action created, merged (a new source) or refreshed (a known one, overwritten unless keep_existing).  incoming is one source a row."""
-    new = incoming.select(F.col("faq_id").alias("id"), F.col("question").alias("new_q"), F.col("answer").alias("new_a"), F.struct("document_id", "url", "extracted_at", "confidence").alias("s"))
-    both = faqs.join(new, F.col("faq_id") == F.col("id"), "full_outer")
-    old = F.coalesce("source_documents", F.array().cast(SOURCE))
-    known = F.exists(old, lambda x: x["document_id"] == F.col("s.document_id"))
-    put = F.transform(old, lambda x: F.when(x["document_id"] == F.col("s.document_id"), F.col("s").cast(SOURCE[6:-1])).otherwise(x))
-    sources = F.when(F.col("s").isNull(), old).when(known, old if keep_existing else put).otherwise(F.concat(old, F.array(F.col("s").cast(SOURCE[6:-1]))))
-    action = F.when(F.col("s").isNull(), "kept").when(F.col("faq_id").isNull(), "created").when(known, "merged" if keep_existing else "refreshed").otherwise("merged")
+    """Sources put into FAQs: one row a FAQ, with action created, merged (some source is new) or refreshed (all were known, and are overwritten unless keep_existing: then merged), or kept.
+
+    incoming (faq_id, question, answer, document_id, url, confidence, extracted_at) may have any number
+    of sources of a FAQ; of one document the latest extraction counts, as in merged.
+    """
+    new = merged(incoming).select(F.col("faq_id").alias("id"), F.col("question").alias("new_q"), F.col("answer").alias("new_a"), F.col("source_documents").cast(SOURCE).alias("put"))
+    # a column of the result's name would stand for the result inside lambdas
+    both = faqs.withColumnRenamed("source_documents", "had").join(new, F.col("faq_id") == F.col("id"), "full_outer")
+    old, put = F.coalesce("had", F.array().cast(SOURCE)), F.coalesce("put", F.array().cast(SOURCE))
+    ids = lambda sources: F.transform(sources, lambda x: x["document_id"])
+    same = F.transform(old, lambda x: F.coalesce(F.try_element_at(F.filter(put, lambda y: y["document_id"] == x["document_id"]), F.lit(1)), x.cast(SOURCE[6:-1])))
+    added = F.filter(put, lambda y: ~F.array_contains(ids(old), y["document_id"]))
+    sources = F.concat(old.cast(SOURCE) if keep_existing else same, F.coalesce(added, F.array().cast(SOURCE)))
+    action = F.when(F.col("id").isNull(), "kept").when(F.col("faq_id").isNull(), "created").when(F.size(added) > 0, "merged").otherwise("merged" if keep_existing else "refreshed")
     return with_totals(both.select(F.coalesce("faq_id", "id").alias("faq_id"), F.coalesce("question", "new_q").alias("question"), F.coalesce("answer", "new_a").alias("answer"), sources.alias("source_documents"), action.alias("action")))
 
 
@@ -94,8 +100,10 @@ def response(faqs: DataFrame) -> DataFrame:
     return sources.withColumns({"source_count": F.size("source_documents"), "aggregated_confidence": F.coalesce(highest, F.lit(1.0))})
 
 
-def of_document(faqs: DataFrame, document: str, cap: int = 200) -> DataFrame:
-    return faqs.where(F.exists("source_documents", lambda s: s["document_id"] == document)).orderBy("faq_id").limit(cap)
+def of_document(faqs: DataFrame, document: str, cap: int | None = None) -> DataFrame:
+    """FAQs that have the document as a source; with a cap the first so many by id (the service's page is 200)."""
+    own = faqs.where(F.exists("source_documents", lambda s: s["document_id"] == document))
+    return own if cap is None else own.orderBy("faq_id").limit(cap)
 
 
 def exploded(faqs: DataFrame) -> DataFrame:
@@ -107,7 +115,7 @@ def counts_per_document(documents: DataFrame, faqs: DataFrame) -> DataFrame:
     return documents.select("doc_id").join(n, F.col("doc_id") == F.col("document_id"), "left").select("doc_id", F.coalesce("faq_count", F.lit(0)).alias("faq_count"))
 
 
-def document_detail(documents: DataFrame, faqs: DataFrame, document: str, cap: int = 100) -> DataFrame:
+def document_detail(documents: DataFrame, faqs: DataFrame, document: str, cap: int | None = None) -> DataFrame:
     own = of_document(faqs, document, cap).agg(F.sort_array(F.collect_list("faq_id")).alias("faqs"))
     return documents.where(F.col("doc_id") == document).crossJoin(F.broadcast(own))
 
@@ -151,3 +159,42 @@ def sync_plan(generated: DataFrame, existing: DataFrame) -> DataFrame:
     both = best.join(old, ["document_id", "question_hash"], "full_outer")
     action = F.when(F.col("new_faq_id").isNull(), "stale").when(F.col("old_faq_id").isNull(), "created").when(F.col("new_faq_id") == F.col("old_faq_id"), "refreshed").otherwise("reassigned")
     return both.withColumn("action", action)
+
+
+def synced(faqs: DataFrame, generated: DataFrame, remove_stale: bool = True) -> DataFrame:
+    """Applies sync_plan: FAQs after the sync, with `fate`: kept, created, merged, refreshed, removed_source or deleted (these have no source left).
+
+    generated as in sync_plan, and url, extracted_at.  Every document of it is synced: its questions
+    are put into the FAQs, and it is taken out of FAQs whose question it has another answer to now,
+    and, if remove_stale, of those it doesn't ask any more.
+    """
+    good = identified(generated.withColumns({"question": F.trim("question"), "answer": F.trim("answer")}).where("question <> '' and answer <> ''"))
+    good = good.withColumn("confidence", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)))
+    row = F.struct("faq_id", "question", "answer", "url", "extracted_at", "confidence")
+    best = good.groupBy("document_id", "question_hash").agg(F.max_by(row, F.struct("confidence", "pos")).alias("r")).select("document_id", "question_hash", "r.*")
+    synced_documents = generated.select(F.col("document_id").alias("d")).distinct()
+    held = faqs.select("faq_id", F.explode("source_documents.document_id").alias("d")).join(synced_documents, "d")
+    hashed = held.join(faqs.select("faq_id", question_hash(F.col("question")).alias("question_hash")), "faq_id")
+    now = best.select(F.col("document_id").alias("d"), "question_hash", F.col("faq_id").alias("new_id"))
+    match = hashed.join(now, ["d", "question_hash"], "left")
+    out = match.where((F.col("new_id") != F.col("faq_id")) | (F.col("new_id").isNull() & F.lit(remove_stale)))
+    gone = out.groupBy("faq_id").agg(F.collect_set("d").alias("gone"))
+    after = upserted(faqs, best).withColumnRenamed("source_documents", "had").join(gone, "faq_id", "left")
+    rest = F.filter("had", lambda x: ~F.coalesce(F.array_contains("gone", x["document_id"]), F.lit(False)))
+    fate = F.when(F.col("gone").isNull(), F.col("action")).when(F.size(rest) == 0, "deleted").when(F.col("action") == "kept", "removed_source").otherwise(F.col("action"))
+    return with_totals(after.select("faq_id", "question", "answer", fate.alias("fate"), rest.alias("source_documents")))
+
+
+def sync_counters(faqs: DataFrame, generated: DataFrame) -> DataFrame:
+    """What a sync does, by document of generated: questions created, merged, refreshed, reassigned (another answer), and stale ones."""
+    synced_documents = generated.select("document_id").distinct()
+    held = faqs.select("faq_id", F.col("question").alias("q"), F.explode("source_documents.document_id").alias("document_id")).join(synced_documents, "document_id")
+    plan = sync_plan(generated, held.select("document_id", "faq_id", question_hash(F.col("q")).alias("question_hash")))
+    known = plan.join(faqs.select(F.col("faq_id").alias("new_faq_id"), F.lit(True).alias("known")), "new_faq_id", "left")
+    own = held.select("document_id", F.col("faq_id").alias("new_faq_id"), F.lit(True).alias("mine"))
+    marked = known.join(own, ["document_id", "new_faq_id"], "left")
+    made = F.col("new_faq_id").isNotNull()
+    return marked.groupBy("document_id").agg(
+        F.count_if(made & F.col("known").isNull()).alias("created"), F.count_if(made & F.col("known") & F.col("mine").isNull()).alias("merged"),
+        F.count_if(F.coalesce("mine", F.lit(False))).alias("refreshed"), F.count_if(F.col("action") == "reassigned").alias("reassigned"), F.count_if(F.col("action") == "stale").alias("stale"),
+    )

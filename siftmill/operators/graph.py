@@ -28,11 +28,13 @@ def faq_seeds(faqs: DataFrame) -> DataFrame:
     s = faqs.select("pos", F.posexplode("source_documents").alias("k", "s"))
     ids = s.select("pos", "k", F.coalesce(F.nullif(F.col("s.document_id"), F.lit("")), document_id(link_target(F.col("s.url")))).alias("doc_id"))
     first = ids.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct("pos", "k")).alias("f"))
-    return first.select("doc_id", (F.col("f.pos") * 1_000_000 + F.col("f.k")).alias("pos"))
+    return first.select("doc_id", F.array(F.col("f.pos").cast("bigint"), F.col("f.k").cast("bigint")).alias("pos"))
 
 
 def related(documents: DataFrame, seeds: DataFrame, max_hops: int, max_documents: int, excluded: DataFrame | None = None, allowed: DataFrame | None = None, with_seeds: bool = False) -> DataFrame:
-    """Breadth first from seeds (doc_id, pos): doc_id, hop, via (null for seeds), pos, relation, in order of discovery.
+    """Breadth first from seeds (doc_id, pos: a number or an array of numbers): doc_id, hop, via (null for seeds), pos, relation, in order of discovery.
+
+    pos is the array of places on the way from the seed, so places of any depth and width keep their order.
 
     A document is reached by the first one of the level before that links to it, and then by the
     place of the link.  Excluded and not allowed ones are in no result (excluded seeds are still
@@ -40,20 +42,22 @@ def related(documents: DataFrame, seeds: DataFrame, max_hops: int, max_documents
     edges, so work follows the links that are walked.
     """
     spark = documents.sparkSession
-    empty = "doc_id string, hop int, via string, pos bigint, relation string"
+    empty = "doc_id string, hop int, via string, pos array<bigint>, relation string"
     if max_documents <= 0 or max_hops < 0:
         return spark.createDataFrame([], empty)
     known = documents.select("doc_id")
     known = known if allowed is None else known.join(allowed.select("doc_id"), "doc_id", "left_semi")
     links = edges(documents)
-    level = seeds.join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("pos").alias("pos")).select("doc_id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.col("pos").cast("bigint").alias("pos"))
+    if seeds.schema["pos"].dataType.typeName() != "array":
+        seeds = seeds.withColumn("pos", F.array("pos"))
+    level = seeds.join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("pos").alias("pos")).select("doc_id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"), F.col("pos").cast("array<bigint>").alias("pos"))
     found, seen = level, level
     for hop in range(1, max_hops + 1):
         reached = level.select(F.col("doc_id").alias("src"), "pos").join(links, "src")
         reached = reached.join(seen.select(F.col("doc_id").alias("dst")), "dst", "left_anti").join(known.withColumnRenamed("doc_id", "dst"), "dst", "left_semi")
         first = reached.groupBy("dst").agg(F.min(F.struct("pos", "k", "src")).alias("f"))
         # places within a level follow the places of the one before, and the links
-        order = first.select(F.col("dst").alias("doc_id"), F.lit(hop).alias("hop"), F.col("f.src").alias("via"), (F.col("f.pos") * 4096 + F.col("f.k") + 1).cast("bigint").alias("pos"))
+        order = first.select(F.col("dst").alias("doc_id"), F.lit(hop).alias("hop"), F.col("f.src").alias("via"), F.concat("f.pos", F.array(F.col("f.k").cast("bigint"))).alias("pos"))
         level = order
         found = found.unionByName(level)
         seen = seen.select("doc_id").union(level.select("doc_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id
@@ -21,16 +21,17 @@ def with_status(incoming: DataFrame, now: Column, min_words: int = MIN_WORDS) ->
 
     empty: blank content.  content_too_short: under min_words.  duplicate_content: an earlier row
     with the same hash has another id.  stored: the rest; the same id again is a refresh.
-    Winners come from one pre-aggregated row a hash, so a hash of very many copies is no hot group.
+    Winners come from one pre-aggregated row a hash.  What is blank or short is known before the join
+    and has no hash there, so content crosses the exchange only if the caller takes it; copies of one
+    text meet in the join, where adaptive execution splits a hash of very many.
     """
-    rows = stamped(incoming, now)
     blank, short = F.trim(F.coalesce("content", F.lit(""))) == "", F.col("words") < min_words
-    good = rows.where(~blank & ~short)
-    first = good.groupBy("content_hash").agg(F.min(F.struct("arrival", "doc_id", "url")).alias("first"))
-    joined = rows.join(first, "content_hash", "left")
-    other = F.col("first.doc_id") != F.col("doc_id")
-    status = F.when(blank, "empty").when(short, "content_too_short").when(other, "duplicate_content").otherwise("stored")
-    return joined.withColumn("status", status).withColumn("duplicate_of", F.when(F.col("status") == "duplicate_content", F.col("first.url"))).drop("first")
+    rows = stamped(incoming, now).withColumn("early", F.when(blank, "empty").when(short, "content_too_short"))
+    key = F.when(F.col("early").isNull(), F.col("content_hash"))
+    first = rows.where("early is null").groupBy("content_hash").agg(F.min(F.struct("arrival", "doc_id", "url")).alias("first")).withColumnRenamed("content_hash", "first_hash")
+    joined = rows.withColumn("join_hash", key).join(first, F.col("join_hash") == F.col("first_hash"), "left")
+    status = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("first.doc_id") != F.col("doc_id"), "duplicate_content").otherwise("stored")
+    return joined.withColumn("status", status).withColumn("duplicate_of", F.when(F.col("status") == "duplicate_content", F.col("first.url"))).drop("first", "first_hash", "join_hash", "early")
 
 
 def stored(statuses: DataFrame) -> DataFrame:
@@ -39,9 +40,10 @@ def stored(statuses: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], version: str, *ties: str) -> DataFrame:
-    """The row of the highest version of each key; aggregated before it is shuffled."""
+    """The row of the highest version of each key, of equal versions that of the greatest ties, by default of all other columns that have an order; aggregated before it is shuffled."""
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *ties) if ties else F.col(version)).alias("r"))
+    ties = ties or [c for c in rest if c != version and "map<" not in df.schema[c].dataType.simpleString()]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(version, *ties)).alias("r"))
     return best.select(*keys, *(F.col(f"r.`{c}`").alias(c) for c in rest)).select(df.columns)
 
 
@@ -87,7 +89,3 @@ def recent_first(table: DataFrame, limit: int, offset: int = 0, key: str = "doc_
 
 def count_of(table: DataFrame, where: Column | None = None) -> DataFrame:
     return (table if where is None else table.where(where)).agg(F.count("*").alias("n"))
-
-
-def ranked_per_key(df: DataFrame, keys: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

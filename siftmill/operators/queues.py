@@ -34,8 +34,9 @@ def kv_collection(name: str) -> str:
 
 
 def kv_state(writes: DataFrame) -> DataFrame:
-    """writes (id, key, value, at): the latest key and value of each id, its first and last time."""
-    return writes.groupBy("id").agg(F.max_by("key", "at").alias("key"), F.max_by("value", "at").alias("value"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    """writes (id, key, value, at): the latest key and value of each id, from one write (of equally late ones the greatest), its first and last time."""
+    last = F.max(F.struct("at", "key", "value")).alias("w")
+    return writes.groupBy("id").agg(last, F.min("at").alias("created_at")).select("id", "w.key", "w.value", "created_at", F.col("w.at").alias("updated_at"))
 
 
 def kv_id(collection: str, key):
@@ -52,9 +53,11 @@ def kv_collections(collections: DataFrame) -> DataFrame:
 
 
 def primary(collections: DataFrame) -> DataFrame:
-    n = F.col("name")
+    """Collections to search: by their alias if they have one, not set aside by name, and of kind documents where the kind is known."""
+    n = F.coalesce(F.nullif(F.col("alias"), F.lit("")), "name") if "alias" in collections.columns else F.col("name")
+    kind = F.col("kind") == "documents" if "kind" in collections.columns else F.lit(True)
     aside = n.startswith("kv_") | n.endswith("_faq") | n.endswith("_feedback") | (n == "system_config") | n.startswith("__") | n.contains("_migration_")
-    return collections.where(~aside)
+    return collections.where(~aside & (n != "") & kind)
 
 
 def admin_statistics(collections: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -130,6 +130,18 @@ def boosted(df: DataFrame, query: Vectors, limit: int, sources: DataFrame, n_sou
     return found.join(mark, "doc_id", "left").withColumn("boosted_by_faqs", F.coalesce("_mark", F.lit(False))).drop("_mark")
 
 
+#: Ids of source documents that are taken to the driver once and go into plans as literals; more stay a table.
+SOURCE_IDS = 10_000
+
+
+def few_ids(ids: DataFrame) -> tuple[DataFrame, int]:
+    """ids (doc_id), evaluated once if there are few of them, and their number."""
+    found = [r[0] for r in ids.select("doc_id").limit(SOURCE_IDS + 1).collect()]
+    if len(found) > SOURCE_IDS:
+        return ids, ids.count()
+    return ids.sparkSession.createDataFrame([(x,) for x in found], "doc_id string"), len(found)
+
+
 @dataclass
 class Found:
     documents: DataFrame
@@ -154,8 +166,7 @@ def search(
     hits = hybrid(documents, query, wide, inside if push else where, boost=boost)
     faq_hits = faq_search(faqs, query, limit, least_faq)
     faq_hits = faq_hits.where(predicates.faq_predicate(q, with_times=push)) if q.has_filters else faq_hits
-    sources = source_ids(faq_hits)
-    n = sources.count()  # of at most FAQ_PREFETCH hits
+    sources, n = few_ids(source_ids(faq_hits))  # of at most FAQ_PREFETCH hits
     if n and query.late is not None:
         hits = boosted(documents, query, wide, sources, n, inside if push else where, boost if boost_keeps_recency else None, push)
     else:
@@ -184,8 +195,8 @@ def knowledge_base(
     if q.has_text:
         faq_hits = faq_search(faqs, query, limit, least_faq)
         faq_hits = faq_hits.where(predicates.faq_predicate(q, with_times=False)) if q.has_filters else faq_hits
-        sources = source_ids(faq_hits).join(documents.select("doc_id"), "doc_id", "left_semi")
-        hits = boosted(documents, query, querylang.candidate_limit(limit), sources, sources.count())
+        sources, n = few_ids(source_ids(faq_hits).join(documents.select("doc_id"), "doc_id", "left_semi"))
+        hits = boosted(documents, query, querylang.candidate_limit(limit), sources, n)
         hits = _top(hits.where(predicates.document_predicate(q)) if q.has_filters else hits, limit, "doc_id")
     else:
         faq_hits = scanned(faqs, q, limit, predicate=predicates.faq_predicate(q), key="faq_id")

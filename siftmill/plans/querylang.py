@@ -34,19 +34,26 @@ def unique(terms) -> tuple[str, ...]:
     return tuple(kept.values())
 
 
-def clause_terms(raw: str, words: bool = False) -> list[str]:
-    """A value without its quotes, then its parentheses: alternatives at |, else words if these are wanted, else one term."""
+def bare_value(raw: str) -> str:
+    """A value without one pair of quotes around it, then without one pair of parentheses."""
     value = raw.strip()
     for first, last in ('""', "()"):
         if len(value) >= 2 and value[0] == first and value[-1] == last:
-            value = value[1:-1].strip()
-    parts = value.split("|") if "|" in value else value.split() if words else [value]
-    return [p.strip().strip('"').strip() for p in parts]
+            value = value[1:-1]
+    return value.strip()
+
+
+def clause_terms(raw: str, words: bool = False) -> list[str]:
+    """Alternatives at |, each without quotes of either kind around it; else words if these are wanted, else one term, whose inner quotes stay."""
+    value = bare_value(raw)
+    if "|" in value:
+        return [p.strip().strip('"').strip("'") for p in value.split("|")]
+    return value.split() if words else [value]
 
 
 def moment(raw: str) -> datetime | None:
     """An ISO date or time; without a zone it is UTC; None if it isn't one."""
-    value = raw.strip().strip('"')
+    value = bare_value(raw)
     try:
         parsed = datetime.fromisoformat(value.replace("Z", "+00:00"))
     except ValueError:
@@ -86,6 +93,12 @@ class Query:
         """What is embedded: free terms, then content and title terms."""
         return unique([*self.free, *(t for f in ("content", "title") for d in (self.any_of, self.all_of) for t in d.get(f, ()))])
 
+    @property
+    def highlight_terms(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """What a result page marks: terms wanted in the content, and terms wanted in urls (sites and file types are looked for there)."""
+        both = lambda f: [*self.any_of.get(f, ()), *self.all_of.get(f, ())]
+        return unique([*both("content"), *self.free]), unique(t for f in ("url", "site", "filetype", "links") for t in both(f))
+
     @property
     def semantic_text(self) -> str:
         return " ".join(self.retrieval_terms)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,16 +12,26 @@ from pyspark.sql import types as T
 BATCH, PREFIX = 8, {"query": "[Q] ", "document": "[D] "}
 
 
+#: Characters that are always tried.
+LEAST_CHARS = 512
+_PASSED, _LIMIT = re.compile(r"passed\s+(\d+)", re.I), re.compile(r"limit\D{0,40}?(\d+)", re.I)
+
+
 class TooLong(ValueError):
-    """Raised by a model for a text over its limit; carries the limit."""
+    """Raised by a model for a text over its limit; the message says so: `passed 9000 ... limit 8192`, or a limit alone."""
+
+    def __init__(self, complaint: int | str):
+        super().__init__(f"limit {complaint}" if isinstance(complaint, int) else complaint)
 
-    def __init__(self, limit: int):
-        super().__init__(f"limit {limit}")
-        self.limit = limit
+    def budget(self, length: int) -> int:
+        """Characters to try next: below what was passed, at most the limit, LEAST_CHARS at least."""
+        passed, limit = _PASSED.search(str(self)), _LIMIT.search(str(self))
+        below = min(length, int(passed[1]) if passed else length) - 1
+        return max(LEAST_CHARS, min(below, int(limit[1]) if limit else below))
 
 
 def in_batches(texts: list[str], model: Callable[[list[str]], list], size: int = BATCH) -> list:
-    """Batches in order; a text that is too long is cut to the limit (512 characters at least) and tried once more alone."""
+    """Batches in order; a text that is too long is cut to the model's limit (LEAST_CHARS characters at least) and tried once more alone."""
     out = []
     for k in range(0, len(texts), size):
         part = texts[k : k + size]
@@ -31,7 +42,7 @@ def in_batches(texts: list[str], model: Callable[[list[str]], list], size: int =
                 try:
                     out += model([t])
                 except TooLong as e:
-                    out += model([t[: max(512, min(len(t) - 1, e.limit))]])
+                    out += model([t[: e.budget(len(t))]])
     return out
 
 

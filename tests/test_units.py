@@ -235,3 +235,51 @@ def test_stream_keeps_the_first_query(spark, tmp_path):
     job = queue.unique_queries(stream).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     job.awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_values_of_clauses():
+    q = parse('before:(2024-01-01) after:"2023-01-01" intext:(\'a\'|"b") intitle:(say "the" word) site:x.de filetype:pdf inurl:docs free')
+    assert (q.before.year, q.after.year) == (2024, 2023)
+    assert q.any_of["content"] == ("a", "b") and q.any_of["title"] == ('say "the" word',)
+    assert q.highlight_terms == (("a", "b", "free"), ("docs", "x.de", "pdf"))
+
+
+def test_long_walks_keep_their_order(spark):
+    n = 6
+    url = "https://e.com/{}".format
+    docs = spark.createDataFrame([(k, url(k), [*(f"https://none.com/{j}" for j in range(5000)), url(k + 1)]) for k in range(n)], "n long, url string, hyperlinks array<string>")
+    docs = docs.withColumn("doc_id", ids.document_id(F.col("url")))
+    found = graph.related(docs, docs.where("n = 0").select("doc_id", F.lit(10**12).alias("pos")), 5, 10).collect()
+    assert [r["hop"] for r in found] == [1, 2, 3, 4, 5] and found[-1]["pos"] == [10**12, 5000, 5000, 5000, 5000, 5000]
+
+
+def test_several_sources_of_one_faq_in_a_batch(spark):
+    row = "faq_id string, question string, answer string, document_id string, url string, confidence double, extracted_at string"
+    old = faqs.merged(spark.createDataFrame([("f", "q", "a", "d1", "u1", 0.5, "1")], row))
+    batch = spark.createDataFrame([("f", "q", "a", "d1", "u1", 0.7, "2"), ("f", "q", "a", "d2", "u2", 0.9, "2"), ("f", "q", "a", "d2", "u2", 0.8, "3")], row)
+    got = faqs.upserted(old, batch).collect()
+    assert [(r["faq_id"], r["action"], r["source_count"], r["aggregated_confidence"]) for r in got] == [("f", "merged", 2, 0.8)]
+    assert {(s["document_id"], s["confidence"]) for s in got[0]["source_documents"]} == {("d1", 0.7), ("d2", 0.8)}
+    kept = faqs.upserted(old, batch.where("document_id = 'd1'"), keep_existing=True).first()
+    assert kept["action"] == "merged" and kept["source_documents"][0]["confidence"] == 0.5
+
+
+def test_a_state_comes_from_one_write(spark):
+    writes = spark.createDataFrame([(1, "a", "z", 5), (1, "b", "y", 5), (1, "c", "x", 4)], "id long, key string, value string, at long")
+    assert queues.kv_state(writes).collect()[0].asDict() == {"id": 1, "key": "b", "value": "y", "created_at": 4, "updated_at": 5}
+
+
+def test_families_and_probes(spark, tmp_path):
+    from siftmill.operators import health
+    from siftmill.sources import schemas
+    from siftmill.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert [schemas.created(store, n) for n in ("docs", "docs_faq", "kv_x", "docs_feedback", "system_config", "query_queue")] == ["document", "faq", "kv", "feedback", "config", "queue"]
+    assert store.read("docs_faq").columns == schemas.schema_of("a_faq").names
+    store.write("docs_feedback", spark.range(1))
+    schemas.created(store, "docs_feedback")
+    assert store.read("docs_feedback").columns == schemas.schema_of("x_feedback").names
+    got = health.probes(spark, {"a": lambda: spark.range(3), "b": lambda: spark.table("none")})
+    assert [(r["probe"], r["status"], r["found"]) for r in got.collect()] == [("a", "ok", 3), ("b", "unhealthy", None)]
+    assert health.overall(got).first()["status"] == "unhealthy" and health.overall(got.where("status = 'ok'")).first()["status"] == "healthy"
