@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: Bounds of the sample that a fit takes: confirmed toxic texts, and unlabelled ones.
+#: Bounds of the sample of labelled rows that a fit takes: toxic ones, and any, whose labels are then not looked at.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 BITS = 22
 #: Words that a worker remembers the weight of.
@@ -63,28 +63,33 @@ class NonNegativePU:
         self.prior, self.epochs, self.batch, self.rate, self.decay, self.seed = prior, epochs, batch, rate, decay, seed
         self.weights, self.bias = {}, float(np.log(prior / (1 - prior)))
 
-    def screened(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-        n_p, n_u = len(positive), len(unlabelled)
-        in_p, in_u = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        for counts, rows in ((in_p, positive), (in_u, unlabelled)):
-            for f in rows:
-                counts[f] += 1  # a row has a feature once
-        some = np.flatnonzero(in_p >= max(self.LEAST, n_p / 200))
-        p, u = in_p[some], in_u[some]
-        share_p, share_u, share = p / n_p, u / n_u, (p + u) / (n_p + n_u)
+    def least(self, n_p: int) -> float:
+        """In how many of n_p toxic texts an input must be."""
+        return max(self.LEAST, n_p / 200)
+
+    def screened(self, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+        """Which inputs tell P and U apart, by the numbers of texts that have them."""
+        share_p, share_u, share = in_p / n_p, in_u / n_u, (in_p + in_u) / (n_p + n_u)
         error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_u))
-        return some[(share_p >= self.TIMES * share_u) & (share_p - share_u >= self.ERRORS * error)]
+        return (in_p >= self.least(n_p)) & (share_p >= self.TIMES * share_u) & (share_p - share_u >= self.ERRORS * error)
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> "NonNegativePU":
         """Rows are arrays of features.  Without a positive or an unlabelled row, or without an input that tells them apart, there is no model: every score is 0."""
         # Copies say no more than one text does.
         positive, unlabelled = (list({_digest(x): x for x in rows}.values()) for rows in (positive, unlabelled))
-        kept = self.screened(positive, unlabelled) if positive and unlabelled else []
-        if not len(kept):
+        if not positive or not unlabelled:
+            return self
+        in_p, in_u = (np.bincount(np.concatenate(rows), minlength=1 << BITS) for rows in (positive, unlabelled))
+        kept = np.flatnonzero(self.screened(in_p, in_u, len(positive), len(unlabelled)))
+        return self.trained(kept, *([x[np.isin(x, kept)] for x in rows] for rows in (positive, unlabelled)))
+
+    def trained(self, kept: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> "NonNegativePU":
+        """Minimises the risk over rows that have no other inputs than those kept."""
+        if not len(kept) or not positive or not unlabelled:
             return self
         number = np.full(1 << BITS, -1, np.int32)
         number[kept] = np.arange(len(kept))
-        data = [k[k >= 0] for k in (number[f] for f in positive + unlabelled)]
+        data = [number[f] for f in positive + unlabelled]
         w, b, rng = np.zeros(len(kept)), self.bias, np.random.default_rng(self.seed)
         m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
         n_p, n_u = len(positive), len(unlabelled)
@@ -98,15 +103,8 @@ class NonNegativePU:
                 rows_of = np.repeat(np.arange(len(which)), [len(k) for k in which])
                 k = np.concatenate(which)
                 z = np.bincount(rows_of, w[k], minlength=len(which)) + b
-                sig = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 up, uu = slice(0, len(p)), slice(len(p), None)
-                negative = np.mean(np.logaddexp(0, z[uu])) - self.prior * np.mean(np.logaddexp(0, z[up]))
-                g = np.zeros(len(which))
-                if negative >= -self.SLACK:
-                    g[up] = self.prior * (sig[up] - 1) / len(p) - self.prior * sig[up] / len(p)
-                    g[uu] = sig[uu] / len(u)
-                else:
-                    g[up], g[uu] = self.prior * sig[up] / len(p), -sig[uu] / len(u)
+                g = self.slope(z[up], z[uu])
                 gw, gb, t = np.bincount(k, g[rows_of], minlength=len(kept)), g.sum(), t + 1
                 m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
                 mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -117,6 +115,18 @@ class NonNegativePU:
         self.bias = float(b)
         return self
 
+    def negative_risk(self, z_p: np.ndarray, z_u: np.ndarray) -> float:
+        """The bracket of the risk, from the margins of P and U."""
+        return float(np.mean(np.logaddexp(0, z_u)) - self.prior * np.mean(np.logaddexp(0, z_p)))
+
+    def slope(self, z_p: np.ndarray, z_u: np.ndarray) -> np.ndarray:
+        """The step's gradient by margin: of the risk, or, where the bracket is negative, of its opposite, which raises it."""
+        p, u = 1 / (1 + np.exp(-np.clip(z_p, -40, 40))), 1 / (1 + np.exp(-np.clip(z_u, -40, 40)))
+        bracket = np.concatenate([-self.prior * p / len(p), u / len(u)])
+        if self.negative_risk(z_p, z_u) < -self.SLACK:
+            return -bracket
+        return bracket + np.concatenate([self.prior * (p - 1) / len(p), np.zeros(len(u))])
+
     def scores(self, texts: list[str], known: dict[str, tuple]) -> list[float]:
         """known: the inputs among the features of words met before; most words have none."""
         if len(known) > REMEMBERED:
@@ -143,37 +153,74 @@ def in_fold(doc_id: Column) -> Column:
 
 
 def _present(batches):
-    for batch in batches:
-        rows = [present(t).tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "f"])
+    for batch in base.slabs(batches):
+        rows = [present(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([_digest(x) for x in rows], pa.binary()), pa.array([x.tolist() for x in rows], pa.list_(pa.int32()))], names=["toxic", "digest", "f"])
+
+
+def _counted(among: np.ndarray | None):
+    """In how many of a task's rows a feature is: of all features, or of those among."""
+
+    def run(batches):
+        n = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            n += np.bincount(batch.column("f").flatten().to_numpy(), minlength=1 << BITS)
+        some = np.flatnonzero(n) if among is None else among[n[among] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some])], names=["f", "n"])
+
+    return run
+
+
+def _restricted(kept: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            own = [np.intersect1d(x, kept).tolist() for x in batch.column("f").to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "f"])
+
+    return run
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> NonNegativePU:
-    """Fits on a bounded sample: at most max_positive toxic texts of the training fold and max_unlabelled texts of it, whatever their labels.
+    """Fits on a bounded sample of the training fold's labelled rows: at most max_positive toxic texts, and as unlabelled ones at most max_unlabelled of any label.
 
-    Samples are the rows with the smallest hashes of doc_id, so they don't depend on partitions.
-    The prior is the share of toxic rows among the training fold's labels (0.1 if there is none),
-    kept within 0.01 and 0.5.
+    Samples are the rows with the smallest hashes of doc_id, so they don't depend on partitions; of
+    equal texts one counts.  Features are counted where the texts are; the driver gets those frequent
+    in P, and of each text those that tell P and U apart.  The prior is the share of toxic rows among
+    the training fold's labels (0.1 if there is none), kept within 0.01 and 0.5.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = own.agg(F.count("*"), F.sum("toxic")).first()
-    prior = min(0.5, max(0.01, (toxic or 0) / n)) if n else 0.1
+    model = NonNegativePU(min(0.5, max(0.01, (toxic or 0) / n)) if n else 0.1)
     draw = F.xxhash64(F.col("doc_id"))
-    ids = docs.where(F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id")
-    chosen_p = own.where("toxic = 1").join(ids.distinct(), "doc_id", "left_semi").select("doc_id", F.lit(1).alias("toxic")).orderBy(draw, "doc_id").limit(max_positive)
-    chosen_u = ids.orderBy(draw, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
+    known = own.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen_p = known.where("toxic = 1").select("doc_id", F.lit(1).alias("toxic")).orderBy(draw, "doc_id").limit(max_positive)
+    chosen_u = known.orderBy(draw, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
     chosen = chosen_p.unionByName(chosen_u)  # at most max_positive + max_unlabelled ids: small enough to broadcast
     texts = docs.select("doc_id", base.text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    rows = texts.mapInArrow(_present, base.schema(("toxic", "int"), ("f", "array<int>"))).toArrow()
-    marks, found = rows["toxic"].to_pylist(), [f.values.to_numpy() for f in rows["f"]]
-    order = sorted(range(len(marks)), key=lambda i: _digest(found[i]))  # any order of partitions gives one fit
-    return NonNegativePU(prior).fit([found[i] for i in order if marks[i] == 1], [found[i] for i in order if marks[i] == 0])
+    found, _ = base.written(texts.mapInArrow(_present, base.schema(("toxic", "int"), ("digest", "binary"), ("f", "array<int>"))), "toxic-features")
+    rows, _ = base.written(found.dropDuplicates(["toxic", "digest"]).select("toxic", "f"), "toxic-sample")
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_p or not n_u:
+        return model
+
+    def counts(mark: int, among: np.ndarray | None):
+        return rows.where(F.col("toxic") == mark).mapInArrow(_counted(among), base.schema(("f", "int"), ("n", "bigint"))).groupBy("f").agg(F.sum("n").alias("n"))
+
+    in_p = counts(1, None).where(F.col("n") >= model.least(n_p)).toArrow()  # at most 200 times the features of a mean text
+    some = in_p["f"].to_numpy()
+    in_u = dict(zip(*(c.to_pylist() for c in counts(0, some).toArrow().columns))) if len(some) else {}
+    kept = np.sort(some[model.screened(in_p["n"].to_numpy(), np.array([in_u.get(f, 0) for f in some.tolist()], np.int64), n_p, n_u)])
+    data = rows.mapInArrow(_restricted(kept), base.schema(("toxic", "int"), ("f", "array<int>"))).toArrow()
+    marks, own = data["toxic"].to_pylist(), [np.asarray(f, np.int64) for f in data["f"].to_pylist()]
+    order = sorted(range(len(marks)), key=lambda i: own[i].tobytes())  # any order of partitions gives one fit
+    return model.trained(kept, [own[i] for i in order if marks[i] == 1], [own[i] for i in order if marks[i] == 0])
 
 
 def _scored(model: NonNegativePU):
     def run(batches):
         known: dict[str, tuple] = {}
-        for batch in batches:
+        for batch in base.slabs(batches):
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.scores(batch.column("text").to_pylist(), known), pa.float64())], names=["row", "score"])
 
     return run
@@ -198,5 +245,9 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.3, model: NonNegat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, that score under cut: all of them if no model could be fitted."""
+    """The rows of docs, with all their columns, that score under cut: all of them if no model could be fitted.
+
+    Rows are mapped one by one: null, empty and very long texts, equal rows and ids are scored like
+    any other, a row without words by the model's bias; an empty table gives none.
+    """
     return _with_scores(docs, docs.columns, fitted(docs, labels)).where(F.col("score") < cut).select("row.*")
