@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: More rules than this are refused: the filters go to every executor, so their size must be known (about 3 bytes a rule at level 0).
-MAX_RULES = 5_000_000
+#: The filters of so many rules go to every executor (about 3 bytes a rule); of more, the rules are a table that urls' keys are joined with.
+MOST_RULES = 5_000_000
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -50,22 +50,20 @@ class Bloom:
     def __init__(self, keys, rate: float, salt: int):
         n = max(1, len(keys))
         self.size = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-        self.hashes, self.salt = max(1, round(self.size / n * math.log(2))) if n > 4 else 8, salt
-        self.hashes = min(self.hashes, 24)
-        self.bits = np.zeros(-(-self.size // 8), np.uint8)
-        for key in keys:
-            for at in self.places(key):
-                self.bits[at >> 3] |= 1 << (at & 7)
-        self.data = self.bits.tobytes()
-
-    def places(self, key: str):
+        self.hashes, self.salt = min(max(1, round(self.size / n * math.log(2))) if n > 4 else 8, 24), salt
+        bits = np.zeros(-(-self.size // 8) * 8, bool)
+        pairs = np.array([self.pair(k) for k in keys], np.uint64).reshape(-1, 2)
+        for i in range(self.hashes):
+            bits[((pairs[:, 0] + i * pairs[:, 1]) % self.size).astype(np.int64)] = True
+        self.data = np.packbits(bits, bitorder="little").tobytes()
+
+    def pair(self, key: str) -> tuple[int, int]:
         h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"), seed=self.salt)
-        a, b = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
-        return [(a + i * b) % self.size for i in range(self.hashes)]
+        return h & 0xFFFFFFFFFFFF, h >> 64 & 0xFFFFFFFFFFFF | 1  # 48 bits each: sums of 24 stay within 64
 
     def __contains__(self, key: str) -> bool:
-        data = self.data
-        return all(data[at >> 3] >> (at & 7) & 1 for at in self.places(key))
+        (a, b), data, size = self.pair(key), self.data, self.size
+        return all(data[(at := (a + i * b) % size) >> 3] >> (at & 7) & 1 for i in range(self.hashes))
 
 
 class Cascade:
@@ -88,12 +86,12 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
-def _others(first: Bloom, listed: set[str], lengths: list[int]):
+def _passing(first: Bloom, lengths: list[int]):
     def run(batches):
         seen: set[str] = set()
         for batch in batches:
-            found = {k for url in batch.column("url").to_pylist() for k in keys_of(*parts_of(url), lengths) if k in first and k not in listed} - seen
-            seen |= found
+            found = {k for url in batch.column("url").to_pylist() for k in keys_of(*parts_of(url), lengths) if k in first} - seen
+            seen = seen | found if len(seen) < 1 << 20 else found  # what comes out again is one key in the end
             yield pa.RecordBatch.from_pydict({"key": pa.array(sorted(found), pa.string())})
 
     return run
@@ -108,16 +106,19 @@ def _universe(lengths: list[int]):
 
 
 def cascade(urls: DataFrame, listed: set[str], lengths: list[int]) -> Cascade:
-    """urls: one column `url`.  What passes level 0 wrongly is about as much as is listed; if it is more than four times that, level 0 grows."""
+    """urls: one column `url`.  What passes level 0 wrongly is about as much as is listed; if it is more than four times that, level 0 grows.
+
+    Only the filter goes to the executors; which of the keys that pass it are listed, the driver tells.
+    """
     one = base.schema(("key", "string"))
     size = urls.mapInArrow(_universe(lengths), one).agg(F.approx_count_distinct("key")).first()[0]
     rate = min(0.5, max(1, len(listed)) / max(1, size) / math.sqrt(2))
     for _ in range(20):
         first = Bloom(listed, rate, 0)
-        bound = 4 * len(listed) + 1000
-        passed = urls.mapInArrow(_others(first, listed, lengths), one).distinct().limit(bound + 1).collect()
+        bound = 5 * len(listed) + 1000  # the listed keys that occur are among them
+        passed = urls.mapInArrow(_passing(first, lengths), one).distinct().limit(bound + 1).toArrow()["key"].to_pylist()
         if len(passed) <= bound:
-            return Cascade(first, listed, {r[0] for r in passed})
+            return Cascade(first, listed, set(passed) - listed)
         rate /= 8
     raise RuntimeError("level 0 lets too many keys pass")
 
@@ -136,28 +137,61 @@ def _judge(listed: Cascade, blocked: Cascade, lengths: list[int], otherwise: str
     return run
 
 
+_JUDGED = base.schema(("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string"))
+
+
+def _keyed(lengths: list[int]):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page_id, uid, url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "uid", "url"))):
+                host, path = parts_of(url)
+                rows.append((page_id, uid, host, path, keys_of(host, path, lengths)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["page_id", "uid", "host", "path", "keys"])
+
+    return run
+
+
+def _judged_by_join(rows: DataFrame, verdicts: dict[str, str], lengths: list[int], otherwise: str) -> DataFrame:
+    """The same for rules too many for executors' memory: distinct keys are joined with them, and a page takes its first key that is one."""
+    spark = rows.sparkSession
+    table = pa.table({"key": pa.array(list(verdicts), pa.string()), "verdict": pa.array(list(verdicts.values()), pa.string())})
+    rules, _ = base.written(spark.createDataFrame(table), "url-rules")
+    out = base.schema(("page_id", "bigint"), ("uid", "bigint"), ("host", "string"), ("path", "string"), ("keys", "array<string>"))
+    pages, _ = base.written(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_keyed(lengths), out), "url-keys")
+    keys = pages.select("uid", F.posexplode("keys").alias("at", "key"))
+    met, _ = base.written(keys.groupBy("key").agg(F.count("*").alias("n")).join(rules, "key"), "url-met")
+    occurring, _ = base.written(keys, "url-occurring")
+    best = base.join_counted(occurring, met, "key", "n").groupBy("uid").agg(F.min(F.struct("at", "key", "verdict")).alias("b"))
+    joined = pages.join(best, "uid", "left")
+    return joined.select("page_id", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit(otherwise)).alias("verdict"))
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str]], otherwise: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages; rules are (verdict, host/path).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins
     (of equally long ones that with the longer host).  Without a rule the verdict is `otherwise`.
     Null urls and urls without `://` have an empty host and path.  The same key with two verdicts
-    is an error.  Rows are mapped one by one; empty tables and rule lists are fine.
+    is an error.  Rows are mapped one by one; empty tables and rule lists are fine.  Up to MOST_RULES
+    rules are filters in every executor; more are joined with the urls' keys, with the same result.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} go to every executor")
     verdicts: dict[str, str] = {}
     for verdict, rule in rules:
         if verdicts.setdefault(rule, verdict) != verdict:
             raise ValueError(f"{rule} is both allowed and blocked")
     lengths = sorted({len(r) - (r.find("/") if "/" in r else len(r)) for r in verdicts})
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
+    if len(verdicts) > MOST_RULES:
+        return _judged_by_join(rows, verdicts, lengths, otherwise)
     listed = set(verdicts)
     blocked = {r for r, v in verdicts.items() if v == "block"}
     exact = cascade(rows.select("url"), listed, lengths)
     first = Bloom(blocked, 0.5, 1000)
     kinds = Cascade(first, blocked, {r for r in listed - blocked if r in first})
-    return rows.mapInArrow(_judge(exact, kinds, lengths, otherwise), base.schema(("page_id", "bigint"), ("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")))
+    return rows.mapInArrow(_judge(exact, kinds, lengths, otherwise), _JUDGED)
 
 
 ORACLE_SQL = """
