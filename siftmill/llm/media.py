@@ -1,6 +1,6 @@
 """Media columns: payloads as 8-bit grey images (PNG) in archives (ZIP), and a data source that reads them by byte ranges.
 
-The source plans partitions over the archives' byte ranges from their sizes alone; each task reads
+The source plans partitions over the archives' byte ranges from the committed list of their sizes; each task reads
 an archive's directory, takes the members whose offset is in its range, and fetches each one by
 that offset.  A member that fails is tried again alone, from its offset; one that keeps failing
 raises, so no row is lost.
@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from . import base
 UNIT = 576
 #: Bytes after which an archive is closed; bytes of an archive that one task reads; bytes of an Arrow batch.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 4 << 20
+#: Tasks that read archives, at most: with more bytes each reads more.
+MOST_RANGES = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -97,7 +100,7 @@ def _archive(folder: str):
             out = zipfile.ZipFile(held, "w", zipfile.ZIP_STORED)
             return pa.RecordBatch.from_pydict({"name": [name], "members": [members], "bytes": [size]})
 
-        for batch in batches:
+        for batch in base.slabs(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 member = zipfile.ZipInfo(f"{number:010d}_{'' if doc_id is None else doc_id}.png")
                 out.writestr(member, png(payload_of(text.encode("utf-8", "surrogatepass"))))
@@ -118,57 +121,92 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class ByteRange(InputPartition):
-    def __init__(self, name: str, begin: int, end: int):
-        self.name, self.begin, self.end = name, begin, end
+    """Ranges (archive, begin, end) that one task reads, one after another."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.folder, self.step, self.tries = options["path"], int(options.get("rangeBytes", RANGE_BYTES)), int(options.get("tries", 3))
 
-    def partitions(self):
-        files = base.Files(self.folder)
-        return [ByteRange(name, at, at + self.step) for name in files.names() if name.endswith(".zip") for at in range(0, max(1, files.size(name)), self.step)] or [ByteRange("", 0, 0)]
+    def archives(self) -> list[tuple[str, int]]:
+        """Names and bytes: from the table that the writer committed, so a lost attempt's files don't count; else those in the folder."""
+        own = base.Files(f"{self.folder}/_archives")
+        tables = [name for name in own.names() if name.endswith(".parquet")]
+        if not tables:
+            files = base.Files(self.folder)
+            return [(name, files.size(name)) for name in files.names() if name.endswith(".zip")]
+        found = []
+        for name in tables:
+            with own.open(name) as file:
+                table = pq.read_table(io.BytesIO(file.read()), columns=["name", "bytes"])
+            found += zip(table["name"].to_pylist(), table["bytes"].to_pylist())
+        return sorted(found)
 
-    def fetch(self, files, name: str, entry) -> bytes:
-        """One member by its offset: opened anew at each try, checked against the directory's size and checksum."""
+    def partitions(self):
+        """Each of about `step` bytes, or more if they would be over MOST_RANGES: parts of a large archive, or several small ones."""
+        known = self.archives()
+        step = max(self.step, -(-sum(size for _, size in known) // MOST_RANGES))
+        out, held, room = [], [], step
+        for name, size in known:
+            at = 0
+            while at < max(1, size):
+                end = min(at + room, max(1, size))
+                held.append((name, at, end))
+                room -= end - at
+                at = end
+                if not room:
+                    out.append(ByteRange(held))
+                    held, room = [], step
+        return [*out, ByteRange(held)] if held or not out else out
+
+    def fetch(self, files, name: str, entry, opened: list) -> bytes:
+        """One member by its offset, checked against the directory's size and checksum; after a failure the archive is opened anew."""
         for attempt in range(1, self.tries + 1):
             try:
-                with files.open(name) as file:
-                    file.seek(entry.header_offset)
-                    head = file.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member at this offset")
-                    file.seek(entry.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
-                    data = file.read(entry.compress_size)
+                if not opened:
+                    opened.append(files.open(name))
+                file = opened[0]
+                file.seek(entry.header_offset)
+                head = file.read(30)
+                if head[:4] != b"PK\x03\x04":
+                    raise ValueError("no member at this offset")
+                file.seek(entry.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
+                data = file.read(entry.compress_size)
                 if entry.compress_type == zipfile.ZIP_DEFLATED:
                     data = zlib.decompress(data, -15)
                 if len(data) != entry.file_size or zlib.crc32(data) != entry.CRC:
                     raise ValueError("size or checksum differ from the directory")
                 return data
             except (OSError, ValueError, zlib.error) as e:
+                while opened:
+                    opened.pop().close()
                 if attempt == self.tries:
                     raise RuntimeError(f"{name}, member {entry.filename} at {entry.header_offset}: {e}") from e
                 time.sleep(0.1 * attempt)
         raise AssertionError
 
     def read(self, partition):
-        if not partition.name:
-            return
         files = base.Files(self.folder)
-        with files.open(partition.name) as file:
-            entries = [x for x in zipfile.ZipFile(file).infolist() if partition.begin <= x.header_offset < partition.end]
         names, ids, images, held = [], [], [], 0
-        for entry in entries:
-            data = self.fetch(files, partition.name, entry)
-            doc_id = entry.filename.rpartition("_")[2].removesuffix(".png")
-            names.append(f"{partition.name}/{entry.filename}")
-            ids.append(int(doc_id) if doc_id.lstrip("-").isdigit() else None)
-            images.append(data)
-            held += len(data)
-            if held >= BATCH_BYTES or len(names) >= 4096:
-                yield self.batch(names, ids, images)
-                names, ids, images, held = [], [], [], 0
+        for name, begin, end in partition.ranges:
+            with files.open(name) as file:
+                entries = [x for x in zipfile.ZipFile(file).infolist() if begin <= x.header_offset < end]
+            opened: list = []
+            for entry in entries:
+                data = self.fetch(files, name, entry, opened)
+                doc_id = entry.filename.rpartition("_")[2].removesuffix(".png")
+                names.append(f"{name}/{entry.filename}")
+                ids.append(int(doc_id) if doc_id.lstrip("-").isdigit() else None)
+                images.append(data)
+                held += len(data)
+                if held >= BATCH_BYTES or len(names) >= 4096:
+                    yield self.batch(names, ids, images)
+                    names, ids, images, held = [], [], [], 0
+            while opened:
+                opened.pop().close()
         if names:
             yield self.batch(names, ids, images)
 
