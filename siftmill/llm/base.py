@@ -20,11 +20,12 @@ SLAB_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
+    """The folder that all executors share.  A local master, whose executors are this machine, may name none; a cluster must."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that all executors share")
         root = f"file:///tmp/siftmill-scratch-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -86,6 +87,68 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, size: str) -> Data
     return rows.join(often, key).unionByName(rest.join(facts.where(~hot), key))
 
 
+#: Ids that are broadcast at most (8 bytes each); of more, each partition's own go to a file that its rows meet where they are read.
+BROADCAST_IDS = 2_000_000
+
+
+def at_places(table: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of table whose uid is among ids (a written table of one column, uid), or those whose uid isn't.
+
+    uid comes from monotonically_increasing_id, so it names the partition it was given in.  Rows of
+    table are never shuffled, whatever the number of ids: a task needs the ids of the partitions that
+    it reads, one partition's (8 bytes a row) at a time.
+    """
+    if ids.count() <= BROADCAST_IDS:
+        return table.join(F.broadcast(ids), "uid", "left_semi" if inside else "left_anti")
+    folder = scratch_path(table.sparkSession, "places")
+    own = ids.select(F.shiftrightunsigned("uid", 33).alias("part"), "uid").repartition("part").sortWithinPartitions("part", "uid")
+    own.mapInArrow(_put_places(folder), schema(("part", "bigint"), ("n", "bigint"))).write.parquet(f"{folder}/_parts")
+    return table.mapInArrow(_meet_places(folder, inside), table.schema)
+
+
+def _put_places(folder: str):
+    def run(batches):
+        files, last, held = Files(folder), None, []
+
+        def flush():
+            found = np.concatenate(held)
+            files.put(f"{last}.uid", found.astype("<i8").tobytes())
+            return pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int64()), "n": pa.array([len(found)], pa.int64())})
+
+        for batch in batches:
+            parts, uids = batch.column("part").to_numpy(), batch.column("uid").to_numpy()
+            for cut in np.split(np.arange(len(parts)), np.flatnonzero(np.diff(parts)) + 1) if len(parts) else ():
+                if held and parts[cut[0]] != last:
+                    yield flush()
+                    held = []
+                last = int(parts[cut[0]])
+                held.append(uids[cut])
+        if held:
+            yield flush()
+
+    return run
+
+
+def _meet_places(folder: str, inside: bool):
+    def run(batches):
+        files, last, found = Files(folder), None, None
+        for batch in batches:
+            uids = batch.column("uid").to_numpy()
+            mask = np.zeros(len(uids), bool)
+            for part in np.unique(uids >> 33).tolist():
+                if part != last:
+                    try:
+                        with files.open(f"{part}.uid") as file:
+                            last, found = part, np.frombuffer(file.read(), "<i8")
+                    except FileNotFoundError:  # none of this partition
+                        last, found = part, np.zeros(0, np.int64)
+                own = np.flatnonzero(uids >> 33 == part)
+                mask[own] = np.isin(uids[own], found)
+            yield batch.filter(pa.array(mask if inside else ~mask))
+
+    return run
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 

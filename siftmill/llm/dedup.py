@@ -82,7 +82,7 @@ def identifier(chunk: bytes, width: int, seed: int) -> bytes:
 def _recipes(width: int, seed: int):
     def run(batches):
         seen, held = {}, 0
-        for batch in batches:
+        for batch in base.slabs(batches):
             recipes, digests, fresh = [], [], []
             for text in batch.column("text").to_pylist():
                 data = normalised(text).encode("utf-8", "surrogatepass")
@@ -146,10 +146,16 @@ def exact_duplicates(docs: DataFrame, width: int = 16) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns."""
+    """The rows of docs that exact_duplicates keeps, with all their columns.
+
+    Nulls, empty and long texts, ties and repeated rows are as there.  What moves is recipes and the
+    uids of the rows that go, never a text, however many rows go.
+    """
     table = recipe_table(docs)
-    kept = grouped(table).select(F.col("first.uid").alias("uid"))
-    return table.select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
+    groups, _ = base.written(grouped(table).where("group_size > 1"), "recipe-groups")
+    gone = base.join_counted(table.select("uid", "recipe"), groups, "recipe", "group_size").where(F.col("uid") != F.col("first.uid")).select("uid")
+    gone, _ = base.written(gone, "recipe-gone")
+    return base.at_places(table.select("uid", "row"), gone, inside=False).select("row.*")
 
 
 ORACLE_SQL = r"""

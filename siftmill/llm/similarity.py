@@ -13,7 +13,6 @@ node, and a spanning forest of its links.
 
 from __future__ import annotations
 
-import gc
 import math
 import re
 
@@ -29,11 +28,12 @@ from . import base
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
 #: Hash functions of a signature, deepest split, nodes of a bucket that is compared as it is, nodes of a block of a larger one.
 HASHES, DEPTH, SMALL, BLOCK = 128, 3, 48, 512
+#: Functions that a split chooses from; HASHES are enough for DEPTH splits in each of the runs that RECALL needs.
+WAYS = 4
 #: Signatures that agree in less than this share cannot be of similar sets: five standard errors under the threshold.
 SURELY_BELOW = SIMILAR - 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / HASHES)
-#: Node ids that are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-REMEMBERED = 600_000
+#: Words whose hashes a worker remembers.
+REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20011)
 _A, _B = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -77,14 +77,18 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches):
-    gc.disable()
     shingler = Shingler()
-    for batch in batches:
+    for batch in base.slabs(batches):
         sets = [shingler(t) for t in batch.column("text").to_pylist()]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"empty" + int(u).to_bytes(8, "big") for s, u in zip(sets, batch.column("uid").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("uid"), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["row", "uid", "set", "low"])
 
 
+def position(run: int, split: int, path: np.ndarray) -> np.ndarray:
+    """The hash function that a bucket splits by: of WAYS that no other split of any run takes, so runs are independent."""
+    return ((run * DEPTH + split) * WAYS + (path % np.uint64(WAYS)).astype(np.int64)) % HASHES
+
+
 def _paths(first: int, last: int):
     """For runs first..last-1: the nodes' buckets after one, two and three splits."""
 
@@ -96,8 +100,8 @@ def _paths(first: int, last: int):
             for r in range(first, last):
                 path = np.full(len(at), mixed(np.array([r + 1], np.uint64))[0], np.uint64)
                 steps = []
-                for _ in range(DEPTH):
-                    choice = (path % np.uint64(HASHES)).astype(np.int64)
+                for k in range(DEPTH):
+                    choice = position(r, k, path)
                     path = mixed(path * _STEP + low[at, choice] + np.uint64(1))
                     steps.append(path.view(np.int64))
                 parts.append([uid, *steps])
@@ -216,7 +220,7 @@ def _links(similar: float):
 
 def _shingled(batches):
     shingler = Shingler()
-    for batch in batches:
+    for batch in base.slabs(batches):
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array([shingler(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["uid", "shingles"])
 
 
@@ -236,26 +240,26 @@ def _together(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(uid, root) for every node of edges (uid, to): root is the smallest uid of its component.  Smallest labels spread over edges and jump over labels until none changes."""
     both, _ = base.written(edges.select("uid", "to").union(edges.select("to", "uid")).distinct(), "join-edges")
-    labels = both.groupBy("uid").agg(F.least(F.min("to"), F.col("uid")).alias("root"))
+    labels = both.groupBy("uid").agg(F.least(F.min("to"), F.col("uid")).alias("root"), F.count("*").alias("n"))
     labels, path = base.written(labels, "join-labels")
     for _ in range(200):
-        around = both.join(labels.withColumnRenamed("uid", "to"), "to").groupBy("uid").agg(F.min("root").alias("near"))
-        lower = labels.join(around, "uid").select("uid", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        jumped = lower.join(labels.select(F.col("uid").alias("root"), F.col("root").alias("beyond")), "root").select("uid", F.least("root", "beyond").alias("root"), "was")
+        # edges are as many to a node as from it, and the middle of a large class has most of its edges
+        around = base.join_counted(both, labels.select(F.col("uid").alias("to"), "root", "n"), "to", "n").groupBy("uid").agg(F.min("root").alias("near"))
+        lower, lowered = base.written(labels.join(around, "uid").select("uid", F.least("root", "near").alias("root"), F.col("root").alias("was"), "n"), "join-lower")
+        share = lower.groupBy("root").agg(F.count("*").alias("size"))
+        beyond, _ = base.written(labels.select(F.col("uid").alias("root"), F.col("root").alias("beyond")).join(share, "root"), "join-beyond")
+        jumped = base.join_counted(lower, beyond, "root", "size").select("uid", F.least("root", "beyond").alias("root"), "was", "n")
         after, newer = base.written(jumped, "join-labels")
+        base.remove_path(edges.sparkSession, lowered)
         changed = not after.where("root <> was").isEmpty()
-        labels = after.select("uid", "root")
+        labels = after.select("uid", "root", "n")
         base.remove_path(edges.sparkSession, path)
         path = newer
         if not changed:
-            return labels
+            return labels.select("uid", "root")
     raise RuntimeError("components don't settle")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Two written tables: the rows (`row` with the named columns and the text, uid, set), and for each set its copies, its n_links and the first row of its class, `head`."""
     carried = dict.fromkeys([*columns, "text"])  # the text once, also if it is among the columns
@@ -276,11 +280,14 @@ def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recal
     kept = mark.groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf")
     members, _ = base.written(leaves.join(kept, "leaf"), "join-members")
     two = base.schema(("uid", "bigint"), ("leaf", "bigint"))
-    lows = nodes.select("uid", "low").join(_few(members.select("uid").distinct()), "uid", "left_semi")  # most nodes are in no bucket with another
+    some, _ = base.written(members.select("uid").distinct(), "join-some")
+    some = F.broadcast(some) if some.count() <= base.BROADCAST_IDS else some  # else the signatures are shuffled, 512 bytes a node
+    lows = nodes.select("uid", "low").join(some, "uid", "left_semi")  # most nodes are in no bucket with another
     near = _together(_in_blocks(members.join(lows, "uid"))).mapInArrow(_candidates, two).distinct()
     near, _ = base.written(near, "join-near")
-    ids = near.select("uid").distinct()
-    shingles, _ = base.written(table.select("uid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")).join(_few(ids), "uid").mapInArrow(_shingled, base.schema(("uid", "bigint"), ("shingles", "binary"))), "join-shingles")
+    ids, _ = base.written(near.select("uid").distinct(), "join-ids")
+    texts = base.at_places(table.select("uid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")), ids)
+    shingles, _ = base.written(texts.mapInArrow(_shingled, base.schema(("uid", "bigint"), ("shingles", "binary"))), "join-shingles")
     sizes = near.groupBy("leaf").agg(F.count("*").alias("n"))
     lists = near.groupBy("uid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # a leaf or none for each run
     own = near.join(sizes, "leaf").join(lists, "uid").join(nodes.select("uid", "copies"), "uid").join(shingles, "uid")
@@ -311,10 +318,14 @@ def similarity_classes(docs: DataFrame, similar: float = SIMILAR, recall: float
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their class."""
+    """The rows of docs, with all their columns, that stand for their class: of each the smallest doc_id (nulls last, then in order of reading).
+
+    Null and empty texts, and texts without a word, are classes of their own and stay; of equal rows
+    one stays; an empty table gives none.  Texts are not shuffled, only the uids of the rows that go.
+    """
     table, sets = classes(docs, docs.columns, similar, recall)
     heads = sets.select("set", F.col("head.uid").alias("head"), "copies")
     others = base.join_counted(table.select("uid", "set"), heads, "set", "copies").where("uid <> head").select("uid")
-    others, _ = base.written(others, "join-others")  # ids of the rows that go: far fewer than those that stay, so that texts seldom need a shuffle
+    others, _ = base.written(others, "join-others")
     own = F.struct(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).alias("row")
-    return table.select("uid", own).join(_few(others), "uid", "left_anti").select("row.*")
+    return base.at_places(table.select("uid", own), others, inside=False).select("row.*")
