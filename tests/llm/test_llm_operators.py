@@ -88,6 +88,37 @@ def test_toxicity_risk_is_corrected():
     assert 1 / (1 + np.exp(-model.bias)) < 0.2 < 0.6 < 1 / (1 + np.exp(-model.bias - model.weights[mark]))
 
 
+def test_toxicity_gradient_is_that_of_the_risk():
+    rng = np.random.default_rng(1)
+    model = toxicity.NonNegativePU(0.3)
+    for shift in (-2.0, 4.0):  # with far-off positives the bracket is negative
+        p, u = rng.normal(2 + shift, 1, 30), rng.normal(-1, 1, 50)
+        clipped = model.negative_risk(p, u) < -model.SLACK
+        assert clipped == (shift > 0)
+
+        def risk(p, u):
+            bracket = model.negative_risk(p, u)
+            return -bracket if clipped else model.prior * float(np.mean(np.logaddexp(0, -p))) + bracket
+
+        slope, step = model.slope(p, u), 1e-6
+        for i in range(0, 80, 7):
+            q, v = p.copy(), u.copy()
+            (q if i < 30 else v)[i if i < 30 else i - 30] += step
+            assert (risk(q, v) - risk(p, u)) / step == pytest.approx(slope[i], abs=1e-6)
+
+
+def test_toxicity_fit_where_texts_are_equals_the_fit_on_the_driver(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fitted(docs, labels)
+    rows = labels.where(~toxicity.in_fold(F.col("doc_id"))).join(docs, "doc_id").select("toxic", "text").collect()
+    some = [toxicity.present(r["text"] or "") for r in rows]
+    plain = toxicity.NonNegativePU(model.prior).fit([x for x, r in zip(some, rows) if r["toxic"] == 1], some)
+    assert set(model.weights) == set(plain.weights) and model.weights
+    texts = [r["text"] or "" for r in rows]
+    assert np.allclose(model.scores(texts, {}), plain.scores(texts, {}), atol=0.15)
+
+
 def test_toxicity_hard_rows(spark, hard, empty):
     labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     got = toxicity.scored(hard, labels).collect()
@@ -144,6 +175,15 @@ def test_pii_keeps_base_spans_and_adds_others(docs, hard, empty):
     assert masked.where("text like '%<email> and <ip> or <phone>%'").count() == 1
 
 
+def test_pii_adds_spans_that_the_patterns_miss(spark):
+    """A card after another number: the pattern runs on from the first digit, the field chooses its bounds."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    field = pii.fitted(docs)
+    for text, kind, span in (("no. 5 4539578763621486 ok", 2, "4539578763621486"), ("n 7 4111111111111111", 2, "4111111111111111"), ("call +1 (555) 555-1234 5 6 7 8 9", 3, "+1 (555) 555-1234")):
+        own, every = pii.all_spans(text, field, {})
+        assert plain_spans(text) == own == [] and [(k, text[s:e]) for s, k, e in every] == [(kind, span)]
+
+
 def test_pii_sample_sees_late_and_long_regions(spark, monkeypatch):
     text = " and ".join([*(f"n{k}" for k in range(40)), "1" * 300])
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
@@ -395,7 +435,7 @@ def test_urls_equal_sql(spark, sf):
     same(registry.op6_url_filters(spark, "/root/testdata/sf0.01"), urlfilter.ORACLE_SQL, pages="/root/testdata/sf0.01/pages.parquet")
 
 
-def test_cascade_is_exact_on_its_universe(spark):
+def test_cascade_is_exact_on_its_universe(spark, monkeypatch):
     rng = random.Random(5)
     urls = [f"http://h{rng.randrange(400)}.example.com/p{rng.randrange(9)}/" for _ in range(3000)]
     rules = [(rng.choice(["allow", "block"]), f"h{k}.example.com/p{rng.randrange(9)}/") for k in range(300)]
@@ -407,6 +447,11 @@ def test_cascade_is_exact_on_its_universe(spark):
         assert r["rule"] == (key if key in table else None) and r["verdict"] == table.get(key, "allow")
     assert urlfilter.judged(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urlfilter.judged(df, [], "block").collect()} == {"block"}
+    want = Counter(map(tuple, urlfilter.judged(df, rules).collect()))
+    for listed in (rules, []):  # rules too many for filters are joined, with the same rows
+        monkeypatch.setattr(urlfilter, "MOST_RULES", -1)
+        assert Counter(map(tuple, urlfilter.judged(df, listed).collect())) == (want if listed else Counter((k, *urlfilter.parts_of(u), None, "allow") for k, u in enumerate(urls + wrong)))
+    assert urlfilter.judged(df.limit(0), rules).count() == 0
     assert urlfilter.parts_of("x://Y.z?q") == ("y.z", "")
 
 
@@ -466,6 +511,8 @@ def test_media_round_trip(spark, docs, hard, empty):
 def test_media_ranges_and_retries(docs, tmp_path):
     folder = f"file://{tmp_path}/archives"
     media.write_archives(docs, folder)
+    (tmp_path / "archives" / "part-009999-0000.zip").write_bytes(b"of a lost attempt, not in the committed list")
+    assert sum(b.num_rows for p in media.ArchiveReader({"path": folder}).partitions() for b in media.ArchiveReader({"path": folder}).read(p)) == docs.count()
     reader = media.ArchiveReader({"path": folder, "rangeBytes": 50_000})
     parts = reader.partitions()
     assert len(parts) > 2
@@ -484,7 +531,7 @@ def test_media_ranges_and_retries(docs, tmp_path):
         assert sum(b.num_rows for p in parts[:1] for b in reader.read(p)) > 0
     finally:
         base.Files.open = plain
-    path = next((tmp_path / "archives").glob("*.zip"))
+    path = next((tmp_path / "archives").glob("part-000000*.zip"))
     data = bytearray(path.read_bytes())
     data[200] ^= 255
     path.write_bytes(data)
@@ -557,6 +604,59 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
         assert Counter(map(tuple, got)) == Counter((k, i, keys.count(k)) for i, k in enumerate(keys) if k < 3)
 
 
+def test_runs_share_no_function():
+    path = np.arange(100, dtype=np.uint64)
+    used = [set(similarity.position(r, k, path).tolist()) for r in range(similarity.runs_for(similarity.DEPTH)) for k in range(similarity.DEPTH)]
+    assert sum(map(len, used)) == len(set().union(*used)) and max(set().union(*used)) < similarity.HASHES
+
+
+def test_recall_over_a_thousand_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, got = brute_classes(text_rows(df)), Counter(tuple(r) for r in similarity.similarity_classes(df).collect())
+    links = lambda rows: sum(n * k for (_, _, n), k in rows.items())
+    assert links(got) >= 0.999 * links(want)
+    assert Counter((d, c) for d, c, _ in got.elements()) == Counter((d, c) for d, c, _ in want.elements())
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_stages_over_hard_and_empty_tables(spark, hard, empty, monkeypatch, most):
+    """With few ids broadcast, and with every partition's ids in a file of its own."""
+    monkeypatch.setattr(base, "BROADCAST_IDS", most)
+    rows = text_rows(hard)
+    kept = similarity.one_of_each(hard)
+    assert kept.columns == hard.columns and similarity.one_of_each(empty).count() == 0
+    heads = {c for _, c, _ in brute_classes([(d, t) for d, t in rows if shingles(t)]) if c is not None}
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted([*heads, *(d for d, t in rows if d is not None and not shingles(t))])
+    unique = dedup.without_duplicates(hard)
+    norm = [re.sub("[\x20\x09-\x0d]+", " ", t) for _, t in rows]
+    assert unique.columns == hard.columns and unique.count() == len(set(norm))
+    assert sorted(re.sub("[\x20\x09-\x0d]+", " ", t) for _, t in text_rows(unique)) == sorted(set(norm))
+    assert dedup.without_duplicates(empty).count() == 0
+    assert pii.masked(empty).count() == 0 and pii.masked(empty).columns == empty.columns
+
+
+def test_pipeline_over_hard_and_empty_tables(spark, hard, empty, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1), (3, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    for name, df in (("hard", hard), ("empty", empty)):
+        folder = f"file://{tmp_path}/{name}"
+        df.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (out.count() == 0) == (name == "empty")
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("C", (), {"get": lambda self, k, d=None: d})()
+        sparkContext = type("S", (), {"master": "spark://x:7077", "getConf": lambda self: {}})()
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        base.scratch_root(Elsewhere())
+
+
 def test_runs_reach_the_target():
     assert [similarity.runs_for(d) for d in (1, 2, 3)] == [5, 7, 10]
 
@@ -564,7 +664,7 @@ def test_runs_reach_the_target():
 def test_depth_counts_splits_without_a_leaf(spark):
     m = similarity.SMALL + 12
     low = np.arange(m * similarity.HASHES, dtype=np.uint32).reshape(m, similarity.HASHES)
-    low[:, int(similarity.mixed(np.array([1], np.uint64))[0] % np.uint64(similarity.HASHES))] = 5  # all choose this one first in run 0
+    low[:, int(similarity.position(0, 0, similarity.mixed(np.array([1], np.uint64)))[0])] = 5  # all choose this one first in run 0
     nodes = spark.createDataFrame([(k, bytearray(low[k].tobytes())) for k in range(m)], "uid long, low binary")
     found, depth = similarity._leaves(nodes, 0, 1)
     assert found.count() == 0 and depth == 2
