@@ -1,49 +1,5 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to packed training sequences; the stages are in siftmill.llm.pipeline, and this file goes with that subpackage."""
 
-from __future__ import annotations
+from siftmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from siftmill.llm import base, dedup, packing, pii, similarity, toxicity
-
-
-def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-
-def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup.without_duplicates(docs)
-
-
-def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similarity.one_of_each(docs)
-
-
-def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.masked(docs)
-
-
-def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("toxicity", toxic_out),
-    ("exact_dedup", copies_out),
-    ("jaccard_join", near_copies_out),
-    ("pii", personal_data_masked),
-    ("packing", sequences),
-]
-
-#: A fitted classifier and a genetic search can't be said in SQL; tests/llm holds the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs, _ = base.written(docs, f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
