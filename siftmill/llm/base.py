@@ -6,6 +6,7 @@ import io
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,25 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/siftmill/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/siftmill/{name}-{uuid.uuid4().hex}"
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what operators inside it wrote to the shared folder; their results are to be written elsewhere, or collected, before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -157,10 +157,13 @@ def _evolve(limit: int, seed: int, epoch: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
-                island = Island(row["lengths"], limit, seed + 7919 * epoch + 104729 * row["island"] + row["block"])
-                genome = island.run([_as_genome(x) for x in row.get("elites") or []])
-                rows.append((row["block"], row["island"], len(genome), _as_bytes(genome, len(row["lengths"]))))
+            for k in range(batch.num_rows):  # one block's items in memory at a time
+                own = batch.slice(k, 1)
+                block, number = own.column("block")[0].as_py(), own.column("island")[0].as_py()
+                lengths = own.column("lengths").flatten().to_pylist()
+                elites = own.column("elites").flatten().to_pylist() if epoch else []
+                genome = Island(lengths, limit, seed + 7919 * epoch + 104729 * number + block).run([_as_genome(x) for x in elites])
+                rows.append((block, number, len(genome), _as_bytes(genome, len(lengths))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "island", "bins", "genome"])
 
     return run
@@ -194,15 +197,16 @@ _PLACED = base.schema(("uid", "bigint"), ("piece", "int"), ("length", "int"), ("
 def _spread(batches):
     """Every item with its bin, the bin's load, and its place in it."""
     for batch in batches:
-        for row in batch.to_pylist():
-            items, bins = row["items"], np.frombuffer(row["genome"], np.int32)
-            length = np.array([x["length"] for x in items], np.int64)
+        for k in range(batch.num_rows):
+            own = batch.slice(k, 1)
+            items, bins = own.column("items").flatten(), np.frombuffer(own.column("genome")[0].as_py(), np.int32)
+            length = items.field("length").to_numpy().astype(np.int64)
             load = np.bincount(bins, length).astype(np.int64)
             order = np.argsort(bins, kind="stable")
             before = np.cumsum(length[order]) - length[order]
             offset = np.zeros(len(items), np.int64)
             offset[order] = before - (np.cumsum(load) - load)[bins[order]]
-            columns = ([x["uid"] for x in items], [x["piece"] for x in items], length, np.full(len(items), row["block"]), bins, load[bins], offset)
+            columns = (items.field("uid"), items.field("piece"), length, np.full(len(items), own.column("block")[0].as_py()), bins, load[bins], offset)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=_PLACED.names)
 
 

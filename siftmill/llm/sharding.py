@@ -18,10 +18,11 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     """One row per row of docs: doc_id, source, size, text_crc32, law, shard, slot, grown_shard.
 
     Only ids, sizes and hashes move; texts stay where they are read.  Both sorts are cut by ranges
-    of a key that ends in a hash, so a source with a third of all rows spreads over tasks.  A null
-    source is a source of its own; null doc_ids share a hash and are ordered by their text's
-    checksum; identical rows take neighbouring ranks in either order.  grown_shard is null: this
-    law doesn't bind a row to its shard when shards are added.
+    of a key that ends in a hash and the row's place, so a source with a third of all rows, or very
+    many identical rows, spread over tasks.  A null source is a source of its own; null doc_ids share
+    a hash and are ordered by their text's checksum; identical rows take neighbouring ranks in the
+    order of reading.  An empty table gives no row.  grown_shard is null: this law doesn't bind a row
+    to its shard when shards are added.
     """
     slim = docs.select(
         docs["doc_id"],
@@ -29,13 +30,14 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
         (F.coalesce(F.octet_length(docs["text"]), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(base.text_of(docs), "utf-8")).alias("text_crc32"),
         F.md5(F.concat_ws("|", F.lit(str(seed)), docs["doc_id"].cast("string"))).alias("draw"),
+        F.monotonically_increasing_id().alias("tie"),
     )
     slim, _ = base.written(slim, "shard-rows")
-    drawn, _ = base.ordered_table(slim, ["source", "draw", "doc_id", "text_crc32"], "shard-drawn")
+    drawn, _ = base.ordered_table(slim, ["source", "draw", "doc_id", "text_crc32", "tie"], "shard-drawn")
     drawn = base.with_positions(drawn, "at")
     sources = drawn.groupBy("source").agg(F.min("at").alias("first"), F.count("*").alias("n")).withColumnRenamed("source", "s")
     ranked = drawn.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("fraction", (F.col("at") - F.col("first") + 0.5) / F.col("n"))
-    mixed, _ = base.ordered_table(ranked.drop("s", "first", "n", "at"), ["fraction", "source", "draw", "doc_id", "text_crc32"], "shard-mixed")
+    mixed, _ = base.ordered_table(ranked.drop("s", "first", "n", "at"), ["fraction", "source", "draw", "doc_id", "text_crc32", "tie"], "shard-mixed")
     total = mixed.count()
     mixed = base.with_positions(mixed, "at").withColumn("shard", F.expr(f"cast((at * {shards}) div {max(total, 1)} as int)"))
     begin = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")

@@ -247,6 +247,28 @@ def test_shards_match_the_mixture(spark, docs, hard, empty):
     assert sharding.interleaved(empty).count() == 0
 
 
+def test_shard_order_equals_brute_force(docs):
+    rows, place = docs.select("doc_id", "source").collect(), {}
+    own = defaultdict(list)
+    for r in rows:
+        own[r["source"]].append((hashlib.md5(f"17|{r['doc_id']}".encode()).hexdigest(), r["doc_id"]))
+    mixed = sorted(((k + 0.5) / len(x), s, *d) for s, x in own.items() for k, d in enumerate(sorted(x)))
+    for at, (*_, doc_id) in enumerate(mixed):
+        shard = at * 8 // len(rows)
+        place[doc_id] = (shard, at - -(-shard * len(rows) // 8))
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleaved(docs).collect()} == place
+
+
+def test_scratch_is_removed(spark, docs, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(base, "scratch_root", lambda _: f"file://{tmp_path}")
+    with base.cleaned(spark):
+        n = dedup.without_duplicates(docs).count()
+        assert n and list(Path(tmp_path, "siftmill").iterdir())
+    assert not [p for p in Path(tmp_path, "siftmill").iterdir() if p.is_dir()]
+
+
 def test_shard_files(docs, tmp_path, spark):
     plan = sharding.write_shards(docs, f"file://{tmp_path}/shards", 4)
     back = spark.read.parquet(f"file://{tmp_path}/shards")
@@ -508,6 +530,63 @@ def test_media_round_trip(spark, docs, hard, empty):
     assert media.media_features(empty).count() == 0
 
 
+def plain_pixels(image):
+    """Another reader of 8-bit grey PNG images: by the format's rules, all five filters."""
+    import struct
+
+    at, data, width = 8, b"", 0
+    while image[at + 4 : at + 8] != b"IEND":
+        (size,) = struct.unpack(">I", image[at : at + 4])
+        body = image[at + 8 : at + 8 + size]
+        if image[at + 4 : at + 8] == b"IHDR":
+            width, height, depth, colour = struct.unpack(">IIBB", body[:10])
+            assert (depth, colour) == (8, 0)
+        elif image[at + 4 : at + 8] == b"IDAT":
+            data += body
+        at += 12 + size
+    raw, rows, before = zlib.decompress(data), [], [0] * width
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], list(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            a, b, c = line[x - 1] if x else 0, before[x], before[x - 1] if x else 0
+            p = a + b - c
+            paeth = min((a, b, c), key=lambda v: abs(p - v))
+            line[x] = (line[x] + (0, a, b, (a + b) // 2, paeth)[kind]) % 256
+        rows.append(line)
+        before = line
+    return rows
+
+
+def plain_feature(rows):
+    n, flat = len(rows), [v for row in rows for v in row]
+    cells = []
+    for k in range(8):
+        band = rows[n * k // 8 : max(n * k // 8 + 1, n * (k + 1) // 8)]
+        cells += [sum(sum(row[72 * c : 72 * c + 72]) for row in band) / (72 * len(band)) for c in range(8)]
+    mean = sum(flat) / len(flat)
+    bits = "".join("1" if x > sum(cells) / 64 + 1e-9 else "0" for x in cells)
+    spread = (sum((v - mean) ** 2 for v in flat) / len(flat)) ** 0.5
+    shares = [1000 * sum(v // 64 == q for v in flat) // len(flat) for q in range(4)]
+    return int(bits, 2), mean, spread, shares
+
+
+def test_media_by_another_reader(spark, docs, tmp_path):
+    few = docs.orderBy("doc_id").limit(25)
+    folder = f"file://{tmp_path}/own"
+    media.write_archives(few, folder)
+    stored = {r["doc_id"]: r["media"] for r in media.read_archives(spark, folder).collect()}
+    found = {r["doc_id"]: r for r in media.media_features(few).collect()}
+    for d, t in text_rows(few):
+        rows = plain_pixels(stored[d])
+        payload = bytes(v for row in rows for v in row)
+        assert payload.rstrip(b"\xff") == t.encode() and len(payload) % 576 == 0 and len(rows[0]) == 576
+        assert (found[d]["media_bytes"], found[d]["media_sha256"], found[d]["payload_sha256"]) == (len(stored[d]), hashlib.sha256(stored[d]).hexdigest(), hashlib.sha256(payload).hexdigest())
+        bits, mean, spread, shares = found[d]["feature"].split(":")
+        want = plain_feature(rows)
+        assert int(bits, 16) == want[0] and float(mean) == pytest.approx(want[1], abs=1e-3) and float(spread) == pytest.approx(want[2], abs=1e-3)
+        assert list(map(int, shares.split(","))) == want[3]
+
+
 def test_media_ranges_and_retries(docs, tmp_path):
     folder = f"file://{tmp_path}/archives"
     media.write_archives(docs, folder)
