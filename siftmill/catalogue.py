@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import ids, text, urls, vectors
 from .operators import agent, faqs, feedback, graph, health, ingest, migrate, queues, retention, search
 from .plans import predicates, querylang
+from .sources import embedding
 from .sources import fixtures as fx
 
 _QUERIES: dict[str, Callable] = {}
@@ -963,3 +964,59 @@ def agent_prompt(s, d):
 def health_probes(s, d):
     checks = {**health.standard(fx.tokens(s, d), _answers(s, d), fx.query_vectors(s, d)), "broken": lambda: s.table("no_such_table")}
     return health.probes(s, checks, optional=("broken",)).select("probe", "status", "found")
+
+
+@query("select max(doc_id) as next, (select count(*) from documents) as total from (select doc_id from documents where doc_id > 40 order by doc_id limit 10)")
+def keyset_cursor(s, d):
+    t = fx.table(s, d, "documents")
+    return ingest.cursor_of(ingest.page(t, 40, 10), t, 10)
+
+
+@query("select doc_id, case when lang in ('de', 'en') and doc_id % 3 <> 0 then lang else 'Unknown' end as language from documents")
+def queue_languages(s, d):
+    t = fx.table(s, d, "documents").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, 0.1).otherwise(0.9).alias("accuracy"))
+    return queues.with_language(t).select("doc_id", "language")
+
+
+_URL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\\?[^#]*)?(#.*)?$"
+
+
+@query(f"""with u as (select page_id, case page_id % 3 when 0 then url || '/' when 1 then 'HTTPS' || substr(url, strpos(url, ':')) else url end as url from pages),
+ p as (select page_id, url, regexp_extract(url, '{_URL}', 1) as s, regexp_extract(url, '{_URL}', 2) as h, regexp_extract(url, '{_URL}', 3) as p, regexp_extract(url, '{_URL}', 4) as q, regexp_extract(url, '{_URL}', 5) as f from u)
+ select page_id, array_to_string(list_sort(list_distinct(list_filter([url, case when h <> '' then lower(s) || '://' || lower(h) || p || q end, case when h <> '' and f <> '' then s || '://' || h || p || q end,
+ case when h <> '' and ends_with(p, '/') and p <> '/' then s || '://' || h || rtrim(p, '/') || q when h <> '' and p <> '' and not ends_with(p, '/') and q = '' then s || '://' || h || p || '/' end,
+ case when ends_with(url, '/') and url <> '/' then rtrim(url, '/') end], lambda x: x is not null and x <> ''))), ' ') as forms from p""")
+def url_forms(s, d):
+    """All forms of urls with added slashes and upper-case schemes."""
+    n, url = F.col("page_id"), F.col("url")
+    given = F.when(n % 3 == 0, F.concat(url, F.lit("/"))).when(n % 3 == 1, F.concat(F.lit("HTTPS"), F.expr("substring(url, instr(url, ':'))"))).otherwise(url)
+    return fx.table(s, d, "pages").select("page_id", F.array_join(F.array_sort(urls.variants(given)), " ").alias("forms"))
+
+
+@query(f"with {fx.TOKENS}, pre as (select doc_id, score + {_DECAY} as score from (select * from dense order by dense.score desc, doc_id limit 10)) select doc_id, round(score, 4) as score from pre")
+def dense_recency(s, d):
+    """Without late vectors recency reorders the dense page."""
+    query_vectors = search.Vectors(fx.query_vectors(s, d).dense)
+    got = search.hybrid(_timed(s, d), query_vectors, 10, boost={"now": _now(), "days": 10, "midpoint": 0.5})
+    return got.select("doc_id", _r("score", 4).alias("score"))
+
+
+@query(f"""with {_EDGES}, r1 as (select dst as n, min([0, k]) as p from e where src = 5 and dst <> 5 group by dst),
+ r2 as (select e.dst as n, min(list_append(r1.p, k)) as p from r1 join e on e.src = r1.n where e.dst <> 5 and e.dst not in (select n from r1) group by e.dst)
+ select n, hop from (select n, 1 as hop, p from r1 union all select n, 2, p from r2) order by hop, p limit 3""")
+def supporting_documents(s, d):
+    """What a generation for one page also reads: the first three pages within two links."""
+    web = fx.web(s, d)
+    found = graph.related(web, web.where("n = 5").select("doc_id", F.lit(0).alias("pos")), 2, 3)
+    return found.join(web.select("doc_id", "n"), "doc_id").select("n", "hop")
+
+
+@query("select doc_id, length(text)::bigint as n from documents")
+def embedding_batches(s, d):
+    """The embedding hook, in batches of eight, with a model that counts characters."""
+
+    def model(texts):
+        return [[float(len(t))] for t in texts]
+
+    t = fx.table(s, d, "documents").select("doc_id", F.col("text").alias("text_to_embed"))
+    return embedding.embedded(t, model).select("doc_id", F.col("dense")[0].cast("bigint").alias("n"))

@@ -83,6 +83,12 @@ def page(table: DataFrame, after, limit: int = 10, where: Column | None = None,
     return (rows if after is None else rows.where(F.col(key) > F.lit(after))).orderBy(key).limit(limit)
 
 
+def cursor_of(rows: DataFrame, table: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """One row about a page: the cursor of the next one (null after the last), and how many rows the table has."""
+    after = F.when(F.count("*") == limit, F.max(key)).alias("next")
+    return rows.agg(after).crossJoin(F.broadcast(table.agg(F.count("*").alias("total"))))
+
+
 def recent_first(table: DataFrame, limit: int, offset: int = 0, key: str = "doc_id") -> DataFrame:
     return table.orderBy(F.desc_nulls_last("indexed_at"), F.desc(key)).offset(offset).limit(limit)
 

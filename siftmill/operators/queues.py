@@ -23,10 +23,15 @@ def newest(queue: DataFrame, limit: int = 50, collection: str | None = None) ->
     return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(min(max(limit, 1), 500))
 
 
+def with_language(queue: DataFrame, known: tuple[str, ...] = ("de", "en"), least: float = 0.2) -> DataFrame:
+    """Rows with their group: the detector's lang if it is known and sure enough, else Unknown."""
+    lang = F.when(F.col("lang").isin(*known) & (F.coalesce("accuracy", F.lit(1.0)) >= least), F.col("lang")).otherwise("Unknown")
+    return queue.withColumn("language", lang)
+
+
 def by_language(queue: DataFrame, known: tuple[str, ...] = ("de", "en"), least: float = 0.2) -> DataFrame:
     """Counts by language, Unknown last; the detector's lang and accuracy are columns."""
-    lang = F.when(F.col("lang").isin(*known) & (F.coalesce("accuracy", F.lit(1.0)) >= least), F.col("lang")).otherwise("Unknown")
-    return queue.groupBy(lang.alias("language")).agg(F.count("*").alias("queries")).orderBy(F.col("language") == "Unknown", "language")
+    return with_language(queue, known, least).groupBy("language").agg(F.count("*").alias("queries")).orderBy(F.col("language") == "Unknown", "language")
 
 
 def kv_collection(name: str) -> str:
