@@ -60,7 +60,7 @@ class NonNegativePU:
     #: How far below zero a minibatch's risk of the negatives may be by chance.
     SLACK = 0.02
 
-    def __init__(self, prior: float, epochs: int = 80, batch: int = 2048, rate: float = 0.03, decay: float = 1e-3, seed: int = 5):
+    def __init__(self, prior: float, epochs: int = 160, batch: int = 2048, rate: float = 0.03, decay: float = 1e-3, seed: int = 5):
         self.prior, self.epochs, self.batch, self.rate, self.decay, self.seed = prior, epochs, batch, rate, decay, seed
         self.weights, self.bias = {}, float(np.log(prior / (1 - prior)))
 
