@@ -148,8 +148,9 @@ def exact_duplicates(docs: DataFrame, width: int = 16) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_duplicates keeps, with all their columns.
 
-    Nulls, empty and long texts, ties and repeated rows are as there.  What moves is recipes and the
-    uids of the rows that go, never a text, however many rows go.
+    Nulls, empty and long texts, ties and repeated rows are as there.  Beside the distinct chunks,
+    which move once to be verified, only recipes and the uids of the rows that go move, never a whole
+    text, however many rows go.
     """
     table = recipe_table(docs)
     groups, _ = base.written(grouped(table).where("group_size > 1"), "recipe-groups")
