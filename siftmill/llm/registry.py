@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, media, packing, pii, sharding, similarity, token_files, toxicity, urlfilter
+from . import bpe, dedup, media, packing, pii, sharding, simhash, similarity, token_files, toxicity, urlfilter
 from . import pipeline as stages
 
 #: (verdict, host/path)
@@ -58,11 +58,15 @@ def op10_exact_dedup(spark, sf_dir):
     return dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark, sf_dir):
+    return simhash.fingerprint_classes(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_files, op5_packing, op6_url_filters, op7_byte_bpe, op8_media, op9_jaccard_join, op10_exact_dedup, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_files, op5_packing, op6_url_filters, op7_byte_bpe, op8_media, op9_jaccard_join, op10_exact_dedup, op11_simhash, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op6_url_filters": urlfilter.ORACLE_SQL, "op10_exact_dedup": dedup.ORACLE_SQL}
