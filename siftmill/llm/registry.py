@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, lexical, media, packing, pii, sharding, simhash, similarity, token_files, toxicity, urlfilter
+from . import bpe, dedup, divergence, lexical, media, packing, pii, sharding, simhash, similarity, token_files, toxicity, urlfilter
 from . import pipeline as stages
 
 #: (verdict, host/path)
@@ -66,11 +66,15 @@ def op12_ranked_search(spark, sf_dir):
     return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audited(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return stages.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_files, op5_packing, op6_url_filters, op7_byte_bpe, op8_media, op9_jaccard_join, op10_exact_dedup, op11_simhash, op12_ranked_search, pipeline)
+    f.__name__: f for f in (op1_toxicity, op2_pii, op3_sharding, op4_token_files, op5_packing, op6_url_filters, op7_byte_bpe, op8_media, op9_jaccard_join, op10_exact_dedup, op11_simhash, op12_ranked_search, op13_source_divergence, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {"op6_url_filters": urlfilter.ORACLE_SQL, "op10_exact_dedup": dedup.ORACLE_SQL, "op12_ranked_search": lexical.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_url_filters": urlfilter.ORACLE_SQL, "op10_exact_dedup": dedup.ORACLE_SQL, "op12_ranked_search": lexical.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
