@@ -327,9 +327,9 @@ def _stars(batches):
             continue
         first = np.concatenate([[last is None or where[0] != last], where[1:] != where[:-1]])
         begins = np.flatnonzero(first)
-        own = np.concatenate([[centre] if not first[0] else [], fps[begins]]).astype(np.int64)
-        to = own[np.cumsum(first) - bool(first[0])]
-        keep = ~first
+        own = np.concatenate([np.array([centre], np.int64), fps[begins]])
+        to = own[np.cumsum(first)]
+        keep = fps != to
         last, centre = where[-1], to[-1]
         yield pa.RecordBatch.from_arrays([pa.array(fps[keep]), pa.array(to[keep])], names=["uid", "to"])
 
