@@ -4,7 +4,7 @@ Term part: each group's most divergent terms are found by radix selection.  A ro
 sequence of 16-bit digits, first those of its value (highest first), then its term's UTF-8 bytes; a
 round counts the digits of all groups' undecided rows (pre-aggregated, spread over tasks), finds the
 digit in which each group's k-th row lies, takes the rows before it, drops those behind and goes on
-with those in it.  So no task sees a group, and ties end at the bytes.
+with those in it, until few are left.  So no task sees a large group, and ties end at the bytes.
 
 Pair part: over all kept terms a source has a baseline share for those that it doesn't use, so
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import io
 import json
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from . import base
 
 LEAST_DOCUMENTS, RANKS = 3, 200
 SCALE = 1_000_000_000
+#: Undecided rows of a group that are sorted; of more, the next digits are counted.
+FEW = 1024
 #: Entries of a task's counts, and pairs of sources, that it holds before it writes them.
 HELD, PAIRS = 400_000, 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -78,9 +82,9 @@ def _counted(batches):
     yield flush()
 
 
-def share(count, total, kept) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + kept)), exactly, whatever the counts."""
-    return F.expr(f"1 + cast({SCALE} as decimal(10, 0)) * cast({count} + 1 as decimal(19, 0)) div greatest({total} + {kept}, 1)").cast("long")
+def share(n: str, total: str, kept: str) -> Column:
+    """1 + floor(SCALE * (n + 1) / (total + kept)), exactly, whatever the counts."""
+    return F.expr(f"1 + cast({SCALE} as decimal(10, 0)) * cast({n} + 1 as decimal(19, 0)) div greatest({total} + {kept}, 1)").cast("long")
 
 
 def divergence(p: str, q: str) -> Column:
@@ -99,26 +103,32 @@ def digit(j: int) -> Column:
 
 
 def selected(rows: DataFrame, k: int, name: str = "radix") -> DataFrame:
-    """The k rows of each group with the highest values, of equal values those with the first items: rows (group, value, item); value at least 0, item binary, not twice in a group."""
-    sizes, _ = base.written(rows.groupBy("group").agg(F.count("*").alias("size")), f"{name}-sizes")
-    out = base.join_counted(rows, sizes.where(F.col("size") <= k), "group", "size").drop("size")
-    left, state = rows, sizes.where(F.col("size") > k).withColumn("need", F.lit(k).cast("long"))
-    j = 0
-    while not state.isEmpty():
-        digits = base.join_counted(left, state, "group", "size").withColumn("digit", digit(j))
-        digits, _ = base.written(digits.drop("size"), f"{name}-digits")
+    """The k rows of each group with the highest values, of equal values those with the first items: rows (a written table: group, value, item); value at least 0, item binary, not twice in a group.
+
+    Rounds go on while some group has more than FEW undecided rows; up to FEW are sorted.
+    """
+    sizes, _ = base.written(rows.groupBy("group").agg(F.count("*").alias("size"), F.max("value").alias("top")), f"{name}-sizes")
+    top = sizes.agg(F.max("top")).first()[0] or 0
+    state = sizes.select("group", "size", F.lit(k).cast("long").alias("need"))
+    parts, left = [], rows
+    for j in count(next((d for d in range(4) if top >> 48 - 16 * d), 3)):  # leading digits that are 0 in all rows decide nothing
+        few = state.where((F.col("size") <= FEW) | (F.col("size") <= F.col("need")))
+        order = W.partitionBy("group").orderBy(F.col("value").desc(), "item")
+        last = base.join_counted(left, few, "group", "size").withColumn("at", F.row_number().over(order)).where("at <= need")
+        parts.append(last.select(*rows.columns))
+        state, _ = base.written(state.where((F.col("size") > FEW) & (F.col("size") > F.col("need"))), f"{name}-state")
+        if state.isEmpty():
+            break
+        digits = base.join_counted(left, state, "group", "size").select(*rows.columns, "need", digit(j).alias("digit"))
         counts = digits.groupBy("group", "need", "digit").agg(F.count("*").alias("size"))  # at most 66,049 digits a group
         upto = F.sum("size").over(W.partitionBy("group").orderBy("digit"))
-        cut = counts.withColumn("before", upto - F.col("size")).where("before < need and before + size >= need")
-        cut, _ = base.written(cut.select("group", F.col("digit").alias("cut"), (F.col("need") - F.col("before")).alias("still"), "size", F.sum("size").over(W.partitionBy("group")).alias("all")), f"{name}-cut")
-        every = digits.groupBy("group").agg(F.count("*").alias("rows"))
-        facts, _ = base.written(cut.join(every, "group"), f"{name}-facts")
-        met, _ = base.written(base.join_counted(digits, facts, "group", "rows").where("digit <= cut"), f"{name}-met")
-        out = out.unionByName(met.where("digit < cut or still = size").select(*rows.columns))
-        left = met.where("digit = cut and still < size").select(*rows.columns)
-        state = facts.where("still < size").select("group", F.col("still").alias("need"), "size")
-        j += 1
-    return out
+        within = counts.withColumns({"upto": upto, "all": F.sum("size").over(W.partitionBy("group"))}).where("upto - size < need and upto >= need")
+        facts, _ = base.written(within.select("group", F.col("digit").alias("cut"), (F.expr("need - (upto - size)")).alias("still"), "size", "all"), f"{name}-cut")
+        met = base.join_counted(left, facts.select("group", "cut", "all"), "group", "all").select(*rows.columns, "cut", digit(j).alias("digit")).where("digit <= cut")
+        met, _ = base.written(met, f"{name}-met")
+        parts.append(met.where("digit < cut").select(*rows.columns))
+        left, state = met.where("digit = cut").select(*rows.columns), facts.select("group", "size", F.col("still").alias("need"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # Pairs
