@@ -185,7 +185,8 @@ def fitted(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     """Fits on a bounded sample of the training fold's labelled rows: at most max_positive toxic texts, and as unlabelled ones at most max_unlabelled of any label.
 
     Samples are the rows with the smallest hashes of doc_id, so they don't depend on partitions; of
-    equal texts one counts.  Features are counted where the texts are; the driver gets those frequent
+    texts with the same words one counts, and if an id has many rows the bounds hold for their
+    different texts, those with the smallest digests.  Features are counted where the texts are; the driver gets those frequent
     in P, and of each text those that tell P and U apart.  The prior is the share of toxic rows among
     the training fold's labels (0.1 if there is none), kept within 0.01 and 0.5.
     """
@@ -196,10 +197,13 @@ def fitted(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     known = own.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen_p = known.where("toxic = 1").select("doc_id", F.lit(1).alias("toxic")).orderBy(draw, "doc_id").limit(max_positive)
     chosen_u = known.orderBy(draw, "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("toxic"))
-    chosen = chosen_p.unionByName(chosen_u)  # at most max_positive + max_unlabelled ids: small enough to broadcast
+    chosen = chosen_p.distinct().unionByName(chosen_u.distinct())  # at most max_positive + max_unlabelled ids: small enough to broadcast
     texts = docs.select("doc_id", base.text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     found, _ = base.written(texts.mapInArrow(_present, base.schema(("toxic", "int"), ("digest", "binary"), ("f", "array<int>"))), "toxic-features")
-    rows, _ = base.written(found.dropDuplicates(["toxic", "digest"]).select("toxic", "f"), "toxic-sample")
+    one = found.dropDuplicates(["toxic", "digest"])
+    kept = [found.where(F.col("toxic") == mark).select("toxic", "digest").distinct().orderBy("digest").limit(most) for mark, most in ((1, max_positive), (0, max_unlabelled))]
+    kept, _ = base.written(kept[0].unionByName(kept[1]), "toxic-kept")  # no more than the bounds: small enough to broadcast
+    rows, _ = base.written(one.join(F.broadcast(kept), ["toxic", "digest"], "left_semi").select("toxic", "f"), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
