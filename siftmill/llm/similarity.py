@@ -5,7 +5,7 @@ nodes by the minimum hash of their sets under a function that the bucket chooses
 that two sets share with the probability of their similarity; buckets that are still large are
 split again by a function of their own, up to three times.  Small buckets, and those that three
 splits have not made small, are compared by brute force (large ones in blocks of bounded size, a
-task for each pair of blocks).  At similarity s a pair stays together over d splits with
+task for each pair of blocks, which hold about as many shingles however long the texts are).  At similarity s a pair stays together over d splits with
 probability s**d, so runs are repeated until 1 - (1 - s**d)**runs reaches the target recall for the
 deepest bucket seen.  Pairs are counted, never written: a bucket gives a count of links for each
 node, and a spanning forest of its links.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +27,15 @@ from pyspark.sql import types as T
 from . import base
 
 WORDS, SIMILAR, RECALL = 5, 0.8, 0.999
-#: Hash functions of a signature, deepest split, nodes of a bucket that is compared as it is, nodes of a block of a larger one.
+#: Fewest hash functions of a signature, deepest split, nodes of a bucket that is compared as it is, nodes of a block of a larger one.
 HASHES, DEPTH, SMALL, BLOCK = 128, 3, 48, 512
-#: Functions that a split chooses from; HASHES are enough for DEPTH splits in each of the runs that RECALL needs.
+#: Shingles of a block, on average: what a task holds follows the texts' lengths, not their number alone.
+BLOCK_SHINGLES = 1 << 21
+#: Functions that a split chooses from.
 WAYS = 4
-#: Signatures that agree in less than this share cannot be of similar sets: five standard errors under the threshold.
-SURELY_BELOW = SIMILAR - 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / HASHES)
 #: Words whose hashes a worker remembers.
 REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
-_RNG = np.random.default_rng(20011)
-_A, _B = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1), _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,32 +68,53 @@ class Shingler:
         return np.unique(out)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(shingles), 1024):
-        low = np.minimum(low, ((shingles[k : k + 1024, None] * _A + _B) >> np.uint64(32)).min(0).astype(np.uint32))
+def hashes_for(similar: float, recall: float) -> int:
+    """Functions enough for all the runs that the deepest split may ask for, none of them shared."""
+    return max(HASHES, DEPTH * WAYS * runs_for(DEPTH, similar, recall))
+
+
+@lru_cache(maxsize=4)
+def functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20011)
+    return rng.integers(1, 1 << 63, hashes, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
+
+
+def surely_below(similar: float, hashes: int) -> float:
+    """Signatures that agree in less than this share cannot be of similar sets: five standard errors under the threshold."""
+    return similar - 5 * math.sqrt(similar * (1 - similar) / hashes)
+
+
+def signature(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    a, b = functions(hashes)
+    low, step = np.full(hashes, np.iinfo(np.uint32).max, np.uint32), max(1, (1 << 17) // hashes)
+    for k in range(0, len(shingles), step):
+        low = np.minimum(low, ((shingles[k : k + step, None] * a + b) >> np.uint64(32)).min(0).astype(np.uint32))
     return low
 
 
-def _signed(batches):
-    shingler = Shingler()
-    for batch in base.slabs(batches):
-        sets = [shingler(t) for t in batch.column("text").to_pylist()]
-        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"empty" + int(u).to_bytes(8, "big") for s, u in zip(sets, batch.column("uid").to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("uid"), pa.array(keys, pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["row", "uid", "set", "low"])
+def _signed(hashes: int):
+    def run(batches):
+        shingler = Shingler()
+        for batch in base.slabs(batches):
+            sets = [shingler(t) for t in batch.column("text").to_pylist()]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"empty" + int(u).to_bytes(8, "big") for s, u in zip(sets, batch.column("uid").to_pylist())]
+            lows = pa.array([signature(s, hashes).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("uid"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lows], names=["row", "uid", "set", "size", "low"])
+
+    return run
 
 
 def position(run: int, split: int, path: np.ndarray) -> np.ndarray:
     """The hash function that a bucket splits by: of WAYS that no other split of any run takes, so runs are independent."""
-    return ((run * DEPTH + split) * WAYS + (path % np.uint64(WAYS)).astype(np.int64)) % HASHES
+    return (run * DEPTH + split) * WAYS + (path % np.uint64(WAYS)).astype(np.int64)
 
 
-def _paths(first: int, last: int):
+def _paths(first: int, last: int, hashes: int):
     """For runs first..last-1: the nodes' buckets after one, two and three splits."""
 
     def run(batches):
         for batch in batches:
-            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint32).reshape(-1, hashes).astype(np.uint64)
             uid, at = np.array(batch.column("uid").to_pylist(), np.int64), np.arange(len(batch))
             parts = []
             for r in range(first, last):
@@ -111,9 +131,9 @@ def _paths(first: int, last: int):
     return run
 
 
-def _leaves(nodes: DataFrame, first: int, last: int) -> tuple[DataFrame, int]:
+def _leaves(nodes: DataFrame, first: int, last: int, hashes: int = HASHES) -> tuple[DataFrame, int]:
     """(uid, leaf, n) for the runs' buckets of two nodes and more that are small or as deep as they get; and the depth of the deepest split, whether or not it left two nodes together."""
-    left, _ = base.written(nodes.select("uid", "low").mapInArrow(_paths(first, last), base.schema(("uid", "bigint"), *((f"b{k + 1}", "bigint") for k in range(DEPTH)))), "join-paths")
+    left, _ = base.written(nodes.select("uid", "low").mapInArrow(_paths(first, last, hashes), base.schema(("uid", "bigint"), *((f"b{k + 1}", "bigint") for k in range(DEPTH)))), "join-paths")
     found, depth = None, 0
     for k in range(1, DEPTH + 1):
         depth = k  # from the second on, left has rows
@@ -148,34 +168,82 @@ def _groups(batches, keys):
         yield last, held
 
 
-def _candidates(batches):
+def _candidates(similar: float, hashes: int):
     """Nodes of a bucket whose signature is near another's."""
-    for (_, low, high), rows in _groups(batches, ("leaf", "low_block", "high_block")):
-        signs = np.frombuffer(b"".join(r["low"] for r in rows), np.uint32).reshape(-1, HASHES)
-        block, near = np.array([r["block"] for r in rows]), np.zeros(len(rows), bool)
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        for i in left.tolist():
-            others = right[right > i] if low == high else right
-            hits = others[(signs[others] == signs[i]).mean(1) >= SURELY_BELOW]
-            if len(hits):
-                near[i] = True
-                near[hits] = True
-        found = [r["uid"] for r, x in zip(rows, near.tolist()) if x]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([rows[0]["leaf"]] * len(found), pa.int64())], names=["uid", "leaf"])
+
+    def run(batches):
+        least = surely_below(similar, hashes)
+        for (_, low, high), rows in _groups(batches, ("leaf", "low_block", "high_block")):
+            signs = np.frombuffer(b"".join(r["low"] for r in rows), np.uint32).reshape(-1, hashes)
+            block, near = np.array([r["block"] for r in rows]), np.zeros(len(rows), bool)
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            for i in left.tolist():
+                others = right[right > i] if low == high else right
+                hits = others[(signs[others] == signs[i]).mean(1) >= least]
+                if len(hits):
+                    near[i] = True
+                    near[hits] = True
+            found = [r["uid"] for r, x in zip(rows, near.tolist()) if x]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([rows[0]["leaf"]] * len(found), pa.int64())], names=["uid", "leaf"])
+
+    return run
+
+
+class _Shared:
+    """How many shingles a set of a group shares with each other one: by lists of a shingle's sets, or, where sets share most of theirs, by products of blocks of 0 and 1.  Both are exact."""
+
+    #: Shingles of a block of columns, and list entries that take as long as one multiplication of a product.
+    COLUMNS, ENTRY = 4096, 0.01
+
+    def __init__(self, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray):
+        self.m, self.sizes = len(sets), np.array([len(s) for s in sets])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        owner = np.repeat(np.arange(self.m), self.sizes)
+        often = np.bincount(codes) > 1  # a shingle of one set is shared with none
+        met = often[codes]
+        codes, owner = (np.cumsum(often) - 1)[codes[met]], owner[met]
+        order = np.argsort(codes, kind="stable")
+        self.posts, self.counts = owner[order], np.bincount(codes)
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.codes, self.ends, self.table = codes, np.cumsum(np.bincount(owner, minlength=self.m)), None
+        self.place = {i: k for k, i in enumerate(left.tolist())}
+        lists = float(np.isin(np.arange(self.m), left)[self.posts] @ np.repeat(self.counts, self.counts))
+        if float(len(left)) * len(right) * len(self.counts) * self.ENTRY < lists:
+            self.table = self._products(codes[order], left, right)
+
+    def _products(self, sorted_codes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rows, table = np.full((2, self.m), -1), np.zeros((len(left), self.m), np.int64)
+        rows[0][left], rows[1][right] = np.arange(len(left)), np.arange(len(right))
+        for c in range(0, len(self.counts), self.COLUMNS):
+            lo, hi = np.searchsorted(sorted_codes, (c, c + self.COLUMNS))
+            blocks = []
+            for row, side in zip(rows, (left, right)):
+                block, at = np.zeros((len(side), self.COLUMNS), np.float32), row[self.posts[lo:hi]]
+                block[at[at >= 0], sorted_codes[lo:hi][at >= 0] - c] = 1
+                blocks.append(block)
+            table[:, right] += (blocks[0] @ blocks[1].T).astype(np.int64)
+        return table
+
+    def of(self, i: int) -> np.ndarray:
+        """By set of the group (in products: those of the right side)."""
+        if self.table is not None:
+            return self.table[self.place[i]]
+        own = self.codes[self.ends[i - 1] if i else 0 : self.ends[i]]
+        if not len(own):
+            return np.zeros(self.m, np.int64)
+        each = self.counts[own]
+        stop = np.cumsum(each)
+        return np.bincount(self.posts[np.repeat(self.begin[own] - (stop - each), each) + np.arange(stop[-1])], minlength=self.m)
 
 
 def _links(similar: float):
     def run(batches):
         for (leaf, low, high), rows in _groups(batches, ("leaf", "low_block", "high_block")):
-            sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-            sizes, m = np.array([len(s) for s in sets]), len(rows)
-            codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            owner = np.repeat(np.arange(m), sizes)
-            order = np.argsort(codes, kind="stable")
-            posts, counts = owner[order], np.bincount(codes)
-            begin = np.cumsum(counts) - counts
-            ends = np.cumsum(sizes)
+            m, block = len(rows), np.array([r["block"] for r in rows])
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            shares = _Shared([np.frombuffer(r["shingles"], np.uint64) for r in rows], left, right)
+            sizes = shares.sizes
             earlier: dict[int, list[int]] = {}
             for i, r in enumerate(rows):
                 for x in r["leaves"]:
@@ -186,7 +254,7 @@ def _links(similar: float):
                 if len(members) > 1:
                     for i in members:
                         met[i].add(x)
-            block, copies = np.array([r["block"] for r in rows]), np.array([r["copies"] for r in rows], np.int64)
+            copies = np.array([r["copies"] for r in rows], np.int64)
             total, parent = np.zeros(m, np.int64), list(range(m))
 
             def root(i):
@@ -195,12 +263,8 @@ def _links(similar: float):
                     i = parent[i]
                 return i
 
-            right = np.flatnonzero(block == high)
-            for i in np.flatnonzero(block == low).tolist():
-                own = codes[ends[i] - sizes[i] : ends[i]]
-                each = counts[own]
-                stop = np.cumsum(each)
-                shared = np.bincount(posts[np.repeat(begin[own] - (stop - each), each) + np.arange(stop[-1])], minlength=m)
+            for i in left.tolist():
+                shared = shares.of(i)
                 others = right[right > i] if low == high else right
                 s = shared[others]
                 for j in others[s >= similar * (sizes[i] + sizes[others] - s) - 1e-9].tolist():
@@ -225,11 +289,11 @@ def _shingled(batches):
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """Rows for each pair of blocks they belong to; a bucket of n nodes has n / BLOCK blocks, dealt by hash."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Rows for each pair of blocks they belong to; a bucket of n nodes has n / BLOCK blocks, or more if its texts are long (`weight`: its shingles), dealt by hash."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("uid", "leaf"), blocks).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return pairs.withColumn("low_block", F.least("block", "other")).withColumn("high_block", F.greatest("block", "other")).drop("other", "n")
+    return pairs.withColumn("low_block", F.least("block", "other")).withColumn("high_block", F.greatest("block", "other")).drop("other", "n", "weight")
 
 
 def _together(df: DataFrame) -> DataFrame:
@@ -262,16 +326,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Two written tables: the rows (`row` with the named columns and the text, uid, set), and for each set its copies, its n_links and the first row of its class, `head`."""
+    hashes = hashes_for(similar, recall)
     carried = dict.fromkeys([*columns, "text"])  # the text once, also if it is among the columns
     rows = docs.select(F.struct(*(docs[c] for c in carried)).alias("row"), base.text_of(docs).alias("text")).withColumn("uid", F.monotonically_increasing_id())
-    table, _ = base.written(rows.mapInArrow(_signed, T.StructType([rows.schema["row"], rows.schema["uid"], *base.schema(("set", "binary"), ("low", "binary")).fields])), "join-rows")
+    table, _ = base.written(rows.mapInArrow(_signed(hashes), T.StructType([rows.schema["row"], rows.schema["uid"], *base.schema(("set", "binary"), ("size", "bigint"), ("low", "binary")).fields])), "join-rows")
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), F.col("uid").alias("uid"))).alias("first")
-    sets, _ = base.written(table.groupBy("set").agg(first, F.count("*").alias("copies"), F.first("low").alias("low")), "join-sets")
-    nodes = sets.where(F.col("low").isNotNull()).select(F.col("first.uid").alias("uid"), "low", "copies")
+    sets, _ = base.written(table.groupBy("set").agg(first, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("low").alias("low")), "join-sets")
+    nodes = sets.where(F.col("low").isNotNull()).select(F.col("first.uid").alias("uid"), "low", "copies", "size")
 
     found, done, depth = None, 0, 1
     while done < (need := runs_for(depth, similar, recall)):
-        part, seen = _leaves(nodes, done, need)
+        part, seen = _leaves(nodes, done, need, hashes)
         found = part if found is None else found.unionByName(part)
         done, depth = need, max(depth, seen)
     leaves, _ = base.written(found, "join-leaves")
@@ -283,21 +348,23 @@ def classes(docs: DataFrame, columns: list[str], similar: float = SIMILAR, recal
     some, _ = base.written(members.select("uid").distinct(), "join-some")
     some = F.broadcast(some) if some.count() <= base.BROADCAST_IDS else some  # else the signatures are shuffled, 512 bytes a node
     lows = nodes.select("uid", "low").join(some, "uid", "left_semi")  # most nodes are in no bucket with another
-    near = _together(_in_blocks(members.join(lows, "uid"))).mapInArrow(_candidates, two).distinct()
+    marked = members.withColumn("weight", F.lit(0)).join(lows, "uid")
+    near = _together(_in_blocks(marked)).mapInArrow(_candidates(similar, hashes), two).distinct()
     near, _ = base.written(near, "join-near")
     ids, _ = base.written(near.select("uid").distinct(), "join-ids")
     texts = base.at_places(table.select("uid", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")), ids)
     shingles, _ = base.written(texts.mapInArrow(_shingled, base.schema(("uid", "bigint"), ("shingles", "binary"))), "join-shingles")
-    sizes = near.groupBy("leaf").agg(F.count("*").alias("n"))
+    facts = nodes.select("uid", "copies", "size")
+    sizes = near.join(facts, "uid").groupBy("leaf").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
     lists = near.groupBy("uid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # a leaf or none for each run
-    own = near.join(sizes, "leaf").join(lists, "uid").join(nodes.select("uid", "copies"), "uid").join(shingles, "uid")
+    own = near.join(sizes, "leaf").join(lists, "uid").join(facts.drop("size"), "uid").join(shingles, "uid")
     links, _ = base.written(_together(_in_blocks(own)).mapInArrow(_links(similar), base.schema(("uid", "bigint"), ("links", "bigint"), ("to", "bigint"))), "join-links")
 
     roots = components(links.where("uid <> to").select("uid", "to"))
-    linked = sets.select("set", "first", "copies").join(roots, F.col("first.uid") == F.col("uid"))
-    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
     counts = links.groupBy("uid").agg(F.sum("links").alias("links")).withColumnRenamed("uid", "node")
-    heads = linked.join(heads, "root").join(counts, F.col("uid") == F.col("node"), "left").select("set", "head", "links")
+    linked, _ = base.written(sets.select("set", "first").join(roots, F.col("first.uid") == F.col("uid")), "join-linked")
+    heads, _ = base.written(linked.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("n")), "join-heads")
+    heads = base.join_counted(linked, heads, "root", "n").join(counts, F.col("uid") == F.col("node"), "left").select("set", "head", "links")
     every = sets.select("set", "first", "copies").join(heads, "set", "left")
     every = every.select("set", F.coalesce("head", "first").alias("head"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return table, base.written(every, "join-classes")[0]
