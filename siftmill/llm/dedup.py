@@ -27,6 +27,8 @@ KEPT_BYTES = 32 << 20
 _SLAB = 1 << 20
 _GEAR = np.random.default_rng(1009).integers(0, 1 << 32, 256, dtype=np.uint32)
 _WINDOW_STEPS = 4
+#: Parts that the copies of a hot chunk are compared in first.
+WAYS = 64
 
 
 def normalised(text: str | None) -> str:
@@ -107,6 +109,25 @@ def _recipes(width: int, seed: int):
     return run
 
 
+def verified(table: DataFrame) -> bool:
+    """Whether no identifier stands for two different chunks, byte by byte.
+
+    A chunk comes once from each task that met it.  Those of hot identifiers (at most HOT_SHARE) are
+    first compared in WAYS parts, by the task they come from, so that a passage that all documents
+    share isn't gathered in one place: only the different bodies of a part go on.
+    """
+    fresh = table.where(F.size("fresh") > 0)
+    ids = fresh.select(F.explode("fresh.id").alias("id"))
+    counts, _ = base.written(ids.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > WAYS), "recipe-often")
+    hot = counts.where(F.col("n") * base.HOT_SHARE > ids.count()).select("id", F.lit(1).alias("hot"))
+    bodies = fresh.select(F.explode("fresh").alias("c"), "uid").select("c.id", "c.body", F.pmod(F.shiftrightunsigned("uid", 33), F.lit(WAYS)).alias("part"))
+    bodies = bodies.join(F.broadcast(hot), "id", "left").withColumn("part", F.when(F.col("hot") == 1, F.col("part")).otherwise(F.lit(-1)))
+    distinct = bodies.repartition("id", "part").groupBy("id", "part", "body").agg(F.lit(1).alias("one"))
+    cold = distinct.where("part < 0").select("id")
+    warm = distinct.where("part >= 0").select("id", "body").distinct().select("id")
+    return cold.unionByName(warm).groupBy("id").count().where("count > 1").isEmpty()
+
+
 def recipe_table(docs: DataFrame, columns: list[str] | None = None, width: int = 16) -> DataFrame:
     """Rows of docs (struct `row`, all columns or the named ones), with uid, recipe and text_sha256; identifiers are verified.
 
@@ -117,9 +138,7 @@ def recipe_table(docs: DataFrame, columns: list[str] | None = None, width: int =
     out = T.StructType([rows.schema["row"], T.StructField("uid", T.LongType()), *base.schema(("recipe", "binary"), ("text_sha256", "string"), ("fresh", "array<struct<id:binary,body:binary>>")).fields])
     for attempt in range(4):
         table, path = base.written(rows.mapInArrow(_recipes(width + 16 * attempt, 1000 * attempt), out), "recipes")
-        bodies = table.where(F.size("fresh") > 0).select(F.explode("fresh").alias("c")).select("c.id", "c.body")
-        distinct = bodies.repartition("id").groupBy("id", "body").agg(F.lit(1).alias("one"))
-        if distinct.groupBy("id").count().where("count > 1").isEmpty():
+        if verified(table):
             return table.drop("fresh")
         base.remove_path(docs.sparkSession, path)
     raise RuntimeError("chunk identifiers collide at every width")
