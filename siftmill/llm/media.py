@@ -30,6 +30,8 @@ UNIT = 576
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 4 << 20
 #: Tasks that read archives, at most: with more bytes each reads more.
 MOST_RANGES = 100_000
+#: Archives named in one file of the committed list.
+LISTED = 100_000
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -114,9 +116,17 @@ def _archive(folder: str):
 
 
 def write_archives(docs: DataFrame, folder: str) -> DataFrame:
-    """Writes every row's payload as a member of an archive, where its rows are read (no shuffle).  Returns the archives' names, members and bytes."""
+    """Writes every row's payload as a member of an archive, where its rows are read (no shuffle).
+
+    Returns the archives' names, members and bytes: the committed list, in files of about LISTED
+    names, so that who plans a read opens one file for that many archives, not one for each task
+    that wrote.
+    """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), base.text_of(docs).alias("text"))
-    rows.mapInArrow(_archive(folder), _WRITTEN).write.parquet(f"{folder}/_archives")
+    written, path = base.written(rows.mapInArrow(_archive(folder), _WRITTEN), "archives-written")
+    files = max(1, -(-written.count() // LISTED))
+    written.repartitionByRange(files, "name").write.parquet(f"{folder}/_archives")
+    base.remove_path(docs.sparkSession, path)
     return docs.sparkSession.read.schema(_WRITTEN).parquet(f"{folder}/_archives")
 
 
