@@ -24,13 +24,19 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     order of reading.  An empty table gives no row.  grown_shard is null: this law doesn't bind a row
     to its shard when shards are added.
     """
-    slim = docs.select(
-        docs["doc_id"],
-        docs["source"],
-        (F.coalesce(F.octet_length(docs["text"]), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(base.text_of(docs), "utf-8")).alias("text_crc32"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), docs["doc_id"].cast("string"))).alias("draw"),
-        F.monotonically_increasing_id().alias("tie"),
+    rows = docs.select(docs["doc_id"], docs["source"], docs["text"], F.monotonically_increasing_id().alias("tie"))
+    return _planned(rows, shards, seed).drop("tie")
+
+
+def _planned(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The same, with `tie`, by which rows of equal content differ."""
+    slim = rows.select(
+        "doc_id",
+        "source",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(base.text_of(rows), "utf-8")).alias("text_crc32"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("draw"),
+        "tie",
     )
     slim, _ = base.written(slim, "shard-rows")
     drawn, _ = base.ordered_table(slim, ["source", "draw", "doc_id", "text_crc32", "tie"], "shard-drawn")
@@ -41,13 +47,18 @@ def interleaved(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     total = mixed.count()
     mixed = base.with_positions(mixed, "at").withColumn("shard", F.expr(f"cast((at * {shards}) div {max(total, 1)} as int)"))
     begin = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
-    return mixed.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("at") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return mixed.select("tie", "doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("at") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 17) -> DataFrame:
-    """Writes docs, whole, to folders shard=0.. in slot order; needs unique non-null doc_ids.  Returns the plan it followed."""
-    plan, _ = base.written(interleaved(docs, shards, seed), "shard-plan")
-    keyed = plan.select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.join(keyed, docs["doc_id"] == keyed["_id"]).withColumnRenamed("_shard", "shard").drop("_id")
-    rows.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
-    return plan
+    """Writes docs, whole, to folders shard=0.. in slot order, and returns the plan it followed.
+
+    A row is known by its place in a written copy, so rows with a null doc_id, with one doc_id or with
+    equal content are all written, each once.  A column `shard` of docs gives way to the folder's.
+    """
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns if c != "shard")).alias("row"), F.monotonically_increasing_id().alias("tie"))
+    table, _ = base.written(whole, "shard-copy")
+    plan, _ = base.written(_planned(table.select("row.doc_id", "row.source", "row.text", "tie"), shards, seed), "shard-plan")
+    rows = table.join(plan.select("tie", "shard", "slot"), "tie")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("row.*", "shard").write.partitionBy("shard").parquet(path)
+    return plan.drop("tie")
