@@ -182,9 +182,12 @@ _STATUS = f"""{fx.TEXTS}, h as (select *, {fx.sql_uuid5('url')} as uid, sha256({
  st as (select h.n, case when trim(content) = '' then 'empty' when w < 32 then 'content_too_short' when uid0 <> uid then 'duplicate_content' else 'stored' end as status, h.url, url0 from h left join first using (ch))"""
 
 
+def _incoming(s, d):
+    return fx.texts(s, d).select("n", "url", "content", F.col("n").alias("arrival"))
+
+
 def _statuses(s, d):
-    t = fx.texts(s, d).select("n", "url", "content", F.col("n").alias("arrival"))
-    return ingest.with_status(t, _now())
+    return ingest.with_status(_incoming(s, d), _now())
 
 
 @query(f"with {_STATUS} select n, status, case when status = 'duplicate_content' then url0 end as duplicate_of from st")
@@ -197,6 +200,39 @@ def ingest_status_counts(s, d):
     return _statuses(s, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
+_AGAINST = f"""{fx.TEXTS}, st as (select {fx.sql_uuid5('url')} as uid, url, sha256({_NORM}) as ch from texts where n % 3 = 0 and {_WORDS} >= 32),
+ raw as (select n, case when n % 5 = 0 then url || '?v=2' else url end as url, case when n % 7 = 0 then content || ' and more' else content end as content from texts),
+ i as (select n, url, {fx.sql_uuid5('url')} as uid, sha256({_NORM}) as ch, case when trim(content) = '' then 'empty' when {_WORDS} < 32 then 'content_too_short' end as early from raw),
+ hold as (select ch, min(uid) as huid, arg_min(url, uid) as hurl from st group by ch),
+ rel as (select st.uid, min(i.n) as until from st join i on i.uid = st.uid and i.early is null and i.ch <> st.ch group by 1),
+ p as (select i.*, st.ch as own, st.uid is not null as known, case when i.early is null and hold.huid <> i.uid and st.ch is distinct from i.ch and (rel.until is null or rel.until > i.n) then hurl end as held
+  from i left join hold on hold.ch = i.ch left join rel on rel.uid = hold.huid left join st on st.uid = i.uid),
+ f as (select ch, arg_min(uid, n) as uid0, arg_min(url, n) as url0 from p where early is null and held is null group by ch),
+ a as (select p.*, case when early is null and held is null and own is distinct from p.ch and uid0 <> uid then url0 end as later from p left join f using (ch)),
+ st2 as (select n, uid, case when early is not null then early when held is not null or later is not null then 'duplicate_content' when known then 'refreshed' else 'stored' end as status, coalesce(held, later) as duplicate_of from a)"""
+
+
+def _against(s, d):
+    """A collection of every third text, and a batch of all texts: one in five under a new url, one in seven with more content."""
+    t, n = fx.texts(s, d), F.col("n")
+    stored = ingest.stamped(t.where("n % 3 = 0").select("n", "url", "content"), _now()).where("words >= 32").select("doc_id", "url", "content_hash")
+    url, content = F.when(n % 5 == 0, F.concat("url", F.lit("?v=2"))).otherwise(F.col("url")), F.when(n % 7 == 0, F.concat("content", F.lit(" and more"))).otherwise(F.col("content"))
+    return stored, t.select("n", url.alias("url"), content.alias("content"), n.alias("arrival"))
+
+
+@query(f"with {_AGAINST} select n, status, duplicate_of from st2")
+def ingest_against_stored(s, d):
+    """What becomes of a batch beside what the collection already has."""
+    stored, batch = _against(s, d)
+    return ingest.with_status(batch, _now(), stored=stored).select("n", "status", "duplicate_of")
+
+
+@query(f"with {_AGAINST} select max(n) as n, uid as doc_id from st2 where status in ('stored', 'refreshed') group by uid")
+def ingest_kept_against_stored(s, d):
+    stored, batch = _against(s, d)
+    return ingest.kept(batch, ingest.with_status(batch, _now(), stored=stored)).select("n", "doc_id")
+
+
 @query("select doc_id, nullif(regexp_replace(regexp_replace(trim(regexp_extract(h, '^#{1,6}\\s+(.+)$', 1)), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`]', '', 'g'), '') as heading from (select doc_id, list_filter(list_transform(string_split('intro' || chr(10) || '## *' || substr(text, 1, 12) || '* [x](y)' || chr(10) || text, chr(10))[1:50], lambda x: trim(x)), lambda x: regexp_matches(x, '^#{1,6}\\s+\\S'))[1] as h from documents)")
 def title_extract(s, d):
     t = fx.table(s, d, "documents")
@@ -774,7 +810,7 @@ def reembed_text(s, d):
 
 @query(f"with {_STATUS} select n from st where status = 'stored'")
 def ingest_stored(s, d):
-    return ingest.stored(_statuses(s, d)).select("n")
+    return ingest.kept(_incoming(s, d), _statuses(s, d)).select("n")
 
 
 @query("select doc_id, nullif(regexp_replace(regexp_replace(trim(regexp_extract(h, '^#{1,6}\\s+(.+)$', 1)), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`]', '', 'g'), '') as heading from (select doc_id, list_filter(list_transform(string_split(replace(text, '. ', chr(10) || '## '), chr(10))[1:50], lambda x: trim(x)), lambda x: regexp_matches(x, '^#{1,6}\\s+\\S'))[1] as h from documents)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.ids import document_id
 from ..functions.text import content_hash, word_count
 
@@ -16,27 +17,58 @@ def stamped(incoming: DataFrame, now: Column) -> DataFrame:
     return incoming.withColumns({"doc_id": document_id(F.col("url")), "content_hash": content_hash(F.col("content")), "words": word_count(F.col("content")), "indexed_at": now})
 
 
-def with_status(incoming: DataFrame, now: Column, min_words: int = MIN_WORDS) -> DataFrame:
-    """incoming (url, content, arrival): what becomes of each row, in `status` and `duplicate_of`.
-
-    empty: blank content.  content_too_short: under min_words.  duplicate_content: an earlier row
-    with the same hash has another id.  stored: the rest; the same id again is a refresh.
-    Winners come from one pre-aggregated row a hash.  What is blank or short is known before the join
-    and has no hash there, so content crosses the exchange only if the caller takes it; copies of one
-    text meet in the join, where adaptive execution splits a hash of very many.
-    """
+def facts(incoming: DataFrame, now: Column, min_words: int = MIN_WORDS) -> DataFrame:
+    """incoming (url, content, arrival, ..) without its content, stamped, with `early`: empty, content_too_short, or null.  Written, so that texts are read and hashed once."""
     blank, short = F.trim(F.coalesce("content", F.lit(""))) == "", F.col("words") < min_words
     rows = stamped(incoming, now).withColumn("early", F.when(blank, "empty").when(short, "content_too_short"))
-    key = F.when(F.col("early").isNull(), F.col("content_hash"))
-    first = rows.where("early is null").groupBy("content_hash").agg(F.min(F.struct("arrival", "doc_id", "url")).alias("first")).withColumnRenamed("content_hash", "first_hash")
-    joined = rows.withColumn("join_hash", key).join(first, F.col("join_hash") == F.col("first_hash"), "left")
-    status = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("first.doc_id") != F.col("doc_id"), "duplicate_content").otherwise("stored")
-    return joined.withColumn("status", status).withColumn("duplicate_of", F.when(F.col("status") == "duplicate_content", F.col("first.url"))).drop("first", "first_hash", "join_hash", "early")
+    return scratch.written(rows.drop("content"), "ingest-facts")
+
 
+def with_status(incoming: DataFrame, now: Column, min_words: int = MIN_WORDS, stored: DataFrame | None = None) -> DataFrame:
+    """incoming (url, content, arrival): what becomes of each row, in `status` and `duplicate_of`; without content.
 
-def stored(statuses: DataFrame) -> DataFrame:
-    """The rows to keep, the latest of each id."""
-    return latest(statuses.where("status = 'stored'"), ["doc_id"], "arrival").drop("status", "duplicate_of")
+    empty: blank content.  content_too_short: under min_words.  duplicate_content: another document
+    has the same hash, which is `duplicate_of` (its url).  refreshed: the collection knows the id.
+    stored: the rest; a later row of the same id is a refresh, too.
+
+    stored (doc_id, url, content_hash) is the collection before this batch.  A hash that it has belongs
+    to its smallest doc_id, until a row of the batch gives that document other content; a document's
+    own hash is never a duplicate.  Of rows whose hash nobody has the first arrival is the holder.
+    All joins are of narrow facts; first rows and holders are one pre-aggregated row a hash, and
+    adaptive execution splits a hash of very many rows.
+    """
+    rows = facts(incoming, now, min_words)
+    valid = rows.where("early is null")
+    none = lambda kind: F.lit(None).cast(kind)
+    if stored is None:
+        marked = rows.withColumns({"_own": none("string"), "_held_by": none("string")})
+    else:
+        known = stored.select(F.col("doc_id").alias("_id"), F.col("url").alias("_url"), F.col("content_hash").alias("_hash"))
+        known = scratch.written(known.join(valid.select(F.col("content_hash").alias("_hash")).distinct(), "_hash", "left_semi").unionByName(
+            known.join(valid.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")).distinct(), "ingest-known")
+        own = known.groupBy(F.col("_id").alias("doc_id")).agg(F.min("_hash").alias("_own"), F.lit(True).alias("_known"))
+        holder = known.groupBy("_hash").agg(F.min(F.struct("_id", "_url")).alias("h"))
+        left = valid.join(own, "doc_id").where("content_hash <> _own").groupBy("doc_id").agg(F.min("arrival").alias("_until"))
+        holder = holder.join(left, F.col("h._id") == F.col("doc_id"), "left").select(F.col("_hash"), F.col("h._id").alias("_holder"), F.col("h._url").alias("_held_by"), "_until")
+        met = rows.withColumn("_key", F.when(F.col("early").isNull(), F.col("content_hash"))).join(holder, F.col("_key") == F.col("_hash"), "left").join(own, "doc_id", "left")
+        held = F.col("_holder").isNotNull() & (F.col("_holder") != F.col("doc_id")) & ~F.col("_own").eqNullSafe(F.col("content_hash")) & (F.col("_until").isNull() | (F.col("_until") > F.col("arrival")))
+        marked = scratch.written(met.withColumn("_held_by", F.when(held, F.col("_held_by"))).drop("_key", "_hash", "_holder", "_until"), "ingest-marked")
+    free = marked.where("early is null and _held_by is null")
+    first = free.groupBy("content_hash").agg(F.min(F.struct("arrival", "doc_id", "url")).alias("first")).withColumnRenamed("content_hash", "_first_hash")
+    key = F.when(F.col("early").isNull() & F.col("_held_by").isNull() & ~F.col("_own").eqNullSafe(F.col("content_hash")), F.col("content_hash"))
+    joined = marked.withColumn("_key", key).join(first, F.col("_key") == F.col("_first_hash"), "left")
+    later = F.col("first.doc_id") != F.col("doc_id")
+    status = F.when(F.col("early").isNotNull(), F.col("early")).when(F.col("_held_by").isNotNull() | later, "duplicate_content")
+    status = status.otherwise("stored") if stored is None else status.when(F.col("_known"), "refreshed").otherwise("stored")
+    of = F.coalesce("_held_by", F.when(later, F.col("first.url")))
+    return joined.withColumns({"status": status, "duplicate_of": of}).drop("first", "_first_hash", "_key", "_own", "_held_by", "_known", "early")
+
+
+def kept(incoming: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The whole rows to keep, the latest of each id; rows of incoming that agree in url and arrival are one.  Content is shuffled here, for the rows that stay."""
+    last = statuses.where("status in ('stored', 'refreshed')").groupBy("doc_id").agg(F.max_by(F.struct("url", "arrival", "content_hash", "words", "indexed_at"), "arrival").alias("r"))
+    rows = incoming.drop("doc_id", "content_hash", "words", "indexed_at").dropDuplicates(["url", "arrival"])
+    return rows.join(last.select("doc_id", "r.*"), ["url", "arrival"])
 
 
 def latest(df: DataFrame, keys: list[str], version: str, *ties: str) -> DataFrame:

@@ -176,9 +176,10 @@ def test_highlight_covers_the_whole_text(spark, sf):
 def test_ingest_of_hard_rows(spark):
     long = " ".join(f"w{k}" for k in range(40))
     rows = [("u1", long, 1), ("u2", f" {long.upper()}\n", 2), ("u1", long, 3), ("u3", None, 4), ("u4", "few words", 5), ("u5", "few words", 6)]
-    st = ingest.with_status(spark.createDataFrame(rows, "url string, content string, arrival int"), F.timestamp_seconds(F.lit(0)))
+    df = spark.createDataFrame(rows, "url string, content string, arrival int")
+    st = ingest.with_status(df, F.timestamp_seconds(F.lit(0)))
     assert [(r["status"], r["duplicate_of"]) for r in st.orderBy("arrival").collect()] == [("stored", None), ("duplicate_content", "u1"), ("stored", None), ("empty", None), ("content_too_short", None), ("content_too_short", None)]
-    assert [r["arrival"] for r in ingest.stored(st).collect()] == [3]
+    assert [(r["arrival"], r["content"]) for r in ingest.kept(df, st).collect()] == [(3, long)]
 
 
 def test_unchanged_documents_alternate(spark):
