@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import ids, text, urls, vectors
-from .operators import agent, faqs, feedback, graph, health, ingest, migrate, queues, retention, search
+from .operators import agent, faqs, feedback, graph, health, ingest, many, migrate, queues, retention, search
 from .plans import predicates, querylang
-from .sources import embedding
+from .sources import embedding, vectorindex
 from .sources import fixtures as fx
 
 _QUERIES: dict[str, Callable] = {}
@@ -363,6 +364,49 @@ def dense_threshold(s, d):
     return search.dense_top(fx.vectors(s, d), fx.query_vectors(s, d), 50, F.col("label") != 3, 0.1).select("doc_id", _r("score").alias("score"))
 
 
+def _queries(s, d):
+    return fx.vectors(s, d).where("doc_id < 10").select(F.col("doc_id").alias("query_id"), "dense")
+
+
+_MANY = f"with {fx.VECTORS}, s as (select a.doc_id as query_id, v.doc_id, list_inner_product(v.dense, a.dense) as score from vectors v, vectors a where a.doc_id < 10), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, rank::int as rank, doc_id, round(score, 6) as score from r"
+
+
+@query(f"{_MANY} where rank <= 20")
+def dense_topk_many(s, d):
+    """Ten queries in one scan."""
+    return many.dense_top(fx.vectors(s, d), _queries(s, d), 20).select("query_id", "rank", "doc_id", _r("score").alias("score"))
+
+
+@query(f"with {fx.TOKENS.replace('where vec_id < 4', 'where vec_id < 40').replace('where vec_id = 0', 'where vec_id < 0')}, v as (select doc_id, v as dense from tok where vec_id % 10 = 0), pairs as (select a.doc_id as query_id, b.doc_id, list_inner_product(a.dense, b.dense) as ds from v a, v b where a.doc_id < 4),"
+       " pre as (select * from (select *, row_number() over (partition by query_id order by ds desc, doc_id) as k from pairs) where k <= 30), best as (select p.query_id, p.doc_id, qt.q, max(list_inner_product(t.v, qt.v)) as b from pre p join tok t on t.doc_id = p.doc_id join qt on qt.q // 10 = p.query_id group by all),"
+       " s as (select query_id, doc_id, sum(b) as score from best group by all), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s) select query_id, rank::int as rank, doc_id, round(score, 6) as score from r where rank <= 10")
+def hybrid_many(s, d):
+    """Dense candidates of four queries, reranked by their token vectors."""
+    t = fx.tokens(s, d)
+    got = many.hybrid(t, t.where("doc_id < 4").select(F.col("doc_id").alias("query_id"), "dense", "late"), 10, prefetch=30)
+    return got.select("query_id", "rank", "doc_id", _r("score").alias("score"))
+
+
+def _index(s, d):
+    return vectorindex.VectorIndex(s, scratch.path(s, "vector-index")).build(fx.vectors(s, d), lists=32)
+
+
+@query(f"{_DENSE} select doc_id, round(score, 6) as score from s order by s.score desc, doc_id limit 20")
+def vector_index_all_lists(s, d):
+    """Through the lists, all of them: the exact result."""
+    return _index(s, d).top(fx.query_vectors(s, d), 20, probes=None).select("doc_id", _r("score").alias("score"))
+
+
+@query("select true as enough")
+def vector_index_recall(s, d):
+    """Whether as many lists as reach a recall of 0.9 by measure do find so much of the ten best of ten queries, and one less doesn't."""
+    index, queries = _index(s, d), _queries(s, d)
+    probes = index.probes_for(queries, 10, 0.9)
+    found = index.recall(queries, 10, probes)
+    less = index.recall(queries, 10, probes - 1) if probes > 1 else 0.0
+    return s.range(1).select(F.lit(found >= 0.9 > less).alias("enough"))
+
+
 @query(f"with {fx.TOKENS} select doc_id, round(score, 6) as score from late order by late.score desc, doc_id limit 10")
 def maxsim_topk(s, d):
     return search.late_top(fx.tokens(s, d), fx.query_vectors(s, d), 10).select("doc_id", _r("score").alias("score"))

@@ -284,3 +284,31 @@ def test_families_and_probes(spark, tmp_path):
     got = health.probes(spark, {"a": lambda: spark.range(3), "b": lambda: spark.table("none")})
     assert [(r["probe"], r["status"], r["found"]) for r in got.collect()] == [("a", "ok", 3), ("b", "unhealthy", None)]
     assert health.overall(got).first()["status"] == "unhealthy" and health.overall(got.where("status = 'ok'")).first()["status"] == "healthy"
+
+
+def test_a_walk_has_one_plan_a_level(spark, monkeypatch):
+    from siftmill import scratch
+
+    url = "https://e.com/{}".format
+    docs = spark.createDataFrame([(k, url(k), [url(k + 1), url(k // 2), "https://none.com"]) for k in range(30)], "n long, url string, hyperlinks array<string>")
+    docs = docs.withColumn("doc_id", ids.document_id(F.col("url")))
+    plans, written = [], scratch.written
+
+    def watching(df, name, by=None):
+        if name == "walk-level":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return written(df, name, by)
+
+    monkeypatch.setattr(scratch, "written", watching)
+    seeds = docs.where("n = 3").select("doc_id", F.lit(0).alias("pos"))
+    found = graph.related(docs, seeds, 6, 1000)
+    assert len(plans) == 7 and max(plans[1:]) - min(plans[1:]) <= 5  # one small table more for each level, whatever the links
+    assert found._jdf.queryExecution().toString().count("FileScan") <= 8
+    assert [r["hop"] for r in found.collect()][:3] == [1, 1, 2]
+    plans.clear()
+    assert graph.related(docs, seeds, 50, 3).count() == 3 and len(plans) == 3  # enough after two levels
+    plans.clear()
+    assert graph.related(docs, docs.where("n = 29").select("doc_id", F.lit(0).alias("pos")), 50, 1000, allowed=docs.where("n in (14, 29)")).count() == 1 and len(plans) == 3  # the second level is empty
+    walk = graph.walkable(docs)
+    assert graph.related(docs, seeds, 2, 9, links=walk).collect() == graph.related(docs, seeds, 2, 9).collect()
+    assert graph.related(docs, seeds.limit(0), 3, 9).collect() == [] and graph.related(docs, seeds, 0, 9, with_seeds=True).count() == 1
