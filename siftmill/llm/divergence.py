@@ -30,13 +30,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import base
+from .lexical import Numbers
 
 LEAST_DOCUMENTS, RANKS = 3, 200
 SCALE = 1_000_000_000
 #: Undecided rows of a group that are sorted; of more, the next digits are counted.
 FEW = 1024
 #: Entries of a task's counts, and pairs of sources, that it holds before it writes them.
-HELD, PAIRS = 400_000, 1 << 20
+HELD, PAIRS = 2_000_000, 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -49,36 +50,33 @@ _COUNTS = base.schema(("lang", "string"), ("source", "string"), ("term", "binary
 
 
 def _counted(batches):
-    """Of each group a task's occurrences and documents by term; and once each group, with the empty term."""
-    held: dict[tuple, dict[bytes, list[int]]] = {}
+    """Of each group a task's occurrences and documents by term; and each group with the empty term.  Held as numbers, an entry for each different term of a document."""
+    numbers, groups, keys, times = Numbers(), Numbers(), [], []
     size = 0
 
     def flush():
-        rows = [(*group, term, n, docs) for group, counts in held.items() for term, (n, docs) in counts.items()]
-        columns = list(zip(*rows)) or [()] * len(_COUNTS)
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_COUNTS.names)
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], np.concatenate([np.zeros(0, np.int64), *times])[order]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        where, terms = key[begins] >> 32, pa.array([*numbers, b""], pa.binary())
+        n, docs = np.add.reduceat(n, begins) if len(n) else n, np.diff(np.append(begins, len(key)))
+        every, zero = np.arange(len(groups)), np.zeros(len(groups), np.int64)
+        own = np.concatenate([where, every])
+        named = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(own)) for k in (0, 1)]
+        term = terms.take(pa.array(np.concatenate([key[begins] & 0xFFFFFFFF, zero + len(numbers)])))
+        return pa.RecordBatch.from_arrays([*named, term, pa.array(np.concatenate([n, zero])), pa.array(np.concatenate([docs, zero]))], names=_COUNTS.names)
 
     for batch in base.slabs(batches):
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            own = held.get((lang, source))
-            if own is None:
-                own = held[lang, source] = {b"": [0, 0]}
-                size += 1
-            before = len(own)
-            mine: dict[bytes, int] = {}
-            for t in terms_of(text):
-                mine[t] = mine.get(t, 0) + 1
-            for t, n in mine.items():
-                if (x := own.get(t)) is None:
-                    own[t] = [n, 1]
-                else:
-                    x[0] += n
-                    x[1] += 1
-            size += len(own) - before
+            words, group = terms_of(text), groups[lang, source] << 32
+            codes, n = np.unique(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), return_counts=True)
+            keys.append(group | codes)
+            times.append(n)
+            size += len(codes)
             if size > HELD:
                 yield flush()
-                held, size = {}, 0
+                numbers, groups, keys, times, size = Numbers(), Numbers(), [], [], 0
     yield flush()
 
 
@@ -286,8 +284,7 @@ def audited(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS) -
     of a lang bounds what a task holds for it, as the pairs of the result are its square.
     """
     slim = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    parts, _ = base.written(slim.mapInArrow(_counted, _COUNTS), "audit-parts")
-    counts, _ = base.written(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-counts")
+    counts, _ = base.written(slim.mapInArrow(_counted, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "audit-counts")
     own = counts.where("octet_length(term) > 0")
     kept, _ = base.written(own.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"), "audit-kept")
     langs = counts.select("lang").distinct().join(kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")), "lang", "left").na.fill(0)

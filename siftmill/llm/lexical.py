@@ -57,7 +57,9 @@ def _sizes(batches):
 # The index
 
 
-class _Numbers(dict):
+class Numbers(dict):
+    """A number for each key, in order of first use."""
+
     def __missing__(self, key):
         self[key] = number = len(self)
         return number
@@ -89,7 +91,7 @@ _INDEX = base.schema(("block", "bigint"), ("term", "binary"), ("n", "int"), ("ro
 
 class _Block:
     def __init__(self):
-        self.numbers, self.docs, self.bytes = _Numbers(), [], 0
+        self.numbers, self.docs, self.bytes = Numbers(), [], 0
 
     def add(self, doc_id, size: int, words: list[bytes]) -> None:
         codes, tf = np.unique(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)), return_counts=True)
