@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .functions import ids, text, urls, vectors
+from .functions import ids, language, matching, text, urls, vectors
 from .operators import agent, faqs, feedback, graph, health, ingest, many, migrate, queues, retention, search
 from .plans import predicates, querylang
 from .sources import embedding, vectorindex
@@ -142,14 +142,12 @@ def collections_to_process(s, d):
     return migrate.collections_to_process(_collections(s, d), _aliases(s))
 
 
-@query("select name, case when name = 'docs' then 'docs_migration_20240101_000000' else name end as backing from (select unnest(['docs', 'pages']) as name)")
+@query("select 'c' || d.doc_id as name, case when l.doc_id is not null and l.doc_id % 3 = 0 then 'c' || l.doc_id || '_migration_2024' else 'c' || d.doc_id end as backing from documents d left join labels l using (doc_id)")
 def alias_resolution(s, d):
-    return migrate.resolved(s.range(2).select(F.when(F.col("id") == 0, "docs").otherwise("pages").alias("name")), _aliases(s))
-
-
-@query("select vec_id as doc_id from embeddings where len(embedding) <> 64")
-def dimension_mismatch(s, d):
-    return migrate.mismatched(fx.vectors(s, d), 64).select("doc_id")
+    """A name for every document; every third label is an alias."""
+    names = fx.table(s, d, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("name"))
+    alias = F.concat(F.lit("c"), F.col("doc_id").cast("string"))
+    return migrate.resolved(names, fx.table(s, d, "labels").where("doc_id % 3 = 0").select(alias.alias("alias"), F.concat(alias, F.lit("_migration_2024")).alias("collection")))
 
 
 # ingestion
@@ -234,16 +232,19 @@ def ingest_kept_against_stored(s, d):
     return ingest.kept(batch, ingest.with_status(batch, _now(), stored=stored)).select("n", "doc_id")
 
 
-@query("select doc_id, nullif(regexp_replace(regexp_replace(trim(regexp_extract(h, '^#{1,6}\\s+(.+)$', 1)), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`]', '', 'g'), '') as heading from (select doc_id, list_filter(list_transform(string_split('intro' || chr(10) || '## *' || substr(text, 1, 12) || '* [x](y)' || chr(10) || text, chr(10))[1:50], lambda x: trim(x)), lambda x: regexp_matches(x, '^#{1,6}\\s+\\S'))[1] as h from documents)")
+@query("select doc_id, nullif(regexp_replace(regexp_replace(trim(regexp_extract(h, '^#{1,6}\\s+(.+)$', 1)), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`]', '', 'g'), '') as heading from (select doc_id, list_filter(list_transform(string_split(case when doc_id % 2 = 0 then 'intro' || chr(10) || '## *' || substr(text, 1, 12) || '* [x](y)' || chr(10) || text else replace(text, ' ', chr(10) || '# ') end, chr(10))[1:50], lambda x: trim(x)), lambda x: regexp_matches(x, '^#{1,6}\\s+\\S'))[1] as h from documents)")
 def title_extract(s, d):
+    """Every other text under a heading with marks; in the rest each word but the first of a line is one."""
     t = fx.table(s, d, "documents")
-    body = F.concat(F.lit("intro\n## *"), F.substring("text", 1, 12), F.lit("* [x](y)\n"), "text")
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("intro\n## *"), F.substring("text", 1, 12), F.lit("* [x](y)\n"), "text")).otherwise(F.replace("text", F.lit(" "), F.lit("\n# ")))
     return t.select("doc_id", text.heading(body).alias("heading"))
 
 
-@query("select doc_id, length(case when length(t) <= 500 then t else regexp_replace(substr(t, 1, 500), '\\s+$', '') end)::bigint as kept from (select doc_id, text as t from documents)")
+@query("select doc_id, length(case when tight = '' then cut else tight end)::bigint as kept, whole = '' or not regexp_matches(whole, '\\s$') as ends_well from (select doc_id, cut, regexp_replace(cut, '\\s+$', '') as tight, regexp_replace(whole, '\\s+$', '') as whole from (select doc_id, substr(t, 1, 500) as cut, t as whole from (select doc_id, text || case when doc_id % 3 = 0 then '  ' || chr(10) else '' end as t from documents)))")
 def embedding_truncation(s, d):
-    return fx.table(s, d, "documents").select("doc_id", F.length(text.embedded_part(F.col("text"), 500)).cast("bigint").alias("kept"))
+    """Texts cut at 500, and whole ones; every third has white space at its end."""
+    t = fx.table(s, d, "documents").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "  \n").otherwise("")))
+    return t.select("doc_id", F.length(text.embedded_part(F.col("text"), 500)).cast("bigint").alias("kept"), (~text.embedded_part(F.col("text"), 10**7).rlike(r"\s\z")).alias("ends_well"))
 
 
 @query("select vec_id, len(embedding) // 16 as n, round(embedding[17]::double, 6) as second_first from embeddings")
@@ -268,12 +269,23 @@ def url_variants(s, d):
     return fx.table(s, d, "pages").select("page_id", "url", F.split_part("url", F.lit("#"), F.lit(1)).alias("without_fragment"), low.alias("lowered"))
 
 
-@query(f"with {fx.WEB.replace('web as (', 'web as materialized (', 1)}, w as (select n, case when n % 3 = 0 then upper(substr(url, 1, 4)) || substr(url, 5) when n % 3 = 1 then url || '#zz' else url end as url from web), hit as (select w.url, web.doc_id, web.url as matched_url from w join web on web.n = w.n where not (w.n % 3 = 1 and web.url like '%#%') and not (w.n % 3 = 0 and web.url like '%#%')) select url, doc_id, matched_url from hit")
+_URL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\\?[^#]*)?(#.*)?$"
+_URL_PARTS = ", ".join(f"regexp_extract(url, '{_URL}', {k}) as {c}" for k, c in enumerate("shpqf", 1))
+_URL_FORMS = """[url, case when h <> '' then lower(s) || '://' || lower(h) || p || q end, case when h <> '' and f <> '' then s || '://' || h || p || q end,
+ case when h <> '' and ends_with(p, '/') and p <> '/' then s || '://' || h || rtrim(p, '/') || q when h <> '' and p <> '' and not ends_with(p, '/') and q = '' then s || '://' || h || p || '/' end,
+ case when ends_with(url, '/') and url <> '/' then rtrim(url, '/') end]"""
+
+
+@query(f"""with w as (select distinct case page_id % 4 when 0 then 'HTTPS' || substr(url, strpos(url, ':')) when 1 then url || '#zz' when 2 then url || '/' else url end as url from pages),
+ f as (select url, unnest({_URL_FORMS}) as form, unnest([1, 2, 3, 4, 5]) as k from (select url, {_URL_PARTS} from w)),
+ best as (select f.url, arg_min(stored.url, k) as matched_url from f join (select distinct url from pages) stored on stored.url = f.form where f.form <> '' group by f.url)
+ select url, {fx.sql_uuid5('matched_url')} as doc_id, matched_url from best""")
 def url_variants_resolve(s, d):
-    web = fx.web(s, d)
-    n = F.col("n")
-    wanted = web.where(~((n % 3 != 2) & F.col("url").contains("#"))).select(F.when(n % 3 == 0, F.concat(F.upper(F.substring("url", 1, 4)), F.expr("substring(url, 5)"))).when(n % 3 == 1, F.concat("url", F.lit("#zz"))).otherwise(F.col("url")).alias("url"))
-    return urls.resolved(wanted, web)
+    """Urls of all pages with an upper-case scheme, a fragment, a slash or nothing more, among the stored ones."""
+    n, url = F.col("page_id"), F.col("url")
+    pages = fx.table(s, d, "pages")
+    wanted = F.when(n % 4 == 0, F.concat(F.lit("HTTPS"), F.expr("substring(url, instr(url, ':'))"))).when(n % 4 == 1, F.concat(url, F.lit("#zz"))).when(n % 4 == 2, F.concat(url, F.lit("/"))).otherwise(url)
+    return urls.resolved(pages.select(wanted.alias("url")), pages.select(ids.document_id(url).alias("doc_id"), "url"))
 
 
 @query(f"with {fx.WEB} select n from web where regexp_replace(coalesce(nullif(domain, ''), {fx.SQL_HOST}), '^www\\.', '') in ('example.org') or ends_with(coalesce(nullif(domain, ''), {fx.SQL_HOST}), '.example.org')")
@@ -444,10 +456,11 @@ def score_contrast(s, d):
     return vectors.contrasted(search.late_top(fx.tokens(s, d), fx.query_vectors(s, d), 20)).select("doc_id", _r("score", 4).alias("score"))
 
 
-@query("select * from (values (0, null::double, null::double), (1, 0.0, 0.0), (2, 0.5, 0.5), (3, 20 / 37.0, 20.0), (4, 1.0, 50.0)) t(id, dense, late)")
+@query("select id, case when t is not null then case when greatest(t, 0) <= 1 then greatest(t, 0) else least(t, 37) / 37.0 end end::double as dense, greatest(case when t is not null then 0 end, t)::double as late from (select doc_id as id, case when doc_id % 7 <> 0 then (doc_id % 101 - 10) / 2.0 end::double as t from documents)")
 def threshold_normalise(s, d):
-    given = [None, -1.0, 0.5, 20.0, 50.0]
-    return s.createDataFrame([(k, vectors.normalised_threshold(t, False), vectors.normalised_threshold(t, True)) for k, t in enumerate(given)], "id int, dense double, late double")
+    """Thresholds from -5 to 45, and none."""
+    t = fx.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 101 - 10) / 2.0).alias("t"))
+    return t.select("id", vectors.normalised_thresholds(F.col("t"), False).alias("dense"), vectors.normalised_thresholds(F.col("t"), True).alias("late"))
 
 
 _FAQ_HITS = f"with {fx.TOKENS}, {_PRE}, hits as (select * from late semi join pre using (doc_id) order by score desc, doc_id limit 20)"
@@ -469,23 +482,22 @@ def agent_search(s, d):
     return search.agent_search(t, fx.query_vectors(s, d), 5, t.where("doc_id % 3 = 0")).select("doc_id", _r("score").alias("score"))
 
 
-def _corpus(s, d):
-    """Token vectors joined with the first texts."""
-    t = fx.texts(s, d).drop("doc_id")
-    return fx.tokens(s, d).join(t, F.col("doc_id") == F.col("n")).drop("n")
-
-
 def _answers(s, d):
     t = fx.tokens(s, d)
     source = F.array(F.struct((F.col("doc_id") * 2).cast("bigint").alias("document_id"), F.lit("https://x.example.com/a.html").alias("url")))
     return t.select((F.col("doc_id") + 1000).alias("faq_id"), "dense", "late", F.lit("the question").alias("question"), F.lit("an answer").alias("answer"), source.alias("source_documents"))
 
 
-def _full(s, d):
-    docs = _corpus(s, d)
-    faq_table = _answers(s, d).withColumn("source_documents", F.transform("source_documents", lambda x: F.struct(x["document_id"].cast("string").alias("document_id"), x["url"].alias("url"))))
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
-    return docs, faq_table
+def _sourced(s, d):
+    return _answers(s, d).withColumn("source_documents", F.transform("source_documents", lambda x: F.struct(x["document_id"].cast("string").alias("document_id"), x["url"].alias("url"))))
+
+
+def _whole(s, d):
+    """Every document, the n-th with the token vectors of n modulo their number; and FAQs about some of them."""
+    t = fx.tokens(s, d)
+    t = t.crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).withColumnRenamed("doc_id", "v")
+    docs = fx.texts(s, d).drop("doc_id").join(t, F.col("n") % F.col("total") == F.col("v")).drop("v", "total")
+    return docs.withColumn("doc_id", F.col("n").cast("string")), _sourced(s, d)
 
 
 _SEARCH = f"""with {fx.TOKENS}, {fx.TEXTS}, c as (select l.doc_id, l.score, d.score as ds, t.* exclude (doc_id) from late l join dense d using (doc_id) join texts t on t.n = l.doc_id),
@@ -494,32 +506,10 @@ _SEARCH = f"""with {fx.TOKENS}, {fx.TEXTS}, c as (select l.doc_id, l.score, d.sc
  u as (select doc_id from pre union select doc_id from f0), hits as (select c.*, exists (select 1 from fh where fh.src = c.doc_id) as boosted_by_faqs from c semi join u using (doc_id) order by score desc, doc_id::varchar limit {{wide}} + (select count(*) from fh)), kept as (select * from hits where {{where}} order by score desc, doc_id::varchar limit {{limit}})"""
 
 
-@query(_SEARCH.format(limit=10, wide=50, where=f"contains(lower(content || chr(10) || title || chr(10) || url), 'e') and not contains(lower(url), '/es/')") + ", r as (select min(score) as lo, max(score) - min(score) as w from kept) select doc_id::varchar as doc_id, round(lo + pow((score - lo) / w, 5.0) * w, 4) as score, boosted_by_faqs from kept, r")
-def search_full(s, d):
-    docs, faq_table = _full(s, d)
-    got = search.search(docs, faq_table, "e -inurl:/es/", fx.query_vectors(s, d), 10, now=_now(), least_faq=0.9)
-    return got.documents.select("doc_id", _r("score", 4).alias("score"), "boosted_by_faqs")
-
-
 # FAQs are scoped before their top 30 are taken: only those with a source in the allowed domains compete
 _SEARCH_KB = _SEARCH.replace("fp as (select doc_id from dense order by", "fp as (select doc_id from dense where doc_id * 2 in (select doc_id from c) order by")
 
 
-@query(_SEARCH_KB.format(limit=10, wide=50, where="true") + " select doc_id::varchar as doc_id, round(score, 6) as score, boosted_by_faqs from kept")
-def search_kb_full(s, d):
-    docs, faq_table = _full(s, d)
-    got = search.knowledge_base(docs, faq_table, "anything at all", fx.query_vectors(s, d), 10, allowed=["example.com"], least_faq=0.9)
-    return got.documents.select("doc_id", _r("score").alias("score"), "boosted_by_faqs")
-
-
-def _whole(s, d):
-    """Every document, the n-th with the token vectors of n modulo their number."""
-    t = fx.tokens(s, d)
-    t = t.crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).withColumnRenamed("doc_id", "v")
-    docs = fx.texts(s, d).drop("doc_id").join(t, F.col("n") % F.col("total") == F.col("v")).drop("v", "total")
-    return docs.withColumn("doc_id", F.col("n").cast("string")), _full(s, d)[1]
-
-
 def _over_all(sql):
     """The SQL of a search over _whole."""
     was = "select l.doc_id, l.score, d.score as ds, t.* exclude (doc_id) from late l join dense d using (doc_id) join texts t on t.n = l.doc_id"
@@ -527,14 +517,26 @@ def _over_all(sql):
     return sql.replace(was, "select t.n as doc_id, l.score, d.score as ds, t.* exclude (doc_id) from late l join dense d using (doc_id) join texts t on t.n % (select count(*) from late) = l.doc_id")
 
 
-@query(_over_all(_SEARCH).format(limit=10, wide=50, where=f"contains({_EVERY}, 'e') and not contains({_U}, '/es/')") + ", r as (select min(score) as lo, max(score) - min(score) as w from kept) select doc_id::varchar as doc_id, round(case when w > 0 then lo + pow((score - lo) / w, 5.0) * w else score end, 4) as score, boosted_by_faqs from kept, r")
+_SEARCH_ALL = _over_all(_SEARCH).format(limit=10, wide=50, where=f"contains({_EVERY}, 'e') and not contains({_U}, '/es/')") + ", r as (select min(score) as lo, max(score) - min(score) as w from kept) select doc_id::varchar as doc_id, round(case when w > 0 then lo + pow((score - lo) / w, 5.0) * w else score end, 4) as score, boosted_by_faqs from kept, r"
+
+
+@query(_SEARCH_ALL, "search_full")
+@query(_SEARCH_ALL)
 def search_all(s, d):
-    """search_full with every document as a candidate."""
+    """Every document is a candidate."""
     docs, faq_table = _whole(s, d)
     got = search.search(docs, faq_table, "e -inurl:/es/", fx.query_vectors(s, d), 10, now=_now(), least_faq=0.9)
     return got.documents.select("doc_id", _r("score", 4).alias("score"), "boosted_by_faqs")
 
 
+@query(_over_all(_SEARCH_KB).format(limit=10, wide=50, where="true") + " select doc_id::varchar as doc_id, round(score, 6) as score, boosted_by_faqs from kept")
+def search_kb_full(s, d):
+    """Every document, in a domain that all are in."""
+    docs, faq_table = _whole(s, d)
+    got = search.knowledge_base(docs, faq_table, "anything at all", fx.query_vectors(s, d), 10, allowed=["example.com"], least_faq=0.9)
+    return got.documents.select("doc_id", _r("score").alias("score"), "boosted_by_faqs")
+
+
 _KB_SCOPED = _over_all(_SEARCH_KB).replace("% (select count(*) from late) = l.doc_id)", "% (select count(*) from late) = l.doc_id where source = 'src3')")
 
 
@@ -595,11 +597,7 @@ def faq_merge_sources(s, d):
 
 @query(f"with {fx.FAQ_ROWS}, g as (select faq_id, count(*) filter (where document_id <> '7') as rest, count(*) filter (where document_id = '7') as hit from src group by 1) select faq_id, case when hit > 0 and rest = 0 then 'deleted' when hit > 0 then 'updated' else 'kept' end as action, rest::bigint as source_count from g")
 def faq_remove_source(s, d):
-    f = fx.faqs(s, d)
-    rest = f.withColumn("source_documents", F.filter("source_documents", lambda x: x["document_id"] != "7"))
-    hit = F.exists("was", lambda x: x["document_id"] == "7")
-    both = rest.join(f.select("faq_id", F.col("source_documents").alias("was")), "faq_id")
-    return both.select("faq_id", F.when(hit & (F.size("source_documents") == 0), "deleted").when(hit, "updated").otherwise("kept").alias("action"), F.size("source_documents").cast("bigint").alias("source_count"))
+    return faqs.url_removed(fx.faqs(s, d), "https://docs.example.com/7").select("faq_id", "action", F.col("source_count").cast("bigint").alias("source_count"))
 
 
 @query(f"with {fx.FAQ_ROWS}, g as (select faq_id, count(*) filter (where url <> 'https://docs.example.com/5') as rest, count(*) filter (where url = 'https://docs.example.com/5') as hit from src group by 1) select case when hit > 0 and rest = 0 then 'deleted' when hit > 0 then 'updated' else 'kept' end as action, count(*) as n from g group by 1")
@@ -607,26 +605,18 @@ def faq_remove_url_everywhere(s, d):
     return faqs.url_removed(fx.faqs(s, d), "https://docs.example.com/5").groupBy("action").agg(F.count("*").alias("n"))
 
 
-_GENERATED = "gen as (select document_id, extracted_at as pos, question, answer || case when conv_id % 2 = 1 then ' v2' else '' end as answer, confidence from pairs where conv_id < 20 and conv_id % 5 <> 0)"
-
-
-@query(f"""with {fx.FAQ_ROWS}, {_GENERATED}, g as (select document_id, md5(lower(trim(question))) as question_hash, arg_max({fx.sql_uuid5("trim(regexp_replace(trim(question), '\\s+', ' ', 'g'))||'|'||trim(regexp_replace(trim(answer), '\\s+', ' ', 'g'))", 'a1b2c3d4e5f67890abcdef1234567890')}, (confidence, pos)) as new_id from gen group by 1, 2),
- o as (select document_id, question_hash, min(faq_id) as old_id from ids where conv_id < 20 group by 1, 2)
- select document_id, question_hash, case when new_id is null then 'stale' when old_id is null then 'created' when new_id = old_id then 'refreshed' else 'reassigned' end as action from g full join o using (document_id, question_hash)""")
-def faq_sync_actions(s, d):
-    rows = fx.faq_rows(s, d).where("conv_id < 20")
-    gen = rows.where("conv_id % 5 <> 0").select("document_id", F.col("extracted_at").alias("pos"), "question", F.when(F.col("conv_id") % 2 == 1, F.concat("answer", F.lit(" v2"))).otherwise(F.col("answer")).alias("answer"), "confidence")
-    return faqs.sync_plan(gen, rows.select("document_id", "faq_id", "question_hash")).select("document_id", "question_hash", "action")
-
-
 _GENERATED_ALL = "gen as (select document_id, extracted_at as pos, question, answer || case when conv_id % 2 = 1 then ' v2' else '' end as answer, confidence from pairs where conv_id % 5 <> 0)"
 
 
-@query(f"""with {fx.FAQ_ROWS}, {_GENERATED_ALL}, g as (select document_id, md5(lower(trim(question))) as question_hash, arg_max({fx.sql_uuid5("trim(regexp_replace(trim(question), '\\s+', ' ', 'g'))||'|'||trim(regexp_replace(trim(answer), '\\s+', ' ', 'g'))", 'a1b2c3d4e5f67890abcdef1234567890')}, (confidence, pos)) as new_id from gen where trim(question) <> '' and trim(answer) <> '' group by 1, 2),
+_SYNC_ACTIONS = f"""with {fx.FAQ_ROWS}, {_GENERATED_ALL}, g as (select document_id, md5(lower(trim(question))) as question_hash, arg_max({fx.sql_uuid5("trim(regexp_replace(trim(question), '\\s+', ' ', 'g'))||'|'||trim(regexp_replace(trim(answer), '\\s+', ' ', 'g'))", 'a1b2c3d4e5f67890abcdef1234567890')}, (confidence, pos)) as new_id from gen where trim(question) <> '' and trim(answer) <> '' group by 1, 2),
  o as (select document_id, question_hash, min(faq_id) as old_id from ids group by 1, 2)
- select document_id, question_hash, case when new_id is null then 'stale' when old_id is null then 'created' when new_id = old_id then 'refreshed' else 'reassigned' end as action from g full join o using (document_id, question_hash)""")
+ select document_id, question_hash, case when new_id is null then 'stale' when old_id is null then 'created' when new_id = old_id then 'refreshed' else 'reassigned' end as action from g full join o using (document_id, question_hash)"""
+
+
+@query(_SYNC_ACTIONS, "faq_sync_actions")
+@query(_SYNC_ACTIONS)
 def faq_sync_actions_all(s, d):
-    """faq_sync_actions over every conversation; one in five isn't generated again, every other one has new answers."""
+    """Every conversation; one in five isn't generated again, every other one has new answers."""
     rows = fx.faq_rows(s, d)
     gen = rows.where("conv_id % 5 <> 0").select("document_id", F.col("extracted_at").alias("pos"), "question", F.when(F.col("conv_id") % 2 == 1, F.concat("answer", F.lit(" v2"))).otherwise(F.col("answer")).alias("answer"), "confidence")
     return faqs.sync_plan(gen, rows.select("document_id", "faq_id", "question_hash")).select("document_id", "question_hash", "action")
@@ -652,18 +642,15 @@ def document_detail(s, d):
     return faqs.document_detail(fx.texts(s, d), fx.faqs(s, d), "4").select("doc_id", F.array_join("faqs", ",").alias("faqs"))
 
 
-@query(f"with {fx.FAQ_ROWS}, one as (select * from src where faq_id < '8') select faq_id, 'Q' || length(question) as q, case when exists (select 1 from one o where o.faq_id = x.faq_id and o.document_id = x.document_id) then 'refreshed' when exists (select 1 from one o where o.faq_id = x.faq_id) then 'merged' else 'created' end as action from (select faq_id, min(question) as question, '3' as document_id from ids where conv_id = 3 or conv_id = 4 group by 1) x")
-def faq_upsert(s, d):
-    old = fx.faqs(s, d).where("faq_id < '8'")
-    new = fx.faq_rows(s, d).where("conv_id in (3, 4)").groupBy("faq_id").agg(F.min("question").alias("question"), F.min("answer").alias("answer"), F.lit("3").alias("document_id"), F.lit("https://docs.example.com/3").alias("url"), F.lit("z").alias("extracted_at"), F.lit(0.9).alias("confidence"))
-    return faqs.upserted(old, new).where("action <> 'kept'").select("faq_id", F.concat(F.lit("Q"), F.length("question")).alias("q"), "action")
-
-
-@query(f"""with {fx.FAQ_ROWS}, old as (select * from src where faq_id < '8'),
+_UPSERT = f"""with {fx.FAQ_ROWS}, old as (select * from src where faq_id < '8'),
  new as (select faq_id, case when faq_id >= '8' or substr(faq_id, 2, 1) < '4' then document_id else 'new-' || document_id end as document_id from (select faq_id, min(document_id) as document_id from ids group by 1) where faq_id >= '8' or substr(faq_id, 2, 1) < '8'),
  put as (select faq_id, document_id, confidence from old anti join new using (faq_id, document_id) union all select faq_id, document_id, 0.25::double from new)
  select faq_id, case when faq_id not in (select faq_id from new) then 'kept' when faq_id not in (select faq_id from old) then 'created' when (faq_id, any_value(document_id) filter (where (faq_id, document_id) in (select faq_id, document_id from new))) in (select faq_id, document_id from old) then 'refreshed' else 'merged' end as action,
- count(*)::bigint as source_count, round(max(confidence), 6) as aggregated_confidence, string_agg(document_id, ',' order by document_id) as documents from put group by 1""")
+ count(*)::bigint as source_count, round(max(confidence), 6) as aggregated_confidence, string_agg(document_id, ',' order by document_id) as documents from put group by 1"""
+
+
+@query(_UPSERT, "faq_upsert")
+@query(_UPSERT)
 def faq_upsert_all(s, d):
     """Every FAQ: those from '8' on are new; of the others a quarter gets a known source again, a quarter a new one, and half nothing."""
     rows, sure = fx.faq_rows(s, d), F.lit(0.25)
@@ -795,19 +782,40 @@ def match_best_chain(s, d):
     return fx.table(s, d, "documents").select("doc_id", c["phrase"].alias("phrase"), c["count"].cast("bigint").alias("n"))
 
 
+_TWELVE = ["the", "of", "and", "ing", "tion", "er", "in", "an", "th", "es", "on", "re"]
+_PHRASES = "[" + ", ".join(f"'{p}'" for p in matching.phrases(_TWELVE)) + "]"
+
+
+@query(f"""select doc_id, array_to_string(list_transform([{', '.join(f"'{t}'" for t in _TWELVE)}], lambda x: (length(t) - length(replace(t, x, ''))) // length(x)), ' ') as counts, phrase, ((length(t) - length(replace(t, phrase, ''))) // length(phrase))::bigint as n
+ from (select doc_id, t, list_filter({_PHRASES}, lambda x: contains(t, x))[1] as phrase from (select doc_id, lower(text) as t from documents))""")
+def match_twelve_terms(s, d):
+    """Twelve terms and their 66 phrases in one pass."""
+    m = matching.matches(F.col("text"), _TWELVE)
+    got = fx.table(s, d, "documents").select("doc_id", m.alias("m"))
+    return got.select("doc_id", F.array_join("m.counts", " ").alias("counts"), "m.phrase", F.col("m.count").cast("bigint").alias("n"))
+
+
+@query()
+def detected_languages(s, d):
+    """The language of every document by profiles of the even ones; no SQL, its accuracy on the odd ones is tested."""
+    t = fx.table(s, d, "documents")
+    known = language.profiles(t.where("doc_id % 2 = 0"))
+    found = t.select("doc_id", language.language(F.col("text"), known).alias("l")).select("doc_id", "l.lang", "l.accuracy")
+    return queues.with_language(found, known=tuple(known)).select("doc_id", "language", _r("accuracy").alias("accuracy"))
+
+
 @query("select doc_id from documents where greatest(len(regexp_extract_all(lower(text), 'idiot')), len(regexp_extract_all(lower(text), 'ring'))) >= 3")
 def match_filter(s, d):
     return fx.table(s, d, "documents").where(text.has_matches(F.col("text"), ["idiot", "ring"], 3)).select("doc_id")
 
 
-@query("select doc_id, regexp_replace(substr(text, 1, 200), '(there|the)', '<mark>\\1</mark>', 'gi') as marked, case when length(text) > 300 then substr(text, 1, 300) || '...' else text end as preview from documents")
-def highlight_preview(s, d):
-    return fx.table(s, d, "documents").select("doc_id", text.highlighted(F.substring("text", 1, 200), ["the", "there"]).alias("marked"), text.preview(F.col("text")).alias("preview"))
+_HIGHLIGHT = "select doc_id, regexp_replace(text, '(there|the)', '<mark>\\1</mark>', 'gi') as marked, case when length(text) > 300 then substr(text, 1, 300) || '...' else text end as preview from documents"
 
 
-@query("select doc_id, regexp_replace(text, '(there|the)', '<mark>\\1</mark>', 'gi') as marked, case when length(text) > 300 then substr(text, 1, 300) || '...' else text end as preview from documents")
+@query(_HIGHLIGHT, "highlight_preview")
+@query(_HIGHLIGHT)
 def highlight_all(s, d):
-    """highlight_preview with the whole text marked; the preview alone is cut."""
+    """The whole text is marked; the preview alone is cut."""
     return fx.table(s, d, "documents").select("doc_id", text.highlighted(F.col("text"), ["the", "there"]).alias("marked"), text.preview(F.col("text")).alias("preview"))
 
 
@@ -864,6 +872,7 @@ def title_of_text(s, d):
     return t.select("doc_id", text.heading(F.replace("text", F.lit(". "), F.lit("\n## "))).alias("heading"))
 
 
+@query("select vec_id as doc_id from embeddings where vec_id % 9 = 0", "dimension_mismatch")
 @query("select vec_id as doc_id from embeddings where vec_id % 9 = 0")
 def dimension_mismatch_found(s, d):
     v = fx.vectors(s, d)
@@ -972,7 +981,7 @@ def faq_duplicates(s, d):
 
 @query(f"with {fx.TOKENS}, {_PRE} select doc_id + 1000 as faq_id, round(score, 6) as score from (select * from late semi join pre using (doc_id) order by late.score desc, doc_id limit 10) where score >= 1.0")
 def faq_tool(s, d):
-    return search.faq_tool(_full(s, d)[0], _full(s, d)[1], fx.query_vectors(s, d), 10, least=1.0).select("faq_id", _r("score").alias("score"))
+    return search.faq_tool(_whole(s, d)[0], _sourced(s, d), fx.query_vectors(s, d), 10, least=1.0).select("faq_id", _r("score").alias("score"))
 
 
 @query(f"with {fx.TOKENS}, pre as (select doc_id from dense order by dense.score desc, doc_id limit 100) select doc_id, round(score, 6) as score from late semi join pre using (doc_id) order by late.score desc, doc_id limit 7")
@@ -1002,7 +1011,7 @@ def kb_related(s, d):
     t = t.crossJoin(F.broadcast(t.agg(F.count("*").alias("total")))).withColumnRenamed("doc_id", "v")
     web = fx.web(s, d)
     docs = web.join(t, F.col("n") % F.col("total") == F.col("v")).drop("v", "total")
-    none = _full(s, d)[1].limit(0)
+    none = _sourced(s, d).limit(0)
     got = search.knowledge_base(docs, none, "anything", fx.query_vectors(s, d), 3, follow_links=True, max_hops=1, max_related=4).related
     n, v = web.select("doc_id", "n"), web.select(F.col("doc_id").alias("via"), F.col("n").alias("v"))
     return got.join(n, "doc_id").join(v, "via").select("n", "hop", F.col("v").alias("via"))
@@ -1058,14 +1067,8 @@ def queue_languages(s, d):
     return queues.with_language(t).select("doc_id", "language")
 
 
-_URL = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*)(\\?[^#]*)?(#.*)?$"
-
-
-@query(f"""with u as (select page_id, case page_id % 3 when 0 then url || '/' when 1 then 'HTTPS' || substr(url, strpos(url, ':')) else url end as url from pages),
- p as (select page_id, url, regexp_extract(url, '{_URL}', 1) as s, regexp_extract(url, '{_URL}', 2) as h, regexp_extract(url, '{_URL}', 3) as p, regexp_extract(url, '{_URL}', 4) as q, regexp_extract(url, '{_URL}', 5) as f from u)
- select page_id, array_to_string(list_sort(list_distinct(list_filter([url, case when h <> '' then lower(s) || '://' || lower(h) || p || q end, case when h <> '' and f <> '' then s || '://' || h || p || q end,
- case when h <> '' and ends_with(p, '/') and p <> '/' then s || '://' || h || rtrim(p, '/') || q when h <> '' and p <> '' and not ends_with(p, '/') and q = '' then s || '://' || h || p || '/' end,
- case when ends_with(url, '/') and url <> '/' then rtrim(url, '/') end], lambda x: x is not null and x <> ''))), ' ') as forms from p""")
+@query(f"""with u as (select page_id, case page_id % 3 when 0 then url || '/' when 1 then 'HTTPS' || substr(url, strpos(url, ':')) else url end as url from pages), p as (select page_id, url, {_URL_PARTS} from u)
+ select page_id, array_to_string(list_sort(list_distinct(list_filter({_URL_FORMS}, lambda x: x is not null and x <> ''))), ' ') as forms from p""")
 def url_forms(s, d):
     """All forms of urls with added slashes and upper-case schemes."""
     n, url = F.col("page_id"), F.col("url")

@@ -30,9 +30,10 @@ def heading(text: Column) -> Column:
 
 
 def embedded_part(text: Column, chars: int = EMBEDDED_CHARS) -> Column:
+    """The beginning, without white space at its end, short texts too; of white space alone as it is."""
     cut = F.substring(text, 1, chars)
-    tight = F.regexp_replace(cut, r"(?U)\s+$", "")
-    return F.when(F.length(text) <= chars, text).when(tight == "", cut).otherwise(tight)
+    tight = F.regexp_replace(cut, r"(?U)[\s\x1c-\x1f]+\z", "")
+    return F.when(tight == "", cut).otherwise(tight)
 
 
 def faq_text(question: Column, answer: Column) -> Column:
@@ -49,13 +50,6 @@ def token_vectors(flat: Column, dimension: int = LATE_DIMENSION) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.slice(flat, i * dimension + 1, F.lit(dimension)))).otherwise(F.array())
 
 
-def retry_limit(message: Column) -> Column:
-    """The next length to try after a logged complaint of `passed N ... limit M`: below N, at most M, at least 512; null for other messages.  The embedding hook does the same for a live model."""
-    passed = F.regexp_extract(message, r"(?i)passed\s+(\d+)", 1)
-    most = F.regexp_extract(message, r"(?i)limit\D{0,40}?(\d+)", 1)
-    return F.when((passed != "") & (most != ""), F.greatest(F.lit(512), F.least(passed.cast("int") - 1, most.cast("int"))))
-
-
 # display forms
 
 

@@ -34,6 +34,12 @@ def normalised_threshold(threshold: float | None, late: bool) -> float | None:
     return value if late or value <= 1 else min(value, 37.0) / 37.0
 
 
+def normalised_thresholds(threshold: Column, late: bool) -> Column:
+    """The same for a column."""
+    value = F.greatest(F.lit(0.0), threshold.cast("double"))
+    return F.when(threshold.isNotNull(), value if late else F.when(value <= 1, value).otherwise(F.least(value, F.lit(37.0)) / 37.0))
+
+
 def contrasted(df: DataFrame, power: float = 2.5, score: str = "score") -> DataFrame:
     """Stretches scores within their range: lowest, highest and order stay.  A result page is small; its range is one row."""
     span = df.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))

@@ -208,3 +208,47 @@ def test_a_query_is_enqueued_once_for_ever(spark, tmp_path):
     run("3", [("c", "hi", 190_000_000), ("d", " ", 3), ("c", "new", 190_000_001)])
     assert rows(spark.read.parquet(f"file://{tmp_path}/out").select("collection_name", F.trim(F.lower("query")))) == [("c", "hi"), ("c", "new"), ("d", "hi")]
     shutil.rmtree(tmp_path / "c")
+
+
+def test_re_embedding_survives_failures_and_restarts(spark, tmp_path):
+    from siftmill.operators import reembed
+    from siftmill.sources.embedding import embedded
+
+    source = spark.createDataFrame([(str(k), f"text {k}" if k % 10 else " ", [0.0]) for k in range(60)], "doc_id string, content string, dense array<double>")
+    target = Collection(spark, f"file://{tmp_path}/store", "docs_new")
+    calls = f"{tmp_path}/calls"
+    os.mkdir(calls)
+
+    def model(fail):
+        def run(texts):
+            if any(fail(t) and not os.path.exists(f"{calls}/{t}") for t in texts):
+                for t in texts:
+                    open(f"{calls}/{t}", "w").close()
+                raise ValueError("the model is away")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return lambda df: embedded(df, run)
+
+    swapped = []
+    never = lambda t: t == "text 7"
+
+    def away(texts):
+        if "text 7" in texts:
+            raise ValueError("never")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    first = reembed.advance(source, target, "document", lambda df: embedded(df, away), "job", ranges=4, tries=2)
+    assert not first.complete and first.done == 3 and list(first.tries.values()).count(2) == 1 and "never" in str(first.errors)
+    assert not reembed.finalised(target, "job", 4, lambda: swapped.append(1)) and not swapped
+    with pytest.raises(ValueError):
+        reembed.advance(source, target, "document", model(never), "job", ranges=5)
+    again = Collection(spark, f"file://{tmp_path}/store", "docs_new")  # another driver
+    versions = again.version()
+    second = reembed.advance(source, again, "document", model(never), "job", ranges=4)
+    assert second.complete and len(second.tries) == 1 and max(second.tries.values()) <= 2 and again.version() == versions + 1  # only what wasn't done; a failure on the way
+    assert reembed.finalised(again, "job", 4, lambda: swapped.append(1)) and swapped == [1]
+    got = {r["doc_id"]: r["dense"] for r in again.read().collect()}
+    assert got == {str(k): [float(len(f"text {k}")), 1.0] if k % 10 else None for k in range(60)}
+    assert reembed.advance(source, again, "document", model(never), "job", ranges=4).tries == {}
+    stopped = reembed.advance(source, Collection(spark, f"file://{tmp_path}/store", "other"), "document", model(never), "job", ranges=4, cancelled=lambda: True)
+    assert stopped.done == 0 and not stopped.complete

@@ -71,11 +71,12 @@ def test_url_forms(spark):
 
 def test_text_forms(spark):
     assert value(spark, text.heading(F.lit("x\n ## *A* [b](c) `d`\n# e"))) == "A b d" and value(spark, text.heading(F.lit("x"))) is None
+    assert value(spark, text.embedded_part(F.lit("abc  \n"))) == "abc" and value(spark, text.embedded_part(F.lit(" \n"))) == " \n" and value(spark, text.embedded_part(F.lit("ab c d"), 3)) == "ab"
+    assert [r[0] for r in spark.createDataFrame([(None,), (-1.0,), (0.5,), (20.0,), (50.0,)], "t double").select(vectors.normalised_thresholds(F.col("t"), False)).collect()] == [vectors.normalised_threshold(t, False) for t in (None, -1.0, 0.5, 20.0, 50.0)]
     assert value(spark, text.word_count(F.lit("é日本 a_b c-d"))) == 4 and value(spark, text.word_count(F.lit(None).cast("string"))) == 0
     assert value(spark, text.best_chain(F.lit("x b c y a b"), ["a", "b", "c"])) == ("a b", 1)
     assert value(spark, text.highlighted(F.lit("The there"), ["the", "there"])) == "<mark>The</mark> <mark>there</mark>"
     assert value(spark, text.token_vectors(F.array(*map(F.lit, range(7))), 3)) == [[0, 1, 2], [3, 4, 5]] and value(spark, text.token_vectors(F.array(F.lit(1)), 3)) == []
-    assert value(spark, text.retry_limit(F.lit("passed 9000 tokens but the limit is 8192"))) == 8192 and value(spark, text.retry_limit(F.lit("other"))) is None
     assert tuple(value(spark, text.generated_faq(F.lit("First line\nthe rest")))) == ("First line", "the rest")
 
 
