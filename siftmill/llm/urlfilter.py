@@ -11,6 +11,7 @@ without a join.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from . import base
 
-#: The filters of so many rules go to every executor (about 3 bytes a rule); of more, the rules are a table that urls' keys are joined with.
-MOST_RULES = 5_000_000
+#: The cascade of so many listed rules goes to every executor (about 3 bytes a rule); of more, keys are dealt into parts of about PART_RULES, each with a cascade of its own.
+MOST_RULES, PART_RULES = 1_000_000, 200_000
+#: Tasks that the keys of a part are dealt to.
+WAYS = 16
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -154,38 +157,141 @@ def _keyed(lengths: list[int]):
     return run
 
 
-def _judged_by_join(rows: DataFrame, verdicts: dict[str, str], lengths: list[int], otherwise: str) -> DataFrame:
-    """The same for rules too many for executors' memory: distinct keys are joined with them, and a page takes its first key that is one."""
-    spark = rows.sparkSession
-    table = pa.table({"key": pa.array(list(verdicts), pa.string()), "verdict": pa.array(list(verdicts.values()), pa.string())})
-    rules, _ = base.written(spark.createDataFrame(table), "url-rules")
+# Rules too many for one cascade
+
+
+def _files(folder: str, make):
+    """Rows lie sorted by part: what `make` gives for a part's rows is put into its file."""
+
+    def run(batches):
+        files, last, held = base.Files(folder), None, []
+
+        def put():
+            files.put(f"{last}.part", pickle.dumps(make(last, held)))
+            return pa.RecordBatch.from_pydict({"part": pa.array([last], pa.int64())})
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["part"] != last:
+                    yield put()
+                    held = []
+                last = row["part"]
+                held.append(row)
+        if held:
+            yield put()
+
+    return run
+
+
+class _Parts:
+    """The files of parts, one in memory at a time; a part without rules has none."""
+
+    def __init__(self, folder: str):
+        self.files, self.last, self.value = base.Files(folder), None, None
+
+    def __getitem__(self, part: int):
+        if part != self.last:
+            try:
+                with self.files.open(f"{part}.part") as file:
+                    self.last, self.value = part, pickle.loads(file.read())
+            except FileNotFoundError:
+                self.last, self.value = part, None
+        return self.value
+
+
+def _passed(folder: str):
+    def run(batches):
+        parts = _Parts(folder)
+        for batch in batches:
+            keep = [(own := parts[part]) is not None and key in own for part, key in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verdicts(folder: str):
+    def run(batches):
+        parts = _Parts(folder)
+        for batch in batches:
+            found = []
+            for part, key in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist()):
+                own = parts[part]
+                found.append(None if own is None or key not in own[0] else "block" if key in own[1] else "allow")
+            keep = pa.array([x is not None for x in found], pa.bool_())
+            columns = [batch.column("uid"), batch.column("at"), batch.column("key"), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "at", "key", "verdict"]).filter(keep)
+
+    return run
+
+
+def _cascades(first: str):
+    """Of a part: which keys are listed, over the filter that its universe was sifted by, and which of those are blocked."""
+
+    def make(part: int, rows: list[dict]) -> tuple[Cascade, Cascade]:
+        listed, others = {r["key"]: r["verdict"] for r in rows if r["verdict"]}, {r["key"] for r in rows if not r["verdict"]}
+        blocked = {k for k, v in listed.items() if v == "block"}
+        kinds = Bloom(blocked, 0.5, 1000)
+        return Cascade(_Parts(first)[part], set(listed), others), Cascade(kinds, blocked, {k for k in set(listed) - blocked if k in kinds})
+
+    return make
+
+
+def _judged_in_parts(rows: DataFrame, rules: DataFrame, number: int, lengths: list[int], otherwise: str) -> DataFrame:
+    """A cascade for each part of the keys, which are dealt by hash, about PART_RULES rules to a part.
+
+    A part's universe is sifted by a first filter before it meets its rules, so a task that builds a
+    cascade holds a part's rules and about as many others; a task that judges holds one cascade.  Keys
+    of a part are dealt to WAYS tasks, so that one that all urls have isn't a task's alone.
+    """
+    spark, count = rows.sparkSession, -(-number // PART_RULES)
+    part = F.pmod(F.xxhash64("key"), F.lit(count)).cast("bigint").alias("part")
     out = base.schema(("page_id", "bigint"), ("uid", "bigint"), ("host", "string"), ("path", "string"), ("keys", "array<string>"))
     pages, _ = base.written(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_keyed(lengths), out), "url-keys")
     keys = pages.select("uid", F.posexplode("keys").alias("at", "key"))
-    met, _ = base.written(keys.groupBy("key").agg(F.count("*").alias("n")).join(rules, "key"), "url-met")
-    occurring, _ = base.written(keys, "url-occurring")
-    best = base.join_counted(occurring, met, "key", "n").groupBy("uid").agg(F.min(F.struct("at", "key", "verdict")).alias("b"))
-    joined = pages.join(best, "uid", "left")
-    return joined.select("page_id", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit(otherwise)).alias("verdict"))
-
-
-def judged(pages: DataFrame, rules: list[tuple[str, str]], otherwise: str = "allow") -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages; rules are (verdict, host/path).
+    universe, _ = base.written(keys.select("key").distinct(), "url-universe")
+    rate = min(0.5, number / max(1, universe.count()) / math.sqrt(2))
+    ruled, _ = base.written(rules.select(part, "key", "verdict"), "url-rules")
+    first, second = base.scratch_path(spark, "url-first"), base.scratch_path(spark, "url-cascades")
+    one = base.schema(("part", "bigint"))
+    base.written(ruled.repartition("part").sortWithinPartitions("part").mapInArrow(_files(first, lambda _, held: Bloom({r["key"] for r in held}, rate, 2000)), one), "url-first-parts")
+    near = universe.select(part, "key").repartition("part", F.pmod(F.hash("key"), F.lit(WAYS))).sortWithinPartitions("part").mapInArrow(_passed(first), base.schema(("part", "bigint"), ("key", "string")))
+    others = near.join(ruled.select("key"), "key", "left_anti").select("part", "key", F.lit(None).cast("string").alias("verdict"))
+    both = ruled.unionByName(others).repartition("part").sortWithinPartitions("part")
+    base.written(both.mapInArrow(_files(second, _cascades(first)), one), "url-cascade-parts")
+    spread = keys.select("uid", "at", "key", part).repartition("part", F.pmod("uid", F.lit(WAYS))).sortWithinPartitions("part")
+    found = spread.mapInArrow(_verdicts(second), base.schema(("uid", "bigint"), ("at", "int"), ("key", "string"), ("verdict", "string")))
+    best = found.groupBy("uid").agg(F.min(F.struct("at", "key", "verdict")).alias("b"))
+    return pages.join(best, "uid", "left").select("page_id", "host", "path", F.col("b.key").alias("rule"), F.coalesce("b.verdict", F.lit(otherwise)).alias("verdict"))
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, otherwise: str = "allow") -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of pages; rules are (verdict, host/path), as a list or a table (verdict, rule).
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest wins
     (of equally long ones that with the longer host).  Without a rule the verdict is `otherwise`.
     Null urls and urls without `://` have an empty host and path.  The same key with two verdicts
-    is an error.  Rows are mapped one by one; empty tables and rule lists are fine.  Up to MOST_RULES
-    rules are filters in every executor; more are joined with the urls' keys, with the same result.
+    is an error.  Rows are mapped one by one; empty tables and rule lists are fine.  A list of up to
+    MOST_RULES is one cascade in every executor; a longer one, or a table, is a cascade for each part
+    of the keys, with the same result.
     """
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
+    if isinstance(rules, list) and len(rules) > MOST_RULES:
+        rules = rows.sparkSession.createDataFrame(pa.table({"verdict": pa.array([v for v, _ in rules], pa.string()), "rule": pa.array([r for _, r in rules], pa.string())}))
+    if isinstance(rules, DataFrame):
+        table, _ = base.written(rules.select(F.col("rule").alias("key"), "verdict").where("key is not null").distinct(), "url-listed")
+        both = table.groupBy("key").count().where("count > 1").select("key").first()
+        if both:
+            raise ValueError(f"{both[0]} is both allowed and blocked")
+        path = F.length("key") - F.when(F.instr("key", "/") > 0, F.instr("key", "/") - 1).otherwise(F.length("key"))
+        lengths = sorted(r[0] for r in table.select(path.alias("n")).distinct().collect())  # as many as there are different lengths of paths
+        if lengths:
+            return _judged_in_parts(rows, table, table.count(), lengths, otherwise)
+        rules = []
     verdicts: dict[str, str] = {}
     for verdict, rule in rules:
         if verdicts.setdefault(rule, verdict) != verdict:
             raise ValueError(f"{rule} is both allowed and blocked")
     lengths = sorted({len(r) - (r.find("/") if "/" in r else len(r)) for r in verdicts})
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
-    if len(verdicts) > MOST_RULES:
-        return _judged_by_join(rows, verdicts, lengths, otherwise)
     listed = set(verdicts)
     blocked = {r for r, v in verdicts.items() if v == "block"}
     exact = cascade(rows.select("url"), listed, lengths)

@@ -453,9 +453,14 @@ def test_cascade_is_exact_on_its_universe(spark, monkeypatch):
     assert urlfilter.judged(df.limit(0), rules).count() == 0
     assert {r["verdict"] for r in urlfilter.judged(df, [], "block").collect()} == {"block"}
     want = Counter(map(tuple, urlfilter.judged(df, rules).collect()))
-    for listed in (rules, []):  # rules too many for filters are joined, with the same rows
-        monkeypatch.setattr(urlfilter, "MOST_RULES", -1)
+    monkeypatch.setattr(urlfilter, "MOST_RULES", -1)  # a cascade for each part of the keys, with the same rows
+    monkeypatch.setattr(urlfilter, "PART_RULES", 40)
+    for listed in (rules, []):
         assert Counter(map(tuple, urlfilter.judged(df, listed).collect())) == (want if listed else Counter((k, *urlfilter.parts_of(u), None, "allow") for k, u in enumerate(urls + wrong)))
+    table = spark.createDataFrame([*rules, rules[0], ("allow", None)], "verdict string, rule string")
+    assert Counter(map(tuple, urlfilter.judged(df, table).collect())) == want
+    with pytest.raises(ValueError):
+        urlfilter.judged(df, table.union(spark.createDataFrame([("block", "x.com/"), ("allow", "x.com/")], table.schema)))
     assert urlfilter.judged(df.limit(0), rules).count() == 0
     assert urlfilter.parts_of("x://Y.z?q") == ("y.z", "")
 
