@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import os
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -16,20 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..scratch import Files
+from ..scratch import root as scratch_root
+
 #: Bytes of text that a Python worker takes at once.
 SLAB_BYTES = 8 << 20
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share.  A local master, whose executors are this machine, may name none; a cluster must."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set: the operators need a folder that all executors share")
-        root = f"file:///tmp/siftmill-scratch-{os.getuid()}"
-    return root.rstrip("/")
-
-
 _SCOPES: list[list[str]] = []
 
 
@@ -189,73 +180,6 @@ def with_positions(table: DataFrame, column: str) -> DataFrame:
     return table.join(starts, "_part").withColumn(column, F.coalesce("_start", F.lit(0)) + F.col("_local")).drop("_start", "_part", "_local")
 
 
-class Files:
-    """Byte access for executors: plain folders (also file: URIs) directly, other stores by pyarrow."""
-
-    def __init__(self, uri: str):
-        self.uri, self.fs = uri.rstrip("/"), None
-        if self.uri.startswith("file:"):
-            self.uri = "/" + self.uri[5:].lstrip("/")
-        elif "://" in self.uri:
-            from pyarrow import fs
-
-            self.fs, self.uri = fs.FileSystem.from_uri(self.uri)
-
-    def put(self, name: str, data) -> None:
-        """Whole files only: written under a name of this attempt, then renamed, so a lost or second attempt leaves no half file."""
-        target, attempt = f"{self.uri}/{name}", f"{self.uri}/.{name}-{uuid.uuid4().hex}"
-        if self.fs is None:
-            os.makedirs(self.uri, exist_ok=True)
-            with open(attempt, "wb") as out:
-                out.write(data)
-            os.replace(attempt, target)
-        else:
-            self.fs.create_dir(self.uri, recursive=True)
-            with self.fs.open_output_stream(attempt) as out:
-                out.write(data)
-            self.fs.move(attempt, target)
-
-    def open(self, name: str):
-        if self.fs is None:
-            return open(f"{self.uri}/{name}", "rb")
-        return io.BufferedReader(_Raw(self.fs.open_input_file(f"{self.uri}/{name}")))
-
-    def size(self, name: str) -> int:
-        return os.path.getsize(f"{self.uri}/{name}") if self.fs is None else self.fs.get_file_info(f"{self.uri}/{name}").size
-
-    def names(self) -> list[str]:
-        if self.fs is None:
-            found = os.listdir(self.uri) if os.path.isdir(self.uri) else []
-        else:
-            from pyarrow import fs
-
-            found = [x.base_name for x in self.fs.get_file_info(fs.FileSelector(self.uri, allow_not_found=True))]
-        return sorted(x for x in found if not x.startswith("."))
-
-
-class _Raw(io.RawIOBase):
-    def __init__(self, file):
-        self.file = file
-
-    def readable(self):
-        return True
-
-    def seekable(self):
-        return True
-
-    def seek(self, at, whence=0):
-        self.file.seek(at, whence)
-        return self.file.tell()
-
-    def tell(self):
-        return self.file.tell()
-
-    def readinto(self, into):
-        data = self.file.read(len(into))
-        into[: len(data)] = data
-        return len(data)
-
-
 _TYPES = {"string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType()}
 
 
