@@ -933,13 +933,42 @@ def _generated_all(s, d):
 
 
 @query(f"""{_SYNC}, o as (select d, h, min(faq_id) as old_id from held group by 1, 2), x as (select coalesce(g.d, o.d) as d, new_id, old_id from g full join o on g.d = o.d and g.h = o.h)
- select d as document_id, count(*) filter (where new_id is not null and new_id not in (select faq_id from src)) as created,
+,
+ every as (select faq_id, document_id as d from src union select * from put), rest as (select * from every anti join gone using (faq_id, d)), empty as (select distinct faq_id from gone where faq_id not in (select faq_id from rest)),
+ lasts as (select faq_id, max(d) as d from gone where faq_id in (select faq_id from empty) group by 1), out as (select g.d, count(*) filter (where l.d is null) as removed_sources, count(*) filter (where l.d is not null) as deleted from gone g left join lasts l on l.faq_id = g.faq_id and l.d = g.d group by 1),
+ asked as (select d as document_id, count(*) filter (where new_id is not null and new_id not in (select faq_id from src)) as created,
  count(*) filter (where new_id in (select faq_id from src) and (new_id, d) not in (select faq_id, document_id from src)) as merged, count(*) filter (where (new_id, d) in (select faq_id, document_id from src)) as refreshed,
- count(*) filter (where new_id <> old_id) as reassigned, count(*) filter (where new_id is null) as stale from x group by 1""")
+ count(*) filter (where new_id <> old_id) as reassigned, count(*) filter (where new_id is null) as stale from x group by 1)
+ select coalesce(document_id, out.d) as document_id, coalesce(created, 0) as created, coalesce(merged, 0) as merged, coalesce(refreshed, 0) as refreshed, coalesce(reassigned, 0) as reassigned, coalesce(stale, 0) as stale, coalesce(removed_sources, 0) as removed_sources, coalesce(deleted, 0) as deleted from asked full join out on out.d = asked.document_id""")
 def faq_sync_counters(s, d):
     return faqs.sync_counters(fx.faqs(s, d), _generated_all(s, d))
 
 
+_REVIEWED = f"""{fx.FAQ_ROWS}, one as (select faq_id, min(document_id) as low from src group by 1), s as (select faq_id as submission, case when faq_id < '4' then faq_id when faq_id < '5' then 'none' else {fx.sql_uuid5("trim('Q ' || faq_id) || '|' || 'A'", 'a1b2c3d4e5f67890abcdef1234567890')} end as target, faq_id < '5' as asked, case when faq_id < '2' then low else {fx.sql_uuid5("'https://docs.example.com/r' || low")} end as document_id from one where faq_id < '6'),
+ a as (select submission, target as faq_id, document_id, case when target = 'none' then 'not_found' when faq_id is null then 'created' when (target, s.document_id) in (select faq_id, document_id from src) then 'refreshed' else 'merged' end as action from s left join (select distinct faq_id from src) k on k.faq_id = s.target)"""
+
+
+def _reviewed(s, d):
+    f, id = fx.faqs(s, d), F.col("faq_id")
+    low = F.array_min("source_documents.document_id")
+    rows = f.where("faq_id < '6'").select(
+        id.alias("submission"), F.when(id < "4", F.lit(" kept ")).otherwise(F.concat(F.lit("Q "), id)).alias("question"), F.lit("A").alias("answer"), F.when(id < "4", id).when(id < "5", "none").otherwise(" ").alias("merge_with_id"),
+        F.when(id < "2", F.concat(F.lit("https://docs.example.com/"), low)).otherwise(F.concat(F.lit("https://docs.example.com/r"), low)).alias("source_url"), F.when(id < "2", low).alias("document_id"), F.lit("z").alias("extracted_at"),
+    )
+    return faqs.reviewed(f, rows)
+
+
+@query(f"with {_REVIEWED} select submission, faq_id, action from a")
+def faq_reviewed(s, d):
+    """Reviewed entries: some with a known source or a new one for a chosen FAQ, some for one that isn't there, some new."""
+    return _reviewed(s, d)[1]
+
+
+@query(f"with {_REVIEWED}, put as (select faq_id, document_id from src union select faq_id, document_id from a where action <> 'not_found') select faq_id, count(*)::bigint as source_count, string_agg(document_id, ',' order by document_id) as documents from put group by 1")
+def faq_reviewed_applied(s, d):
+    return _reviewed(s, d)[0].select("faq_id", F.col("source_count").cast("bigint").alias("source_count"), F.array_join(F.sort_array("source_documents.document_id"), ",").alias("documents"))
+
+
 @query(f"with {fx.FAQ_ROWS}, t as (select min(faq_id) as id from src) select faq_id, case when faq_id <> (select id from t) then 'kept' when bool_or(document_id = 'new') then 'already_exists' else 'added' end as action, (count(*) + (faq_id = (select id from t))::int)::bigint as source_count from src group by 1")
 def faq_add_source(s, d):
     f = fx.faqs(s, d)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.ids import document_id, faq_id, question_hash
 
 SOURCE = "array<struct<document_id:string,url:string,extracted_at:string,confidence:double>>"
@@ -161,6 +162,24 @@ def sync_plan(generated: DataFrame, existing: DataFrame) -> DataFrame:
     return both.withColumn("action", action)
 
 
+def _generation(faqs: DataFrame, generated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written once: the best answer of each document's question, and the FAQs that the generated documents are sources of (faq_id, d, question_hash)."""
+    good = identified(generated.withColumns({"question": F.trim("question"), "answer": F.trim("answer")}).where("question <> '' and answer <> ''"))
+    good = good.withColumn("confidence", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)))
+    row = F.struct("faq_id", "question", "answer", "url", "extracted_at", "confidence")
+    best = good.groupBy("document_id", "question_hash").agg(F.max_by(row, F.struct("confidence", "pos")).alias("r")).select("document_id", "question_hash", "r.*")
+    sources = faqs.select("faq_id", question_hash(F.col("question")).alias("question_hash"), F.explode("source_documents.document_id").alias("d"))
+    held = sources.join(generated.select(F.col("document_id").alias("d")).distinct(), "d", "left_semi")
+    return scratch.written(best, "faq-best"), scratch.written(held, "faq-held")
+
+
+def _left(best: DataFrame, held: DataFrame, remove_stale: bool) -> DataFrame:
+    """(faq_id, d): the sources that a new generation takes out."""
+    now = best.select(F.col("document_id").alias("d"), "question_hash", F.col("faq_id").alias("new_id"))
+    match = held.join(now, ["d", "question_hash"], "left")
+    return match.where((F.col("new_id") != F.col("faq_id")) | (F.col("new_id").isNull() & F.lit(remove_stale))).select("faq_id", "d")
+
+
 def synced(faqs: DataFrame, generated: DataFrame, remove_stale: bool = True) -> DataFrame:
     """Applies sync_plan: FAQs after the sync, with `fate`: kept, created, merged, refreshed, removed_source or deleted (these have no source left).
 
@@ -168,33 +187,57 @@ def synced(faqs: DataFrame, generated: DataFrame, remove_stale: bool = True) ->
     are put into the FAQs, and it is taken out of FAQs whose question it has another answer to now,
     and, if remove_stale, of those it doesn't ask any more.
     """
-    good = identified(generated.withColumns({"question": F.trim("question"), "answer": F.trim("answer")}).where("question <> '' and answer <> ''"))
-    good = good.withColumn("confidence", F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0)))
-    row = F.struct("faq_id", "question", "answer", "url", "extracted_at", "confidence")
-    best = good.groupBy("document_id", "question_hash").agg(F.max_by(row, F.struct("confidence", "pos")).alias("r")).select("document_id", "question_hash", "r.*")
-    synced_documents = generated.select(F.col("document_id").alias("d")).distinct()
-    held = faqs.select("faq_id", F.explode("source_documents.document_id").alias("d")).join(synced_documents, "d")
-    hashed = held.join(faqs.select("faq_id", question_hash(F.col("question")).alias("question_hash")), "faq_id")
-    now = best.select(F.col("document_id").alias("d"), "question_hash", F.col("faq_id").alias("new_id"))
-    match = hashed.join(now, ["d", "question_hash"], "left")
-    out = match.where((F.col("new_id") != F.col("faq_id")) | (F.col("new_id").isNull() & F.lit(remove_stale)))
-    gone = out.groupBy("faq_id").agg(F.collect_set("d").alias("gone"))
+    best, held = _generation(faqs, generated)
+    return _applied(faqs, best, held, remove_stale)
+
+
+def _applied(faqs: DataFrame, best: DataFrame, held: DataFrame, remove_stale: bool) -> DataFrame:
+    gone = _left(best, held, remove_stale).groupBy("faq_id").agg(F.collect_set("d").alias("gone"))
     after = upserted(faqs, best).withColumnRenamed("source_documents", "had").join(gone, "faq_id", "left")
     rest = F.filter("had", lambda x: ~F.coalesce(F.array_contains("gone", x["document_id"]), F.lit(False)))
     fate = F.when(F.col("gone").isNull(), F.col("action")).when(F.size(rest) == 0, "deleted").when(F.col("action") == "kept", "removed_source").otherwise(F.col("action"))
     return with_totals(after.select("faq_id", "question", "answer", fate.alias("fate"), rest.alias("source_documents")))
 
 
-def sync_counters(faqs: DataFrame, generated: DataFrame) -> DataFrame:
-    """What a sync does, by document of generated: questions created, merged, refreshed, reassigned (another answer), and stale ones."""
-    synced_documents = generated.select("document_id").distinct()
-    held = faqs.select("faq_id", F.col("question").alias("q"), F.explode("source_documents.document_id").alias("document_id")).join(synced_documents, "document_id")
-    plan = sync_plan(generated, held.select("document_id", "faq_id", question_hash(F.col("q")).alias("question_hash")))
-    known = plan.join(faqs.select(F.col("faq_id").alias("new_faq_id"), F.lit(True).alias("known")), "new_faq_id", "left")
-    own = held.select("document_id", F.col("faq_id").alias("new_faq_id"), F.lit(True).alias("mine"))
-    marked = known.join(own, ["document_id", "new_faq_id"], "left")
-    made = F.col("new_faq_id").isNotNull()
-    return marked.groupBy("document_id").agg(
+def sync_counters(faqs: DataFrame, generated: DataFrame, remove_stale: bool = True) -> DataFrame:
+    """What a sync does, by document of generated: questions created, merged, refreshed, reassigned (another answer) and stale; and the FAQs that it is taken out of, removed_sources, and deleted, which have no source then.
+
+    Of several documents that leave an FAQ without a source the last one by id deletes it.
+    """
+    best, held = _generation(faqs, generated)
+    now = best.select(F.col("document_id").alias("d"), "question_hash", F.col("faq_id").alias("new_id"))
+    old = held.groupBy("d", "question_hash").agg(F.min("faq_id").alias("old_id"))
+    plan = now.join(old, ["d", "question_hash"], "full_outer")
+    known = plan.join(faqs.select(F.col("faq_id").alias("new_id"), F.lit(True).alias("known")), "new_id", "left")
+    marked = known.join(held.select("d", F.col("faq_id").alias("new_id"), F.lit(True).alias("mine")).distinct(), ["d", "new_id"], "left")
+    made = F.col("new_id").isNotNull()
+    asked = marked.groupBy("d").agg(
         F.count_if(made & F.col("known").isNull()).alias("created"), F.count_if(made & F.col("known") & F.col("mine").isNull()).alias("merged"),
-        F.count_if(F.coalesce("mine", F.lit(False))).alias("refreshed"), F.count_if(F.col("action") == "reassigned").alias("reassigned"), F.count_if(F.col("action") == "stale").alias("stale"),
+        F.count_if(F.coalesce("mine", F.lit(False))).alias("refreshed"), F.count_if(made & (F.col("new_id") != F.col("old_id"))).alias("reassigned"), F.count_if(~made).alias("stale"),
     )
+    out = _left(best, held, remove_stale)
+    empty = _applied(faqs, best, held, remove_stale).where("fate = 'deleted'").select("faq_id", F.lit(True).alias("empty"))
+    last = out.join(empty, "faq_id", "left").groupBy("faq_id").agg(F.when(F.max("empty"), F.max("d")).alias("last"))
+    taken = out.join(last, "faq_id").withColumn("deletes", F.coalesce(F.col("d") == F.col("last"), F.lit(False)))
+    taken = taken.groupBy("d").agg(F.count_if(~F.col("deletes")).alias("removed_sources"), F.count_if("deletes").alias("deleted"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return asked.join(taken, "d", "full_outer").select(F.col("d").alias("document_id"), *(zero(c) for c in ("created", "merged", "refreshed", "reassigned", "stale", "removed_sources", "deleted")))
+
+
+def reviewed(faqs: DataFrame, submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Applies reviewed entries: the FAQs after them, and each submission with `faq_id` and `action`.
+
+    submissions (submission, question, answer, source_url, document_id, merge_with_id, extracted_at):
+    the source, whose document is that of its url if none is given, is put into the FAQ merge_with_id,
+    which keeps its question and answer (merged, or refreshed if it had the document), or into that of
+    the question and answer (created if there is none).  A merge into an unknown FAQ is not_found and
+    changes nothing.  Confidence is 1.  All submissions see the FAQs as they were.
+    """
+    given = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    rows = submissions.withColumns({"document_id": F.coalesce(given("document_id"), document_id(F.col("source_url"))), "target": F.coalesce(given("merge_with_id"), faq_id(F.col("question"), F.col("answer"))), "asked": given("merge_with_id").isNotNull()})
+    known = faqs.select(F.col("faq_id").alias("target"), F.col("source_documents.document_id").alias("had"))
+    rows = scratch.written(rows.join(known, "target", "left"), "faq-reviewed")
+    action = F.when(F.col("had").isNull(), F.when(F.col("asked"), "not_found").otherwise("created")).when(F.array_contains("had", F.col("document_id")), "refreshed").otherwise("merged")
+    rows = rows.withColumn("action", action)
+    put = rows.where("action <> 'not_found'").select(F.col("target").alias("faq_id"), "question", "answer", "document_id", F.col("source_url").alias("url"), F.lit(1.0).alias("confidence"), "extracted_at")
+    return upserted(faqs, put).drop("action"), rows.select("submission", F.col("target").alias("faq_id"), "action")
