@@ -67,9 +67,13 @@ def hybrid(
     candidates = dense_top(df, query, prefetch or prefetch_size(limit), where, key=key).drop("score")
     for other in extra or []:
         candidates = candidates.unionByName(other.drop("score").join(candidates.select(key), key, "left_anti").select(candidates.columns))
+    return _reranked(candidates, query, limit, prefetch or prefetch_size(limit), boost, key)
+
+
+def _reranked(candidates: DataFrame, query: Vectors, limit: int, prefetch: int, boost: dict | None, key: str = "doc_id") -> DataFrame:
     if boost is None:
         return late_top(candidates, query, limit, key=key)
-    ranked = late_top(candidates, query, max(2 * limit, prefetch or prefetch_size(limit)), key=key)
+    ranked = late_top(candidates, query, max(2 * limit, prefetch), key=key)
     return _top(ranked.withColumn("score", V.recency(F.col("score"), F.col("indexed_at"), **boost)), limit, key)
 
 
@@ -117,29 +121,47 @@ def source_ids(faqs: DataFrame) -> DataFrame:
     return s.select(F.coalesce(F.nullif(F.col("s.document_id"), F.lit("")), document_id(F.col("s.url"))).alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
 
 
-def boosted(df: DataFrame, query: Vectors, limit: int, sources: DataFrame, n_sources: int, where: Column | None = None, boost: dict | None = None, filter_boosted: bool = False) -> DataFrame:
-    """The search once more with the FAQs' documents as further candidates; hits from them are marked.
+#: Ids of source documents that are taken to the driver once and go into plans as literals; more stay a table.
+SOURCE_IDS = 10_000
 
-    As in the service, these candidates pass the caller's filter by unless filter_boosted, and
-    recency counts only if boost is given.
-    """
-    own = df.join(F.broadcast(sources.limit(max(n_sources, 1))), "doc_id", "left_semi")
-    extra = dense_top(own, query, max(n_sources, 1), where if filter_boosted else None)
-    found = hybrid(df, query, limit + n_sources, where, extra=[extra], boost=boost)
-    mark = sources.withColumn("_mark", F.lit(True))
-    return found.join(mark, "doc_id", "left").withColumn("boosted_by_faqs", F.coalesce("_mark", F.lit(False))).drop("_mark")
 
+@dataclass(frozen=True)
+class Sources:
+    """Documents behind FAQ hits: their number, and their ids (doc_id) as a table and, if they are few, as a list."""
 
-#: Ids of source documents that are taken to the driver once and go into plans as literals; more stay a table.
-SOURCE_IDS = 10_000
+    table: DataFrame
+    count: int
+    ids: tuple[str, ...] | None = None
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        """df with `boosted_by_faqs`; a few ids are literals, which scans can push down."""
+        if self.ids is not None:
+            return df.withColumn("boosted_by_faqs", F.col("doc_id").isin(*self.ids) if self.ids else F.lit(False))
+        mark = self.table.withColumn("_mark", F.lit(True))
+        return df.join(mark, "doc_id", "left").withColumn("boosted_by_faqs", F.coalesce("_mark", F.lit(False))).drop("_mark")
 
 
-def few_ids(ids: DataFrame) -> tuple[DataFrame, int]:
-    """ids (doc_id), evaluated once if there are few of them, and their number."""
-    found = [r[0] for r in ids.select("doc_id").limit(SOURCE_IDS + 1).collect()]
+def few_ids(ids: DataFrame) -> Sources:
+    """ids (doc_id), evaluated once if there are few of them."""
+    found = tuple(r[0] for r in ids.select("doc_id").limit(SOURCE_IDS + 1).collect())
     if len(found) > SOURCE_IDS:
-        return ids, ids.count()
-    return ids.sparkSession.createDataFrame([(x,) for x in found], "doc_id string"), len(found)
+        return Sources(ids, ids.count())
+    return Sources(ids.sparkSession.createDataFrame([(x,) for x in found], "doc_id string"), len(found), found)
+
+
+def boosted(df: DataFrame, query: Vectors, limit: int, sources: Sources, where: Column | None = None, boost: dict | None = None, filter_boosted: bool = False) -> DataFrame:
+    """The search with the FAQs' documents as further candidates; hits from them are marked.
+
+    As in the service, these candidates pass the caller's filter by unless filter_boosted, and
+    recency counts only if boost is given.  Candidates are two scans, the best of all without the marked
+    ones and the marked ones, so they need no join with each other.
+    """
+    every, wide = sources.marked(df), limit + sources.count
+    if query.late is None:
+        return hybrid(every, query, wide, where, boost=boost)
+    best = dense_top(every, query, prefetch_size(wide), where).where(~F.col("boosted_by_faqs"))
+    own = dense_top(every.where("boosted_by_faqs"), query, max(sources.count, 1), where if filter_boosted else None)
+    return _reranked(best.unionByName(own).drop("score"), query, wide, prefetch_size(wide), boost)
 
 
 @dataclass
@@ -163,14 +185,13 @@ def search(
     push = mode == "pushdown"
     inside = keep if where is None else where & keep
     boost = {"now": now, "days": days, "midpoint": midpoint} if now is not None and query.late is not None else None
-    hits = hybrid(documents, query, wide, inside if push else where, boost=boost)
     faq_hits = faq_search(faqs, query, limit, least_faq)
     faq_hits = faq_hits.where(predicates.faq_predicate(q, with_times=push)) if q.has_filters else faq_hits
-    sources, n = few_ids(source_ids(faq_hits))  # of at most FAQ_PREFETCH hits
-    if n and query.late is not None:
-        hits = boosted(documents, query, wide, sources, n, inside if push else where, boost if boost_keeps_recency else None, push)
+    sources = few_ids(source_ids(faq_hits))  # of at most FAQ_PREFETCH hits
+    if sources.count and query.late is not None:
+        hits = boosted(documents, query, wide, sources, inside if push else where, boost if boost_keeps_recency else None, push)
     else:
-        hits = hits.withColumn("boosted_by_faqs", F.lit(False))
+        hits = hybrid(documents, query, wide, inside if push else where, boost=boost).withColumn("boosted_by_faqs", F.lit(False))
     page = _top(hits if push else hits.where(keep), limit, "doc_id")
     return Found(V.contrasted(page, power), faq_hits)
 
@@ -195,8 +216,9 @@ def knowledge_base(
     if q.has_text:
         faq_hits = faq_search(faqs, query, limit, least_faq)
         faq_hits = faq_hits.where(predicates.faq_predicate(q, with_times=False)) if q.has_filters else faq_hits
-        sources, n = few_ids(source_ids(faq_hits).join(documents.select("doc_id"), "doc_id", "left_semi"))
-        hits = boosted(documents, query, querylang.candidate_limit(limit), sources, n)
+        sources = few_ids(source_ids(faq_hits).join(documents.select("doc_id"), "doc_id", "left_semi"))
+        hits = boosted(documents, query, querylang.candidate_limit(limit), sources)
+        sources = sources.table
         hits = _top(hits.where(predicates.document_predicate(q)) if q.has_filters else hits, limit, "doc_id")
     else:
         faq_hits = scanned(faqs, q, limit, predicate=predicates.faq_predicate(q), key="faq_id")
