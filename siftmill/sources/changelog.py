@@ -34,6 +34,36 @@ class Conflict(RuntimeError):
     """Another writer took the version."""
 
 
+def created(spark: SparkSession, target: str, body: bytes) -> bool:
+    """Creates a file with its content; False if it exists: of two writers one makes it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path.getParent())
+    if fs.getScheme() == "file":  # a link is made whole, or not at all
+        own = path.toUri().getPath()
+        attempt = f"{own}.{uuid.uuid4().hex}"
+        with open(attempt, "wb") as out:
+            out.write(body)
+        try:
+            os.link(attempt, own)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(attempt)
+        return True
+    if fs.exists(path):
+        return False
+    try:
+        stream = fs.create(path, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    stream.write(bytearray(body))
+    stream.close()
+    return True
+
+
 class Collection:
     """A table with a key; `indexed` columns can be looked up without reading all files."""
 
@@ -79,30 +109,8 @@ class Collection:
 
     def _take(self, number: int, entry: dict) -> None:
         """Creates the commit's file, or raises Conflict if it exists."""
-        target, body = f"{self.folder}/log/{number:012d}.json", json.dumps(entry).encode()
-        self._fs.mkdirs(self._path(f"{self.folder}/log"))
-        if self._fs.getScheme() == "file":  # a link is made whole, or not at all
-            own = self._path(target).toUri().getPath()
-            attempt = f"{own}.{uuid.uuid4().hex}"
-            with open(attempt, "wb") as out:
-                out.write(body)
-            try:
-                os.link(attempt, own)
-            except FileExistsError:
-                raise Conflict(f"version {number} is taken") from None
-            finally:
-                os.unlink(attempt)
-            return
-        if self._fs.exists(self._path(target)):
+        if not created(self.spark, f"{self.folder}/log/{number:012d}.json", json.dumps(entry).encode()):
             raise Conflict(f"version {number} is taken")
-        try:
-            stream = self._fs.create(self._path(target), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e):
-                raise Conflict(f"version {number} is taken") from None
-            raise
-        stream.write(bytearray(body))
-        stream.close()
 
     def _commit(self, entry: dict, expected: int | None) -> int:
         """expected: the version that the change was made from; None for changes that don't depend on it."""

@@ -1,6 +1,7 @@
 """Named collections in a folder of any store that Spark writes: immutable snapshots and a pointer file.
 
-A collection is `<root>/<name>/v=<n>` in Parquet; its pointer is the highest complete version.
+A collection is `<root>/<name>/v=<n>` in Parquet; its pointer is the highest complete version.  For tables
+that change a few rows at a time there is `changelog.Collection`.
 Aliases are a small table of their own, replaced as a whole.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.migrate import check_alias
+from .changelog import Conflict, created
 
 _ALIASES = "alias string, collection string"
 
@@ -40,14 +42,36 @@ class Store:
         if not self.exists(name) or replace_if_different and self.read(name).schema != empty.schema:
             self.write(name, empty)
 
-    def write(self, name: str, df: DataFrame, keep: int = 2) -> None:
-        """A new snapshot; older ones than the last `keep` go, so running readers are not cut off."""
+    def version(self, name: str) -> int:
+        """The number of the snapshot that is read, 0 if there is none."""
+        return (self._versions(self.backing(name)) or [0])[-1]
+
+    def _claimed(self, target: str, expected: int | None) -> int:
+        """A version that no other writer has; with `expected` the one after it, or a Conflict."""
+        last = (self._versions(target) or [0])[-1]
+        if expected is not None and expected != last:
+            raise Conflict(f"version {last}, not {expected}")
+        while not created(self.spark, f"{self.root}/{target}/_claims/{last + 1}", b""):
+            if expected is not None:
+                raise Conflict(f"version {last + 1} is taken")
+            last += 1
+        return last + 1
+
+    def write(self, name: str, df: DataFrame, keep: int = 2, expected: int | None = None) -> int:
+        """A new snapshot, and its version; older ones than the last `keep` go, so running readers are not cut off.
+
+        Two writers never write one version; which of two whole snapshots is the last is then their
+        order, unless they say which version they changed (`expected`): the later one gets a Conflict.
+        A claim of a writer that died stays taken, so it is to be tried again without `expected`.
+        """
         target = self.backing(check_alias(name))
-        versions = self._versions(target)
-        df.write.parquet(f"{self.root}/{target}/v={(versions or [0])[-1] + 1}")
+        version = self._claimed(target, expected)
+        df.write.parquet(f"{self.root}/{target}/v={version}")
+        versions = [v for v in self._versions(target) if v < version]
         for old in versions[: -keep + 1 or None] if keep > 1 else versions:
             fs, p = self._fs(f"{self.root}/{target}/v={old}")
             fs.delete(p, True)
+        return version
 
     def read(self, name: str) -> DataFrame:
         target = self.backing(name)
@@ -76,8 +100,7 @@ class Store:
         """Swaps an alias: one new version of the alias table."""
         kept = self.aliases().where(F.col("alias") != check_alias(alias))
         one = self.spark.createDataFrame([(alias, collection)], _ALIASES)
-        versions = self._versions("_aliases")
-        kept.unionByName(one).coalesce(1).write.parquet(f"{self.root}/_aliases/v={(versions or [0])[-1] + 1}")
+        kept.unionByName(one).coalesce(1).write.parquet(f"{self.root}/_aliases/v={self._claimed('_aliases', None)}")
 
     def backing(self, name: str) -> str:
         found = self.aliases().where(F.col("alias") == name).select("collection").first() if self._versions("_aliases") else None

@@ -12,6 +12,7 @@ from siftmill.plans import predicates
 from siftmill.plans.querylang import candidate_limit, parse, scan_batch
 from siftmill.sources import fixtures as fx
 from siftmill.sources.embedding import TooLong, embedded, in_batches
+from siftmill.sources.changelog import Conflict
 from siftmill.sources.store import Store, write_jsonl
 
 DOC = "doc_id string, url string, content string, title string, domain string, hyperlinks array<string>, indexed_at timestamp"
@@ -205,6 +206,13 @@ def test_store_and_aliases(spark, tmp_path):
     assert store.read("live").count() == 5 and {tuple(r) for r in store.collections().collect()} == {("a", 3), ("a_migration", 5)}
     store.create("a", "other string", replace_if_different=True)
     assert store.read("a").columns == ["other"]
+    seen = store.version("a")
+    assert store.write("a", spark.range(1), expected=seen) == seen + 1
+    with pytest.raises(Conflict):
+        store.write("a", spark.range(2), expected=seen)
+    other = Store(spark, f"file://{tmp_path}/store")
+    first, second = store._claimed("a", None), other._claimed("a", None)  # both before either has written
+    assert second == first + 1 and store.read("a").count() == 1
     store.drop("a")
     assert not store.exists("a")
     with pytest.raises(KeyError):
