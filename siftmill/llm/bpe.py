@@ -179,7 +179,11 @@ def _encode(path: str, pattern: str):
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with a column `ids` (replacing one of that name); null and empty texts have an empty list."""
+    """docs with a column `ids` (replacing one of that name); null and empty texts have an empty list.
+
+    Rows are mapped one by one, whole texts however long: repeated rows and ties stay as they are, in
+    any order, an empty table stays empty, and other columns pass whatever their names.
+    """
     keep = [c for c in docs.columns if c != "ids"]
     rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), base.text_of(docs).alias("text"))
     out = base.schema(("ids", "array<int>"))

@@ -347,7 +347,11 @@ def _masked(field: Field, text_at: str):
 
 
 def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with every found span replaced by its kind in angle brackets, and n_chars, if there, counted anew; null texts stay null."""
+    """docs with every found span replaced by its kind in angle brackets, and n_chars, if there, counted anew; null texts stay null, empty ones empty.
+
+    Rows are mapped one by one, whole texts however long: repeated rows and ties stay as they are, in
+    any order, an empty table stays empty, and other columns pass whatever their names.
+    """
     field = field or fitted(docs)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), base.text_of(docs).alias("text"))
     out = base.schema(("masked", "string"))

@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's rows are written to the shared folder and read by the next.  Other columns go through the first four."""
+    """The stages over documents; each one's rows are written to the shared folder and read by the next.
+
+    Null and empty texts pass all filters but exact dedup, which keeps one of them, and are one piece
+    in the end; of equal rows one stays; ties go to the smallest doc_id, nulls last; an empty table
+    gives no piece.  Other columns, whatever their names, go through the first four stages.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
