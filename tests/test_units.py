@@ -187,10 +187,6 @@ def test_ingest_of_hard_rows(spark):
 def test_unchanged_documents_alternate(spark):
     gate = lambda status: spark.createDataFrame([("c", "h", ("r0", "h", status))], "content string, content_hash string, marker struct<last_run_id:string,content_hash:string,status:string>").select(agent.needs_processing(F.lit("r1"), F.lit(False))).first()[0]
     assert gate("processed") == "skip_unchanged" and gate("skipped_unchanged_since_last_run") == "process"
-    steps = agent.run(["a", "b"], lambda x: ("done", ["c"] if x == "a" else []), lambda: False)
-    assert steps == {"done": 3} and agent.run(["a"], None, lambda: True) == {"cancelled": 1}
-    script = iter([("search", "x"), ("inspect", "d1"), ("inspect", "d1"), ("follow", "d1"), ("finish", None)])
-    assert agent.planned("doc", lambda *a: next(script), lambda q: ["d1"], lambda x: x, lambda x: ["d2"]) == ["d1"]
 
 
 def test_store_and_aliases(spark, tmp_path):
