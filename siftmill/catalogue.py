@@ -1123,6 +1123,23 @@ def supporting_documents(s, d):
     return found.join(web.select("doc_id", "n"), "doc_id").select("n", "hop")
 
 
+@query("""with recursive total as (select count(*) as n from documents), q as (select doc_id, [doc_id] as place from documents where doc_id in (0, 3) union all
+ select c.doc_id, list_append(q.place, c.k) from q join (select doc_id, (doc_id - 4) // 30 as parent, (doc_id - 4) % 30 as k from documents where doc_id >= 4) c on c.parent = q.doc_id and q.doc_id % 5 <> 1),
+ o as (select doc_id, row_number() over (order by place) as position from q) select doc_id::varchar as doc_id, position::int as position, case when doc_id % 5 = 1 then 'skipped' else 'processed' end as status from o where position <= 150""")
+def agent_run_order(s, d):
+    """The first 150 documents of a run from two seeds: each names thirty others, but one in five is skipped."""
+    t = fx.table(s, d, "documents").select("doc_id")
+    n, total = F.col("doc_id").cast("bigint"), t.count()
+
+    def process(some):
+        named = F.filter(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: n * 30 + 4 + k), lambda x: x < total)
+        status = F.when(n % 5 == 1, "skipped").otherwise("processed")
+        return some.select("doc_id", status.alias("status"), F.when(n % 5 != 1, F.transform(named, lambda x: x.cast("string"))).alias("supporting"))
+
+    seeds = t.where("doc_id in (0, 3)").select("doc_id", F.col("doc_id").alias("pos"))
+    return agent.run(seeds, process, 150, batch=50).documents
+
+
 @query("select doc_id, length(text)::bigint as n from documents")
 def embedding_batches(s, d):
     """The embedding hook, in batches of eight, with a model that counts characters."""

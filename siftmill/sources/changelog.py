@@ -219,10 +219,10 @@ class Collection:
 
     def _index(self, data: str) -> None:
         rows = self.spark.read.parquet(f"{self.folder}/data/{data}")
-        columns = [c for c in self.indexed if c in rows.columns]
+        columns = [c for c in self.indexed if c.split(".")[0] in rows.columns]
         if not columns:
             return
-        own = rows.select(F.col("_metadata.file_path").alias("file"), *(F.col(c).cast("string").alias(c) for c in columns))
+        own = rows.select(F.col("_metadata.file_path").alias("file"), *(_values_of(rows, c).alias(f"c{k}") for k, c in enumerate(columns)))
         most = own.groupBy("file").count().agg(F.max("count")).first()[0] or 1
         size = 64
         while size < most * BITS and size < LARGEST * 8:
@@ -261,7 +261,30 @@ class Collection:
         files, _ = self.files(column, values, version)
         own = values.select(F.col("value").cast("string").alias("_value")).where("_value is not null").distinct()
         found = self._rows(entries, files)
-        found = found.join(own, found[column].cast("string") == own["_value"], "left_semi")
+        if files and found.select(column).schema[0].dataType.typeName() == "array":
+            few = F.array(*(F.lit(r["_value"]) for r in own.limit(LITERALS + 1).collect()))
+            if own.count() > LITERALS:
+                raise ValueError(f"at most {LITERALS} values of a list's members")
+            found = found.where(F.arrays_overlap(_values_of(found, column), few))
+        elif files:
+            found = found.join(own, F.col(column).cast("string") == own["_value"], "left_semi")
+        return self._current(found, entries, files)
+
+    def lookup_between(self, column: str, low, high, version: int | None = None) -> DataFrame:
+        """Rows whose indexed column (strings or times) is from low to high; from the files whose range meets theirs."""
+        if column not in self.indexed:
+            raise KeyError(column)
+        entries = self._entries(version)
+        if not entries:
+            raise KeyError(self.folder)
+        least, most = (F.lit(x).cast(self._schema(entries)[column].dataType) for x in (low, high))
+        paths = [f"{self.folder}/index/{e['data']}" for e in entries if e["data"] in set(self._names("index"))]
+        index = self.spark.read.schema(_INDEX).option("recursiveFileLookup", "true").parquet(*paths).where(F.col("column") == column)
+        files = sorted(r["file"] for r in index.where((F.col("low") <= most.cast("string")) & (F.col("high") >= least.cast("string"))).select("file").collect())
+        return self._current(self._rows(entries, files).where(F.col(column).between(least, most)), entries, files)
+
+    def _current(self, found: DataFrame, entries: list[dict], files: list[str]) -> DataFrame:
+        """Of rows found in files those that no later commit replaced or dropped."""
         deltas = [e for e in entries if e["kind"] == "delta"]
         if deltas and files:
             last = self._rows(deltas).groupBy(self.key).agg(F.max("_version").alias("_last"))
@@ -269,6 +292,12 @@ class Collection:
         return found.where("not _drop").drop("_version", "_drop")
 
 
+def _values_of(rows: DataFrame, column: str):
+    """A column, or the members of a list (also a field of its structs), as an array of strings."""
+    kind = rows.select(column).schema[0].dataType.typeName()
+    return F.col(column).cast("array<string>") if kind == "array" else F.array(F.col(column).cast("string"))
+
+
 _INDEX = T.StructType([T.StructField(n, t, True) for n, t in (("file", T.StringType()), ("column", T.StringType()), ("low", T.StringType()), ("high", T.StringType()), ("bits", T.BinaryType()))])
 
 
@@ -304,8 +333,8 @@ def _filters(columns: list[str], size: int):
                     yield rows()
                     held = {}
                 last, mine = file, batch.filter(pc.equal(files, file))
-                for c in columns:
-                    values = [v for v in pc.unique(mine.column(c)).to_pylist() if v is not None]
+                for k, c in enumerate(columns):
+                    values = [v for v in pc.unique(pc.list_flatten(mine.column(k + 1))).to_pylist() if v is not None]
                     low, high, bits = held.get(c) or (None, None, np.zeros(size, bool))
                     if values:
                         bits[_places(values, size).ravel()] = True

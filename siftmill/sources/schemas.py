@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from ..operators.migrate import family
+from .changelog import Collection
 from .store import Store
 
 _VECTORS = "dense array<float>, late array<array<float>>"
@@ -18,6 +20,14 @@ FAMILIES = {
     "queue": "id string, query string, query_normalized string, collection_name string, created_at timestamp, dense array<float>",
     "config": "key string, value string, updated_at timestamp",
 }
+#: The key of each family, and the columns that can be looked up without reading all files.
+KEYS = {"document": "doc_id", "faq": "faq_id", "kv": "id", "feedback": "id", "queue": "id", "config": "key"}
+INDEXES = {
+    "document": ("url", "domain", "content_hash", "indexed_at"),
+    "faq": ("question_hash", "source_documents.document_id", "first_seen", "last_updated", "document_id"),
+    "kv": ("key",),
+    "queue": ("query_normalized",),
+}
 
 
 def family_of(name: str) -> str:
@@ -37,3 +47,12 @@ def created(store: Store, name: str) -> str:
     kind = family_of(name)
     store.create(name, schema_of(name), replace_if_different=kind in ("feedback", "queue"))
     return kind
+
+
+def collection(spark: SparkSession, root: str, name: str) -> Collection:
+    """The collection as a log of changes with its family's key and indexes; made with its columns if it isn't there."""
+    kind = family_of(name)
+    out = Collection(spark, root, name, KEYS[kind], INDEXES.get(kind, ()))
+    if not out.version():
+        out.replace(spark.createDataFrame([], schema_of(name)), 0)
+    return out

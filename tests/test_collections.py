@@ -252,3 +252,25 @@ def test_re_embedding_survives_failures_and_restarts(spark, tmp_path):
     assert reembed.advance(source, again, "document", model(never), "job", ranges=4).tries == {}
     stopped = reembed.advance(source, Collection(spark, f"file://{tmp_path}/store", "other"), "document", model(never), "job", ranges=4, cancelled=lambda: True)
     assert stopped.done == 0 and not stopped.complete
+
+
+def test_families_are_indexed(spark, tmp_path):
+    from siftmill.sources import schemas
+
+    faqs = schemas.collection(spark, f"file://{tmp_path}/s", "docs_faq")
+    assert faqs.key == "faq_id" and faqs.read().columns == schemas.schema_of("docs_faq").names and faqs.version() == 1
+    source = "array(named_struct('document_id', concat('d', id % 50), 'url', 'u', 'extracted_at', 't', 'confidence', 1.0D), named_struct('document_id', concat('e', id), 'url', 'u', 'extracted_at', 't', 'confidence', 1.0D))"
+    rows = spark.range(400).selectExpr("cast(id as string) as faq_id", "concat('h', id) as question_hash", f"{source} as source_documents", "concat('2024-01-', lpad(1 + id div 20, 2, '0')) as first_seen").repartitionByRange(8, "first_seen")
+    faqs.replace(rows)
+    again = schemas.collection(spark, f"file://{tmp_path}/s", "docs_faq")
+    value = lambda *v: spark.createDataFrame([(x,) for x in v], "value string")
+    ids = lambda df: sorted(int(r["faq_id"]) for r in df.collect())
+    assert ids(again.lookup("source_documents.document_id", value("d7", "none"))) == list(range(7, 400, 50))
+    assert ids(again.lookup("source_documents.document_id", value("e33"))) == [33] and len(again.files("source_documents.document_id", value("e33"))[0]) < again.files("source_documents.document_id", value("e33"))[1]
+    again.drop(spark.createDataFrame([("33",)], "faq_id string"))
+    assert again.lookup("source_documents.document_id", value("e33")).count() == 0 and ids(again.lookup("question_hash", value("h34"))) == [34]
+    assert ids(again.lookup_between("first_seen", "2024-01-02", "2024-01-03")) == [k for k in range(20, 60) if k != 33]
+    docs = schemas.collection(spark, f"file://{tmp_path}/s", "docs")
+    docs.put(spark.range(100).selectExpr("cast(id as string) as doc_id", "timestamp_seconds(1704067200 + id * 86400) as indexed_at").repartitionByRange(5, "indexed_at"))
+    late = docs.lookup_between("indexed_at", "2024-04-01 00:00:00", "2024-04-03 12:00:00")
+    assert sorted(int(r["doc_id"]) for r in late.collect()) == [91, 92, 93] and len(late.inputFiles()) <= 3
