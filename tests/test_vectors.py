@@ -53,6 +53,25 @@ def test_many_hybrid_queries_equal_single_ones(spark, sf):
         assert got[r["query_id"]] == [(k, round(s, 9)) for k, s in hits(search.hybrid(t, q, 5, prefetch=12))]
 
 
+@pytest.mark.parametrize("threshold, products", [(None, 1 << 21), (1.0, 50)])
+def test_many_late_queries_equal_single_ones(spark, sf, monkeypatch, threshold, products):
+    monkeypatch.setattr(many._BestLate, "PRODUCTS", products)
+    t = fx.tokens(spark, sf)
+    extra = t.where("doc_id = 3").selectExpr("doc_id + 1000 as doc_id", "dense", "late").union(t.where("doc_id = 5").selectExpr("doc_id + 2000", "dense", "slice(late, 1, 4)"))
+    odd = spark.createDataFrame([(3000, [1.0], None), (3001, [1.0], [])], "doc_id long, dense array<float>, late array<array<float>>")
+    t = t.union(extra).union(odd).repartition(3)
+    queries = t.where("doc_id in (1, 3, 5, 3000, 3001)").selectExpr("doc_id as query_id", "if(doc_id = 1, slice(late, 1, 3), late) as late")
+    got = {}
+    for r in many.late_top(t, queries, 6, threshold=threshold).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    asked = queries.where("size(late) > 0").collect()
+    assert set(got) == {r["query_id"] for r in asked} == {1, 3, 5}
+    for r in asked:
+        q = search.Vectors([], [[float(x) for x in v] for v in r["late"]])
+        assert got[r["query_id"]] == hits(search.late_top(t.where("late is null or size(late) > 0"), q, 6, threshold=threshold))
+    assert many.late_top(t, queries.limit(0), 3).count() == 0
+
+
 def test_lists_find_what_an_exact_search_finds(spark, tmp_path):
     df = vectors(spark, 3000, width=24, kinds=30)
     index = VectorIndex(spark, f"file://{tmp_path}/ivf").build(df, lists=30, sample=1500)
