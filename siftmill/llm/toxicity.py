@@ -55,10 +55,10 @@ class NonNegativePU:
     """Logistic loss, Adam, decoupled weight decay."""
 
     #: An input must be this many standard errors, and this many times, more frequent in P than in U, and in this many texts of P.
-    #: These, SLACK, the features, epochs, rate and decay were compared by three-fold cross-validation inside the training fold of three tables
-    #: alone, by the mean F1 at the cut; settings within 0.005 of the best count as equal.  Words and beginnings of 3 letters and more reach 0.900 with
-    #: 40 or 80 epochs and 0.898 with 160, words alone 0.897, beginnings of 4 and more 0.899, beginnings alone 0.875; 160 is taken of the equal
-    #: ones because the corrected risk of a small sample, of one step an epoch, needs them to settle.
+    #: These, SLACK, the features, epochs, rate and decay were compared by three-fold cross-validation inside the training fold alone, by the mean F1
+    #: at the cut over three tables; settings within 0.005 of the best count as equal.  Words and beginnings of 3 letters and more reach 0.900 with
+    #: 40 or 80 epochs and 0.898 with 160, words alone 0.897, beginnings of 4 and more 0.899, beginnings alone 0.876; 160 is kept of the equal ones,
+    #: for a small sample has one step an epoch and the corrected risk must settle in them.
     ERRORS, TIMES, LEAST = 3.0, 3.0, 4
     #: How far below zero a minibatch's risk of the negatives may be by chance.
     SLACK = 0.02
