@@ -36,10 +36,19 @@ def faq_seeds(faqs: DataFrame) -> DataFrame:
 BUCKETS = 64
 
 
-def walkable(documents: DataFrame) -> DataFrame:
-    """The edges between documents that exist (src, k, dst), written once, in folders by source: what every level of a walk reads."""
-    known = documents.select(F.col("doc_id").alias("dst"))
-    links = edges(documents).join(known, "dst", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(BUCKETS)).cast("int"))
+def walkable(documents: DataFrame, linked: str = "doc_id") -> DataFrame:
+    """The edges between documents that exist (src, k, dst), written once, in folders by source: what every level of a walk reads.
+
+    linked: the column with the ids that links lead to.  Where several rows have one url and doc_id
+    tells them apart, it is another column, and a link leads to each row that has the id.
+    """
+    links = edges(documents)
+    if linked == "doc_id":
+        links = links.join(documents.select(F.col("doc_id").alias("dst")), "dst", "left_semi")
+    else:
+        known = documents.select(F.col(linked).alias("target"), F.col("doc_id").alias("dst"))
+        links = links.withColumnRenamed("dst", "target").join(known, "target").select("src", "k", "dst")
+    links = links.withColumn("bucket", F.pmod(F.xxhash64("src"), F.lit(BUCKETS)).cast("int"))
     return scratch.written(links.repartition("bucket"), "walk-edges", by="bucket")
 
 
@@ -91,9 +100,9 @@ def related(documents: DataFrame, seeds: DataFrame, max_hops: int, max_documents
     return out.orderBy("hop", "pos", "doc_id").limit(max_documents)
 
 
-def link_candidates(documents: DataFrame, inspected: DataFrame, excluded: DataFrame, max_hops: int, cap: int = 25) -> DataFrame:
-    """(doc_id, via, hop) of new link targets of inspected documents (doc_id, hop, pos) below max_hops: first source wins."""
-    fresh = edges(documents).join(inspected.where(F.col("hop") < max_hops).select(F.col("doc_id").alias("src"), "hop", "pos"), "src")
+def link_candidates(documents: DataFrame, inspected: DataFrame, excluded: DataFrame, max_hops: int, cap: int = 25, links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, via, hop) of new link targets of inspected documents (doc_id, hop, pos) below max_hops: first source wins.  links: those of `walkable`, else all of documents."""
+    fresh = (edges(documents) if links is None else links.drop("bucket")).join(inspected.where(F.col("hop") < max_hops).select(F.col("doc_id").alias("src"), "hop", "pos"), "src")
     fresh = fresh.join(excluded.select(F.col("doc_id").alias("dst")), "dst", "left_anti").join(inspected.select(F.col("doc_id").alias("dst")), "dst", "left_anti")
     first = fresh.groupBy("dst").agg(F.min(F.struct("pos", "k", "src", "hop")).alias("f"))
     return first.orderBy("f.pos", "f.k", "dst").limit(cap).select(F.col("dst").alias("doc_id"), F.col("f.src").alias("via"), (F.col("f.hop") + 1).alias("hop"))
