@@ -49,3 +49,18 @@ def test_pages_of_one_url_are_reached_each_in_its_place(spark, tables):
     assert sorted(r["place"] for r in rows) == list(range(1, len(rows) + 1))
     place = {r["n"]: r["place"] for r in rows}
     assert place[40] == place[8] + 1 and place[41] == place[31] + 1
+
+
+#: Documents of one source, as many as there are tokens' ids, so no scores are equal.
+MANY = {
+    "documents": "select n as doc_id, 'the text of ' || n as text, 'en' as lang, 'src3' as source, 20 as n_chars from range(1500) r(n)",
+    "embeddings": "select n as vec_id, [sin(n * k * k * 0.7 + k + n * n * 0.013) for k in range(1, 9)]::float[] as embedding, 0::int as label from range(15000) r(n)",
+}
+
+
+def test_searches_rerank_the_candidates_of_their_sql(spark, tables):
+    """More than the five hundred that a search takes by itself: the best by token vectors are often far down the dense list."""
+    where, con = tables(**MANY)
+    for name in ("search_kb_scoped", "search_kb_full", "search_all"):
+        got, want = both(spark, where, con, name)
+        assert want and got == want, name
