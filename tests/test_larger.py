@@ -64,3 +64,14 @@ def test_searches_rerank_the_candidates_of_their_sql(spark, tables):
     for name in ("search_kb_scoped", "search_kb_full", "search_all"):
         got, want = both(spark, where, con, name)
         assert want and got == want, name
+
+
+def test_documents_meet_their_token_vectors_by_equality(spark, sf):
+    """By a product of both tables the search's time grew with its square."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue._whole(spark, sf)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "CartesianProduct" not in plan and "SortMergeJoin" in plan
