@@ -75,3 +75,14 @@ def test_documents_meet_their_token_vectors_by_equality(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "CartesianProduct" not in plan and "SortMergeJoin" in plan
+
+
+def test_detector_of_many_texts_gives_what_each_alone_has(spark, sf):
+    from siftmill.functions import language
+
+    t = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id")
+    known = language.profiles(t.where("doc_id % 2 = 0"))
+    texts = [r["text"] or "" for r in t.select("text").collect()] + ["", "12 !?", "a", "b a", "É é ß İ \U00010400", "the " * 2000]
+    for some in (known, {"en": known["en"]}, {"en": {}}, {"en": {}, "fr": {}}, {}):
+        detect = language._Detector(some)
+        assert [detect(x) for x in texts] == [language.detected(x, some) for x in texts]
