@@ -7,7 +7,8 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def root(spark: SparkSession) -> str:
@@ -33,6 +34,16 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.select(columns).schema).parquet(target).select(df.columns)
 
 
+def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df with the rows' numbers from 1 in order of keys, without a task that has all rows: ranges are sorted and written, then each adds the sizes of those before it."""
+    rows = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    before = F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")  # a row for each range
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(sizes), "_range").withColumn(name, place).drop("_at", "_range", "_before")
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

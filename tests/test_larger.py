@@ -86,3 +86,19 @@ def test_detector_of_many_texts_gives_what_each_alone_has(spark, sf):
     for some in (known, {"en": known["en"]}, {"en": {}}, {"en": {}, "fr": {}}, {}):
         detect = language._Detector(some)
         assert [detect(x) for x in texts] == [language.detected(x, some) for x in texts]
+
+
+def test_rows_are_numbered_without_one_task_for_all(spark):
+    from pyspark.sql import functions as F
+
+    from siftmill import scratch
+
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("a"))
+        got = scratch.numbered(rows, "pos", "a", "k")
+        assert got.where("pos <> k + 1").count() == 0 and got.select("pos").distinct().count() == 1000
+        assert scratch.numbered(rows.limit(0), "pos", "k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
